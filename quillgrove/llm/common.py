@@ -50,3 +50,26 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.parquet(path)
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(doc_id, group_id) of the connected components of edges (a, b); group_id is the least doc_id.
+
+    Alternating large-star and small-star rounds (Kiveris et al. 2014): each is one aggregation over
+    edges whose number never grows. Each round is written to the shared folder.
+    """
+    edges = written(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+    before = None
+    while True:
+        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        large = both.where("b > a").join(least, "a").select(F.col("m").alias("a"), "b")
+        low = large.groupBy("b").agg(F.min("a").alias("m"))
+        small = large.join(low, "b").select(F.col("m").alias("m"), "a", "b")
+        star = small.select(F.col("m").alias("a"), F.col("b")).unionByName(small.where("a <> m").select(F.col("m").alias("a"), F.col("a").alias("b"))).distinct()
+        edges = written(star, "edges")
+        now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        if now == before:
+            break
+        before = now
+    return edges.select(F.col("b").alias("doc_id"), F.col("a").alias("group_id")).unionByName(edges.select(F.col("a").alias("doc_id"), F.col("a").alias("group_id")).distinct())

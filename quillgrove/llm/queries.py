@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
+from quillgrove.llm.simhash import op8_simhash
 from quillgrove.llm.toxicity import op1_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_toxicity,)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op8_simhash)}
 ORACLES: dict[str, str] = {}

@@ -1,13 +1,38 @@
-"""Near-duplicates by SimHash and random bit sampling."""
+"""Near-duplicates by SimHash and random bit sampling.
+
+1. Sign: every text gets 256 bits, 128 over its distinct words and 128 over its distinct word pairs
+   (Charikar 2002). This is a map over the documents; only ids and signatures leave it.
+2. Documents of equal signatures collapse into the one of the least doc_id, so thousands of exact
+   copies cost one row afterwards.
+3. Sample: each of several tables groups the distinct signatures by ``k`` coordinates drawn from the
+   word bits. Both grow with the logarithm of the signatures: k keeps buckets small, and the number
+   of tables keeps the chance that a pair at ``design`` bits meets at ``recall``. A bucket over
+   ``cap`` is split by further coordinates of its table until it is small enough, or until the
+   coordinates end; no pair within what remains is skipped.
+4. Verify: all pairs of a bucket are compared by both distances. Of the pairs found only a spanning
+   forest leaves the task, so a group of n copies costs n rows and not n squared.
+5. Connected components of these edges are the groups; each goes by its least doc_id.
+"""
+
 from __future__ import annotations
 
+import math
 import re
+import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quillgrove.llm import common
 
 BITS = 128
+WORD = re.compile(r"\w+")
+SIGNATURE = "s0 long, s1 long, s2 long, s3 long"
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
+_NEXT = np.uint64(0x9E3779B97F4A7C15)
 #: A nibble's bits as four 16-bit lanes.
 _LANES = np.array([sum(((x >> b) & 1) << (16 * b) for b in range(4)) for x in range(16)], dtype=np.uint64)
 _BLOCK = 65535
@@ -27,3 +52,207 @@ def _bit_counts(h: np.ndarray, starts: np.ndarray) -> np.ndarray:
         for b in range(4):
             out[:, 4 * k + b] = ((lanes >> np.uint64(16 * b)) & np.uint64(0xFFFF)).astype(np.int64)
     return out
+
+
+class Words(dict):
+    """Hash of a word, kept after its first use."""
+
+    LIMIT = 500_000
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > self.LIMIT:
+            self.clear()
+        b = word.encode("utf-8", "surrogatepass")
+        self[word] = h = zlib.crc32(b) | zlib.adler32(b) << 32
+        return h
+
+
+def _majority(parts: list[np.ndarray]) -> np.ndarray:
+    """For each array of hashes, its 128 majority bits as two words; zeros for an empty one."""
+    out = np.zeros((len(parts), 2), dtype=np.uint64)
+    full = [i for i, p in enumerate(parts) if len(p)]
+    if not full:
+        return out
+    h = np.concatenate([parts[i] for i in full])
+    starts, runs = [], []
+    at = 0
+    for r, i in enumerate(full):
+        for s in range(0, len(parts[i]), _BLOCK):
+            starts.append(at + s)
+            runs.append(r)
+        at += len(parts[i])
+    size = np.array([len(parts[i]) for i in full])
+    first = np.searchsorted(np.array(runs), np.arange(len(full)))
+    for word in range(2):
+        counts = np.add.reduceat(_bit_counts(h if word == 0 else _mix(h + _NEXT), np.array(starts)), first, axis=0)
+        bits = counts * 2 > size[:, None]
+        out[full, word] = np.packbits(bits, axis=1, bitorder="little").view(np.uint64)[:, 0]
+    return out
+
+
+def signatures(texts: list[str], words: Words | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Signatures as four 64-bit words a text, and which texts have any word."""
+    words = Words() if words is None else words
+    ones, pairs = [], []
+    for text in texts:
+        found = WORD.findall(text.lower())
+        h = _mix(np.fromiter(map(words.__getitem__, found), np.uint64, len(found)))
+        ones.append(np.unique(h))
+        pairs.append(np.unique(_mix(h[:-1] * np.uint64(31) + h[1:])) if len(h) > 1 else _mix(h * np.uint64(31)))
+    return np.hstack([_majority(ones), _majority(pairs)]), np.array([len(x) > 0 for x in ones], dtype=bool)
+
+
+def signed(docs: DataFrame) -> DataFrame:
+    """doc_id and signature of each document with an id and any word."""
+
+    def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        words = Words()
+        for batch in batches:
+            for at in range(0, len(batch), 200):
+                part = batch.iloc[at : at + 200]
+                sig, some = signatures(part["_text"].tolist(), words)
+                s = sig[some].view(np.int64)
+                yield pd.DataFrame({"doc_id": part["_id"].to_numpy()[some]} | {f"s{i}": s[:, i] for i in range(4)})
+
+    some = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").alias("_text")).where(F.col("_id").isNotNull() & F.col("_text").isNotNull())
+    return some.mapInPandas(sign, f"doc_id long, {SIGNATURE}")
+
+
+def plan(n: int, design: int = 16, recall: float = 0.93, bucket: int = 64, least_k: int = 14) -> tuple[int, int]:
+    """Sampled coordinates and tables for n distinct signatures."""
+    k = max(least_k, math.ceil(math.log2(max(n, 2) / bucket)))
+    p = (1 - design / BITS) ** k
+    return k, max(1, math.ceil(math.log(1 - recall) / math.log1p(-p)))
+
+
+def _coordinates(table: int) -> np.ndarray:
+    """The table's order of the coordinates; its first k make the buckets."""
+    return np.random.default_rng(7919 + table).permutation(BITS)
+
+
+def _key(sig: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """Up to 63 coordinates of each signature, as a number."""
+    key = np.zeros(len(sig), dtype=np.int64)
+    for b in bits.tolist():
+        key = key << 1 | ((sig[:, b // 64] >> np.uint64(b % 64)) & np.uint64(1)).astype(np.int64)
+    return key
+
+
+def _split(sig: np.ndarray, bucket: np.ndarray, table: np.ndarray, k: int, cap: int) -> np.ndarray:
+    """Bucket numbers after every bucket over cap was split by further coordinates of its table."""
+    at = np.full(int(bucket.max()) + 1, k)
+    while True:
+        over = (np.bincount(bucket) > cap) & (at[: bucket.max() + 1] < BITS)
+        rows = over[bucket]
+        if not rows.any():
+            return bucket
+        bit = np.zeros(len(bucket), dtype=np.int64)
+        for t in np.unique(table[rows]).tolist():
+            order = _coordinates(t)
+            mine = np.flatnonzero(rows & (table == t))
+            b = order[at[bucket[mine]]]
+            bit[mine] = (np.where(b < 64, sig[mine, 0], sig[mine, 1]) >> (b % 64).astype(np.uint64) & np.uint64(1)).astype(np.int64)
+        depth = at[bucket] + rows
+        bucket = np.unique(bucket * 2 + bit, return_inverse=True)[1]
+        at = np.zeros(int(bucket.max()) + 1, dtype=np.int64)
+        at[bucket] = depth
+
+
+def _near(sig: np.ndarray, a: np.ndarray, b: np.ndarray, words: int, pairs: int) -> np.ndarray:
+    one = np.bitwise_count(sig[a, 0] ^ sig[b, 0]).astype(np.int16) + np.bitwise_count(sig[a, 1] ^ sig[b, 1])
+    ok = np.flatnonzero(one <= words)
+    x, y = a[ok], b[ok]
+    two = np.bitwise_count(sig[x, 2] ^ sig[y, 2]).astype(np.int16) + np.bitwise_count(sig[x, 3] ^ sig[y, 3])
+    return ok[two <= pairs]
+
+
+def forest(ids: np.ndarray, sig: np.ndarray, bucket: np.ndarray, words: int, pairs: int) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the near pairs within buckets, as pairs of ids."""
+    order = np.argsort(bucket, kind="stable")
+    ids, sig, bucket = ids[order], sig[order], bucket[order]
+    root = np.arange(len(ids))
+    left: list[int] = []
+    right: list[int] = []
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    rows = np.arange(len(ids))
+    step = 1
+    while True:
+        rows = rows[rows < len(ids) - step]
+        rows = rows[bucket[rows] == bucket[rows + step]]
+        if not len(rows):
+            break
+        for at in range(0, len(rows), 1 << 18):
+            a = rows[at : at + (1 << 18)]
+            hit = a[_near(sig, a, a + step, words, pairs)]
+            if len(hit):
+                while not np.array_equal(root, flat := root[root]):
+                    root[:] = flat
+                hit = hit[root[hit] != root[hit + step]]
+                for i in hit.tolist():
+                    x, y = find(i), find(i + step)
+                    if x != y:
+                        root[max(x, y)] = min(x, y)
+                        left.append(i)
+                        right.append(i + step)
+        step += 1
+    return ids[left], ids[right]
+
+
+def groups(docs: DataFrame, words: int = 20, pairs: int = 32, cap: int = 1000, signatures_per_task: int = 40_000) -> DataFrame:
+    """(doc_id, group_id) of every document that has a near copy; group_id is the group's least doc_id.
+
+    Two documents are near if at most ``words`` of the 128 word bits and ``pairs`` of the 128 pair
+    bits differ; groups are the connected components. Null and wordless texts, and rows without a
+    doc_id, are in no group. Rows that share a doc_id are one document; repeated rows give one row.
+    Ties go to the least doc_id. Extra columns are ignored; an empty table gives no group.
+    """
+    all_ = common.written(signed(docs), "signatures")
+    distinct = common.written(all_.groupBy("s0", "s1", "s2", "s3").agg(F.min("doc_id").alias("id")), "distinct")
+    n = distinct.count()
+    k, tables = plan(n)
+    shards = max(1, math.ceil(n * tables / signatures_per_task))
+
+    def sample(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        orders = [_coordinates(t)[:k] for t in range(tables)]
+        for batch in batches:
+            sig = batch[["s0", "s1", "s2", "s3"]].to_numpy(dtype=np.int64).view(np.uint64)
+            for t, order in enumerate(orders):
+                key = _key(sig, order)
+                shard = (_mix(key.view(np.uint64) + np.uint64((t + 1) * int(_NEXT) % 2**64)) % np.uint64(shards)).astype(np.int32)
+                yield batch.assign(shard=shard, tab=np.int32(t))
+
+    def compare(part: pd.DataFrame) -> pd.DataFrame:
+        sig = np.ascontiguousarray(part[["s0", "s1", "s2", "s3"]].to_numpy(dtype=np.int64)).view(np.uint64)
+        table = part["tab"].to_numpy().astype(np.int64)
+        key = np.empty(len(part), dtype=np.int64)
+        for t in np.unique(table).tolist():
+            mine = table == t
+            key[mine] = _key(sig[mine], _coordinates(t)[:k])
+        bucket = np.unique(np.stack([table, key]), axis=1, return_inverse=True)[1].reshape(-1)
+        a, b = forest(part["id"].to_numpy(), sig, _split(sig, bucket, table, k, cap), words, pairs)
+        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+    edges = distinct.mapInPandas(sample, f"{SIGNATURE}, id long, shard int, tab int").groupBy("shard").applyInPandas(compare, "a long, b long")
+    same = all_.join(distinct, ["s0", "s1", "s2", "s3"]).where(F.col("doc_id") != F.col("id")).select(F.col("id").alias("a"), F.col("doc_id").alias("b"))
+    return common.components(edges.unionByName(same))
+
+
+def drop_near_copies(docs: DataFrame) -> DataFrame:
+    """docs with one document of each group, the one of the least doc_id; all columns are kept.
+
+    Rows without a doc_id, and null or wordless texts, stay. The ids to drop are few beside the
+    texts; they are joined by doc_id, as a broadcast where Spark finds them small enough.
+    """
+    gone = groups(docs).where(F.col("doc_id") != F.col("group_id")).select(F.col("doc_id").alias("_gone"))
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("doc_id").cast("long").alias("_id"))
+    return row.join(gone, F.col("_id") == F.col("_gone"), "left_anti").select("_row.*")
+
+
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return groups(common.read(spark, sf_dir, "documents"))

@@ -106,7 +106,7 @@ def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
 def sum_pvalue(normal: list[float]) -> tuple[float, int]:
     """The least p-value over the r best normalised segment scores, each r at the price 2**-r, and that r."""
     best, r_best, total = 1.0, 0, 0.0
-    for r, s in enumerate(sorted(normal, reverse=True)[:50], 1):
+    for r, s in enumerate(sorted(normal, reverse=True), 1):
         total += s
         if total <= 0:
             break
