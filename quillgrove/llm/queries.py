@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from quillgrove.llm import linededup, mixing
+from quillgrove.llm.linededup import op4_line_dedup
+from quillgrove.llm.mixing import op9_mixing
+from quillgrove.llm.packing import op2_packing
 from quillgrove.llm.simhash import op8_simhash
 from quillgrove.llm.toxicity import op1_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op8_simhash)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_packing, op4_line_dedup, op8_simhash, op9_mixing)}
+ORACLES = {"op4_line_dedup": linededup.ORACLE, "op9_mixing": mixing.ORACLE}
