@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillgrove.llm import common, toxicity
+from quillgrove.llm import common, linededup, mixing, packing, simhash, toxicity
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -12,7 +12,34 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return toxicity.drop_toxic(docs, toxicity.fit(docs, common.read(spark, sf_dir, "labels")))
 
 
-STAGES = [("toxicity", toxicity_stage)]
+def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the lines that stand earlier in the corpus; those of which nothing is left go."""
+    return linededup.insert(docs)[0].select(*docs.columns)
+
+
+def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies, and all documents that have none."""
+    return simhash.drop_near_copies(docs)
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix of equal weight for each source, of half of all tokens, in order of finish time."""
+    return mixing.mix(docs)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The place of each document, or of each of its pieces, in bins of 2048 tokens."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("toxicity", toxicity_stage),
+    ("line_dedup", line_dedup_stage),
+    ("simhash", simhash_stage),
+    ("mixing", mixing_stage),
+    ("packing", packing_stage),
+]
+#: The trained scores, the signatures and the local search have no SQL; tests hold each stage against brute force.
 ORACLE_SQL = None
 
 
