@@ -1,0 +1,3 @@
+"""The registered queries of each family; importing them registers them."""
+
+from quillgrove.plans import text_queries  # noqa: F401
