@@ -1,3 +1,3 @@
 """The registered queries of each family; importing them registers them."""
 
-from quillgrove.plans import chunk_queries, dataset_queries, graph_queries, retrieval_queries, text_queries  # noqa: F401
+from quillgrove.plans import chunk_queries, dataset_queries, graph_queries, pipelines, retrieval_queries, source_queries, text_queries  # noqa: F401
