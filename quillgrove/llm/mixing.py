@@ -15,59 +15,66 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillgrove.llm import common
 
-ROWS_PER_BUCKET = 20_000
+ROWS_PER_BUCKET = 5_000
 BUDGET_SHARE = 0.5
 _ORDER = ["_finish", "_source", "_hash", "_id", "_dh"]
 
 
-def _numbered(docs: DataFrame, weights: Mapping[str, float] | None, seed: str) -> tuple[DataFrame, DataFrame, int]:
-    """The rows with their place in the queue, the sums of source and bucket, and the total of tokens."""
+def _keyed(docs: DataFrame, seed: str, *keep: Column) -> DataFrame:
     source = F.coalesce(F.col("source").cast("string"), F.lit(""))
-    weight = F.lit(1.0)
-    for name, w in (weights or {}).items():
-        weight = F.when(F.col("_source") == name, F.lit(float(w))).otherwise(weight)
-    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), source.alias("_source"), F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_dh"), common.word_count(F.col("text")).alias("_tokens"), F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).alias("_hash"))
-    fine = row.groupBy("_source", F.substring("_hash", 1, 4).alias("_b")).agg(F.count("*").alias("n"), F.sum("_tokens").alias("t"))
-    fine = common.written(fine, "buckets")
-    n, total = fine.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("t"), F.lit(0))).first()
-    digits = min(4, max(0, math.ceil(math.log(max(n, 1) / ROWS_PER_BUCKET, 16))))
-    sums = fine.groupBy("_source", F.substring("_b", 1, digits).alias("_b")).agg(F.sum("t").alias("t"))
-    before = sums.select("_source", "_b", (F.sum("t").over(Window.partitionBy("_source").orderBy("_b")) - F.col("t")).alias("_before"))
-    return row.withColumns({"_b": F.substring("_hash", 1, digits), "_weight": weight}), before, int(total)
-
-
-def _finished(rows: DataFrame, before: DataFrame) -> DataFrame:
-    within = Window.partitionBy("_source", "_b").orderBy("_hash", "_id", "_dh").rowsBetween(Window.unboundedPreceding, 0)
-    return rows.where("_weight > 0").join(before, ["_source", "_b"]).withColumn("_finish", (F.col("_before") + F.sum("_tokens").over(within)) / F.col("_weight"))
-
-
-def _mixed(docs: DataFrame, weights: Mapping[str, float] | None, budget_share: float, budget: int | None, seed: str) -> DataFrame:
-    rows, before, total = _numbered(docs, weights, seed)
-    limit = math.floor(budget_share * total) if budget is None else budget
-    # the second pass over the same rows reads them again but carries no text
-    times = common.written(_finished(rows.drop("_row"), before).select(*_ORDER, "_tokens"), "times")
-    most, n = times.agg(F.max("_finish"), F.count("*")).first()
-    out = _finished(rows, before)
-    if most is None:
-        return out
-    width = most / max(1, math.ceil(n / ROWS_PER_BUCKET)) or 1.0
-    span = F.floor(F.col("_finish") / F.lit(width))
-    spans = times.groupBy(span.alias("_span")).agg(F.sum("_tokens").alias("t"))
-    spans = spans.withColumn("upto", F.sum("t").over(Window.orderBy("_span")))
-    over = spans.where(F.col("upto") > limit).orderBy("_span").select("_span", (F.col("upto") - F.col("t")).alias("before")).limit(1).collect()
-    if not over:
-        return out
-    last = times.where(span == over[0]["_span"]).withColumn("upto", over[0]["before"] + F.sum("_tokens").over(Window.orderBy(*_ORDER).rowsBetween(Window.unboundedPreceding, 0)))
-    kept = last.where(F.col("upto") <= limit).agg(F.max(F.struct(*_ORDER)).alias("m")).first()["m"]
-    if kept is None:
-        return out.where(span < over[0]["_span"])
-    end = F.struct(*[F.lit(kept[c]).cast(times.schema[c].dataType).alias(c) for c in _ORDER])
-    return out.where(F.struct(*_ORDER) <= end)
+    return docs.select(*keep, source.alias("_source"), F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_dh"), common.word_count(F.col("text")).alias("_tokens"), F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).alias("_hash"))
+
+
+class Mix:
+    """Finish times of all documents, and which are in the mix.
+
+    The texts are read once, for their lengths; all else works on keys, which are written.
+    """
+
+    def __init__(self, docs: DataFrame, weights: Mapping[str, float] | None, budget_share: float, budget: int | None, seed: str):
+        self.weight = F.lit(1.0)
+        for name, w in (weights or {}).items():
+            self.weight = F.when(F.col("_source") == name, F.lit(float(w))).otherwise(self.weight)
+        keys = common.written(_keyed(docs, seed), "keys")
+        n, total = keys.agg(F.count("*"), F.coalesce(F.sum("_tokens"), F.lit(0))).first()
+        self.digits = max(0, math.ceil(math.log(max(n, 1) / ROWS_PER_BUCKET, 16)))
+        sums = keys.groupBy("_source", self.bucket()).agg(F.sum("_tokens").alias("t"))
+        self.before = common.written(sums.select("_source", "_b", (F.sum("t").over(Window.partitionBy("_source").orderBy("_b")) - F.col("t")).alias("_before")), "before")
+        self.times = common.written(self.finished(keys), "times")
+        self.limit = math.floor(budget_share * total) if budget is None else budget
+        self.inside = self.condition()
+
+    def bucket(self) -> Column:
+        return F.substring("_hash", 1, self.digits).alias("_b")
+
+    def finished(self, rows: DataFrame) -> DataFrame:
+        """Rows with keys, and their finish time."""
+        within = Window.partitionBy("_source", "_b").orderBy("_hash", "_id", "_dh").rowsBetween(Window.unboundedPreceding, 0)
+        rows = rows.where(self.weight > 0).withColumn("_b", self.bucket()).join(self.before, ["_source", "_b"])
+        return rows.withColumn("_finish", (F.col("_before") + F.sum("_tokens").over(within)) / self.weight).drop("_b", "_before")
+
+    def condition(self) -> Column:
+        """Of a row with finish time, whether it's in the mix."""
+        most, n = self.times.agg(F.max("_finish"), F.count("*")).first()
+        if most is None:
+            return F.lit(True)
+        width = most / max(1, math.ceil(n / ROWS_PER_BUCKET)) or 1.0
+        span = F.floor(F.col("_finish") / F.lit(width))
+        spans = self.times.groupBy(span.alias("_span")).agg(F.sum("_tokens").alias("t"))
+        spans = spans.withColumn("upto", F.sum("t").over(Window.orderBy("_span")))
+        over = spans.where(F.col("upto") > self.limit).orderBy("_span").select("_span", (F.col("upto") - F.col("t")).alias("before")).limit(1).collect()
+        if not over:
+            return F.lit(True)
+        last = self.times.where(span == over[0]["_span"]).withColumn("upto", over[0]["before"] + F.sum("_tokens").over(Window.orderBy(*_ORDER).rowsBetween(Window.unboundedPreceding, 0)))
+        kept = last.where(F.col("upto") <= self.limit).agg(F.max(F.struct(*_ORDER)).alias("m")).first()["m"]
+        if kept is None:
+            return span < over[0]["_span"]
+        return F.struct(*_ORDER) <= F.struct(*[F.lit(kept[c]).cast(self.times.schema[c].dataType).alias(c) for c in _ORDER])
 
 
 def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, budget_share: float = BUDGET_SHARE, budget: int | None = None, seed: str = "mix-") -> DataFrame:
@@ -79,12 +86,14 @@ def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, budget_shar
     Documents without tokens cost nothing and stand where their hash puts them. Ties go by source,
     hash, doc_id and text; repeated rows are documents of their own. An empty table gives an empty mix.
     """
-    return _mixed(docs, weights, budget_share, budget, seed).orderBy(*_ORDER).select("_row.*")
+    m = Mix(docs, weights, budget_share, budget, seed)
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
+    return m.finished(_keyed(docs, seed, row)).where(m.inside).orderBy(*_ORDER).select("_row.*")
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = _mixed(common.read(spark, sf_dir, "documents"), None, BUDGET_SHARE, None, "mix-").drop("_row")
-    return m.orderBy(*_ORDER).select(F.col("_id").alias("doc_id"), F.col("_source").alias("source"), F.col("_tokens").alias("n_tokens"), F.col("_finish").alias("finish"))
+    m = Mix(common.read(spark, sf_dir, "documents"), None, BUDGET_SHARE, None, "mix-")
+    return m.times.where(m.inside).orderBy(*_ORDER).select(F.col("_id").alias("doc_id"), F.col("_source").alias("source"), F.col("_tokens").alias("n_tokens"), F.col("_finish").alias("finish"))
 
 
 ORACLE = f"""
