@@ -61,7 +61,7 @@ def local_search(bins: list[list[int]], sizes: np.ndarray, capacity: int) -> lis
         """One move or swap out of bin a into a bin at least as full; whether there was any."""
         mine = np.flatnonzero(home == a)
         own = size[mine]
-        room = np.where((load >= load[a]) & (load < capacity) & (np.arange(len(load)) != a), capacity - load, -1)
+        room = np.where((load > 0) & (load >= load[a]) & (load < capacity) & (np.arange(len(load)) != a), capacity - load, -1)
         top = int(room.max())
         if top <= 0:
             return False
@@ -103,9 +103,12 @@ def local_search(bins: list[list[int]], sizes: np.ndarray, capacity: int) -> lis
         load[a] -= gain
         return True
 
-    for a in np.argsort(load, kind="stable").tolist():
-        while load[a] and step(a):
-            pass
+    changed = True
+    while changed:
+        changed = False
+        for a in np.argsort(load, kind="stable").tolist():
+            while load[a] and step(a):
+                changed = True
     order = np.argsort(home, kind="stable")
     cuts = np.searchsorted(home[order], np.arange(len(live) + 1))
     full = [bins[b] for b in np.flatnonzero(fill >= capacity)]
