@@ -4,12 +4,13 @@ A candidate is a long run of key characters that stands in a sensitive context:
 "token" or "password", or with the prefix of a known key format. Its novelty is what it adds to the
 compressed size of the text around it, where the compressor is primed with a dictionary of code
 identifiers and common words, and its own other occurrences nearby are blanked. Words and identifiers
-add a few bits a character; random strings add as many as their alphabet has.
+add a few bits a character; a random string adds as many as its alphabet has or more, and is reported.
 Scanning is a map over the documents; texts without any sensitive word never leave the JVM.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -64,6 +65,17 @@ def novelty(text: str, start: int, end: int, around: int, words: bytes = IDENTIF
     return len(c.compress(rest + own.encode())) - len(c.compress(rest))
 
 
+def alphabet_bytes(own: str) -> float:
+    """Bytes a character of a random string over the kinds of characters that this one has."""
+    if re.fullmatch("[0-9]+", own):
+        n = 10
+    elif re.fullmatch("[0-9a-f]+|[0-9A-F]+", own):
+        n = 16
+    else:
+        n = sum(k for k, p in ((26, "[a-z]"), (26, "[A-Z]"), (10, "[0-9]"), (4, "[^a-zA-Z0-9]")) if re.search(p, own))
+    return math.log2(n) / 8
+
+
 def find(text: str, around: int, least: float) -> list[tuple[int, int, str, int, float]]:
     """(start, end, kind, marginal bytes, bytes a character) of the secrets of a text."""
     out = []
@@ -76,17 +88,17 @@ def find(text: str, around: int, least: float) -> list[tuple[int, int, str, int,
         if b - a < 12 or not (known or context):
             continue
         more = novelty(text, a, b, around)
-        if more >= least * (b - a):
+        if more >= least * alphabet_bytes(text[a:b]) * (b - a):
             kind = known.group().strip("_-.").lower() if known else re.match(f"(?i:{_WORDS})", context.group()).group().lower()
             out.append((a, b, kind, more, more / (b - a)))
     return out
 
 
-def secrets(docs: DataFrame, around: int = 400, least: float = 0.56) -> DataFrame:
+def secrets(docs: DataFrame, around: int = 400, least: float = 1.0) -> DataFrame:
     """The secrets of each text by position and novelty; the strings themselves are left out.
 
     ``around`` characters on either side are what a candidate is measured against; it is reported
-    if it adds at least ``least`` bytes a character. Null and empty texts and rows without doc_id have
+    if it adds at least ``least`` times the bytes of a random string of its alphabet. Null and empty texts and rows without doc_id have
     none; repeated rows come out as often as they went in. Extra columns are ignored; an empty table
     gives an empty result.
     """
