@@ -79,9 +79,12 @@ def features(lines: list[str]) -> list[tuple]:
     return out
 
 
-def train(convs: list[list[tuple[str, str]]], smooth: float = 0.1) -> Model:
-    """A model of conversations given as turns (role, text), each rendered in every style."""
-    start, move = np.full(STATES, smooth), np.full((STATES, STATES), smooth)
+def train(convs: list[list[tuple[str, str]]], smooth: float = 0.01, smooth_moves: float = 1.0) -> Model:
+    """A model of conversations given as turns (role, text), each rendered in every style.
+
+    Moves are smoothed more than what lines look like: an explicit marker outweighs an odd order of turns.
+    """
+    start, move = np.full(STATES, smooth_moves), np.full((STATES, STATES), smooth_moves)
     counts: list[dict] = [{}, {}, {}, {}]
     for conv in convs:
         for style in STYLES:
