@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK = 4096
+QUERIES, ITEMS = 512, 4096
 PAIRS = "query_id long, item_id long, sim double"
 
 
@@ -66,7 +67,9 @@ def terms(text: Column) -> Column:
 def bm25(queries: DataFrame, items: DataFrame, k: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """(query_id, item_id, score, rank) by BM25 of queries (query_id, text) over items (item_id, text).
 
-    Only postings of terms that some query has are kept before anything is shuffled.
+    Only postings of terms that some query has are kept before anything is shuffled. Blocks of queries
+    then meet blocks of items, and each block keeps the k best of a query: the pairs that share a term
+    are many more than either side, and never leave their task.
     """
     q = queries.select("query_id", F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
     t = items.select("item_id", terms(F.col("text")).alias("t"))
@@ -76,8 +79,31 @@ def bm25(queries: DataFrame, items: DataFrame, k: int, k1: float = 1.2, b: float
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     idf = df.crossJoin(stats).select("term", "avgdl", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
     weight = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    scored = q.join(tf.join(idf, "term").select("term", "item_id", weight.alias("w")), "term").groupBy("query_id", "item_id").agg(F.round(F.sum("w"), 6).alias("score"))
-    return top_k(scored, k)
+    nq, ni = max(1, math.ceil(queries.count() / QUERIES)), max(1, math.ceil(items.count() / ITEMS))
+    postings = tf.join(idf, "term").select("item_id", F.xxhash64("term").alias("term"), weight.alias("w"), F.pmod(F.xxhash64("item_id"), F.lit(ni)).cast("int").alias("ib"), F.explode(F.sequence(F.lit(0), F.lit(nq - 1))).alias("qb"))
+    asked = q.select("query_id", F.xxhash64("term").alias("term"), F.pmod(F.xxhash64("query_id"), F.lit(nq)).cast("int").alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(ni - 1))).alias("ib"))
+
+    def score(a: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
+        out = {"query_id": [], "item_id": [], "score": []}
+        if len(a) and len(p):
+            qids, qrow = np.unique(a["query_id"].to_numpy(), return_inverse=True)
+            iids, irow = np.unique(p["item_id"].to_numpy(), return_inverse=True)
+            a, p = (x.assign(row=r).sort_values(["term", "row"], kind="stable") for x, r in ((a, qrow), (p, irow)))
+            sums = np.zeros((len(qids), len(iids)))
+            met = np.intersect1d(a["term"].to_numpy(), p["term"].to_numpy())
+            at = [np.searchsorted(x["term"].to_numpy(), met, side) for x in (a, p) for side in ("left", "right")]
+            ar, pr, w = a["row"].to_numpy(), p["row"].to_numpy(), p["w"].to_numpy()
+            for a0, a1, p0, p1 in zip(*at):
+                sums[np.ix_(ar[a0:a1], pr[p0:p1])] += w[p0:p1]
+            sums = np.round(sums, 6)
+            top = np.argsort(-sums, axis=1, kind="stable")[:, :k]
+            x, y = np.repeat(np.arange(len(qids)), top.shape[1]), top.ravel()
+            ok = sums[x, y] > 0
+            out = {"query_id": qids[x[ok]], "item_id": iids[y[ok]], "score": sums[x[ok], y[ok]]}
+        return pd.DataFrame(out).astype({"query_id": "int64", "item_id": "int64", "score": "float64"})
+
+    found = asked.groupBy("qb", "ib").cogroup(postings.groupBy("qb", "ib")).applyInPandas(score, "query_id long, item_id long, score double")
+    return top_k(found, k)
 
 
 def _scaled(side: DataFrame, score: str, name: str) -> DataFrame:

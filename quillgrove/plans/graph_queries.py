@@ -12,6 +12,7 @@ from quillgrove.operators import graph as G
 from quillgrove.plans.retrieval_queries import bm25_sql, item_bm25
 from quillgrove.plans.text_queries import labels_sql
 from quillgrove.registry import query, table
+from quillgrove.sources.files import scratch
 
 LEXICONS = {"COND": L.CONDITIONS, "INT": L.INTERVENTIONS, "POP": L.POPULATIONS}
 
@@ -45,9 +46,13 @@ bo AS (SELECT src, dst, type, weight FROM ed UNION ALL SELECT dst, src, type, we
 
 
 def graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges of the documents, built once and read back, as every query goes over them more than once."""
     c = corpus(spark, sf_dir)
     edges = G.institute_edges(c).unionByName(G.year_edges(c)).unionByName(G.concept_edges(c, LEXICONS)).unionByName(G.hub_edges(c, L.HUB))
     edges = edges.unionByName(G.similarity_edges(table(spark, sf_dir, "documents"), L.CONDITIONS), allowMissingColumns=True)
+    path = scratch(spark, "edges")
+    edges.write.parquet(path)
+    edges = spark.read.parquet(path)
     return G.node_table(c, edges), edges
 
 

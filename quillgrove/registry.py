@@ -24,4 +24,12 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table of the data directory. Texts in fewer splits than there are cores are spread over them."""
+    d = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(d, "doc_id") if name == "documents" else d
+
+
+def spread(d: DataFrame, key: str) -> DataFrame:
+    """d as it is, or by hash of key over all cores where its splits are fewer; large tables never are."""
+    cores = d.sparkSession.sparkContext.defaultParallelism
+    return d.repartition(cores, key) if d.rdd.getNumPartitions() < cores else d
