@@ -8,12 +8,14 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillgrove import registry
+
 SPACE = "[ \\t\\n\\r\\f]+"
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     """A table of the data directory."""
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    return registry.table(spark, sf_dir, table)
 
 
 def shared(spark: SparkSession) -> None:

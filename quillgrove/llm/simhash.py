@@ -118,7 +118,7 @@ def signed(docs: DataFrame) -> DataFrame:
     return some.mapInPandas(sign, f"doc_id long, {SIGNATURE}")
 
 
-def plan(n: int, design: int = 16, recall: float = 0.93, bucket: int = 64, least_k: int = 14) -> tuple[int, int]:
+def plan(n: int, design: int = 18, recall: float = 0.95, bucket: int = 64, least_k: int = 14) -> tuple[int, int]:
     """Sampled coordinates and tables for n distinct signatures."""
     k = max(least_k, math.ceil(math.log2(max(n, 2) / bucket)))
     p = (1 - design / BITS) ** k
@@ -158,15 +158,15 @@ def _split(sig: np.ndarray, bucket: np.ndarray, table: np.ndarray, k: int, cap:
         at[bucket] = depth
 
 
-def _near(sig: np.ndarray, a: np.ndarray, b: np.ndarray, words: int, pairs: int) -> np.ndarray:
+def _near(sig: np.ndarray, a: np.ndarray, b: np.ndarray, words: int, pairs: int, total: int) -> np.ndarray:
     one = np.bitwise_count(sig[a, 0] ^ sig[b, 0]).astype(np.int16) + np.bitwise_count(sig[a, 1] ^ sig[b, 1])
     ok = np.flatnonzero(one <= words)
     x, y = a[ok], b[ok]
     two = np.bitwise_count(sig[x, 2] ^ sig[y, 2]).astype(np.int16) + np.bitwise_count(sig[x, 3] ^ sig[y, 3])
-    return ok[two <= pairs]
+    return ok[(two <= pairs) & (one[ok] + two <= total)]
 
 
-def forest(ids: np.ndarray, sig: np.ndarray, bucket: np.ndarray, words: int, pairs: int) -> tuple[np.ndarray, np.ndarray]:
+def forest(ids: np.ndarray, sig: np.ndarray, bucket: np.ndarray, words: int, pairs: int, total: int) -> tuple[np.ndarray, np.ndarray]:
     """A spanning forest of the near pairs within buckets, as pairs of ids."""
     order = np.argsort(bucket, kind="stable")
     ids, sig, bucket = ids[order], sig[order], bucket[order]
@@ -189,7 +189,7 @@ def forest(ids: np.ndarray, sig: np.ndarray, bucket: np.ndarray, words: int, pai
             break
         for at in range(0, len(rows), 1 << 18):
             a = rows[at : at + (1 << 18)]
-            hit = a[_near(sig, a, a + step, words, pairs)]
+            hit = a[_near(sig, a, a + step, words, pairs, total)]
             if len(hit):
                 while not np.array_equal(root, flat := root[root]):
                     root[:] = flat
@@ -204,11 +204,11 @@ def forest(ids: np.ndarray, sig: np.ndarray, bucket: np.ndarray, words: int, pai
     return ids[left], ids[right]
 
 
-def groups(docs: DataFrame, words: int = 20, pairs: int = 32, cap: int = 1000, signatures_per_task: int = 40_000) -> DataFrame:
+def groups(docs: DataFrame, words: int = 24, pairs: int = 32, total: int = 52, cap: int = 1000, signatures_per_task: int = 40_000) -> DataFrame:
     """(doc_id, group_id) of every document that has a near copy; group_id is the group's least doc_id.
 
     Two documents are near if at most ``words`` of the 128 word bits and ``pairs`` of the 128 pair
-    bits differ; groups are the connected components. Null and wordless texts, and rows without a
+    bits differ, ``total`` of both; groups are the connected components. Null and wordless texts, and rows without a
     doc_id, are in no group. Rows that share a doc_id are one document; repeated rows give one row.
     Ties go to the least doc_id. Extra columns are ignored; an empty table gives no group.
     """
@@ -235,7 +235,7 @@ def groups(docs: DataFrame, words: int = 20, pairs: int = 32, cap: int = 1000, s
             mine = table == t
             key[mine] = _key(sig[mine], _coordinates(t)[:k])
         bucket = np.unique(np.stack([table, key]), axis=1, return_inverse=True)[1].reshape(-1)
-        a, b = forest(part["id"].to_numpy(), sig, _split(sig, bucket, table, k, cap), words, pairs)
+        a, b = forest(part["id"].to_numpy(), sig, _split(sig, bucket, table, k, cap), words, pairs, total)
         return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
     edges = distinct.mapInPandas(sample, f"{SIGNATURE}, id long, shard int, tab int").groupBy("shard").applyInPandas(compare, "a long, b long")
