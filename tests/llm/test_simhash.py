@@ -3,7 +3,7 @@ import numpy as np
 from quillgrove.llm import common, simhash
 
 
-def brute(ids, sig, words=20, pairs=32):
+def brute(ids, sig, words=24, pairs=32, total=52):
     """group_id by id, from all pairs."""
     root = {i: i for i in ids}
 
@@ -15,7 +15,7 @@ def brute(ids, sig, words=20, pairs=32):
     for i in range(len(ids)):
         one = np.bitwise_count(sig[i, :2] ^ sig[i + 1 :, :2]).sum(1)
         two = np.bitwise_count(sig[i, 2:] ^ sig[i + 1 :, 2:]).sum(1)
-        for j in np.flatnonzero((one <= words) & (two <= pairs)):
+        for j in np.flatnonzero((one <= words) & (two <= pairs) & (one.astype(int) + two <= total)):
             a, b = find(ids[i]), find(ids[i + 1 + int(j)])
             root[max(a, b)] = min(a, b)
     group = {i: find(i) for i in ids}
@@ -52,7 +52,7 @@ def test_oversized_buckets_are_split_and_nothing_is_skipped():
     table = np.zeros(len(sig), dtype=np.int64)
     bucket = simhash._split(sig, np.zeros(len(sig), dtype=np.int64), table, 4, 50)
     assert np.bincount(bucket).max() <= max(50, 62)
-    a, b = simhash.forest(ids, sig, np.zeros(len(sig), dtype=np.int64), 20, 32)
+    a, b = simhash.forest(ids, sig, np.zeros(len(sig), dtype=np.int64), 24, 32, 52)
     assert len(a) == len(sig) - 1
 
 
