@@ -19,6 +19,11 @@ class Lexicon:
     def of(cls, entries: Mapping[str, Iterable[str]]) -> "Lexicon":
         return cls(tuple((k, tuple(v)) for k, v in entries.items()))
 
+    @classmethod
+    def parse(cls, lines: str) -> "Lexicon":
+        """A lexicon of lines "label: word | word"."""
+        return cls.of({k.strip(): [w.strip() for w in ws.split("|")] for k, _, ws in (x.partition(":") for x in lines.strip().splitlines())})
+
     @property
     def labels(self) -> list[str]:
         return [k for k, _ in self.entries]
@@ -83,37 +88,37 @@ WEIGHTED = (("of the", 3.0), ("and in", 2.5), ("rest", 2.0), ("there", 1.5), ("h
 TOPICS = Lexicon.of({**dict(CONDITIONS.entries), **dict(INTERVENTIONS.entries), **dict(POPULATIONS.entries)})
 
 #: Health-grant lexicons; pass them where the texts are of that domain.
-HEALTH_CONDITIONS = Lexicon.of({
-    "diabetes": ["diabet", "glycemic", "hba1c", "insulin"],
-    "hypertension": ["blood pressure", "cardiovascular", "heart disease", "hypertension", "stroke", "systolic"],
-    "depression": ["antidepressant", "depressi", "phq-9"],
-    "anxiety": ["anxiety", "gad-7", "panic disorder"],
-    "HIV": ["aids", "antiretroviral", "art", "hiv", "prep"],
-    "asthma": ["asthma", "bronchial", "inhaler", "pulmonary"],
-    "cancer": ["cancer", "carcinoma", "colonoscopy", "mammography", "oncology", "tumor"],
-    "obesity": ["bmi", "obesity", "overweight", "weight loss"],
-    "substance_use": ["addiction", "alcohol use", "buprenorphine", "drug use", "naloxone", "opioid", "substance use"],
-    "social_determinants": ["food insecurity", "housing instability", "sdoh", "social determinants", "social needs"],
-})
-HEALTH_INTERVENTIONS = Lexicon.of({
-    "CHW": ["chw", "community health educator", "community health worker", "lay health advisor", "promotora"],
-    "telehealth": ["mhealth", "mobile health", "remote monitoring", "telehealth", "telemedicine", "virtual visit"],
-    "navigation": ["care coordination", "care manager", "navigator", "patient navigation"],
-    "screening": ["early detection", "health screening", "preventive screening", "screening program"],
-    "education": ["health education", "health literacy", "patient education", "self-management"],
-    "behavioral": ["behavioral intervention", "cbt", "cognitive behavioral", "counseling", "motivational interviewing"],
-    "medication": ["medication adherence", "medication management", "pharmacist"],
-    "integrated_care": ["behavioral health integration", "co-located", "collaborative care", "integrated care"],
-})
-HEALTH_POPULATIONS = Lexicon.of({
-    "Latino": ["hispanic", "latino", "latinx", "promotora", "spanish speaking"],
-    "African_American": ["african american", "african-american", "black"],
-    "pediatric": ["adolescent", "child health", "children", "pediatric", "school based", "youth"],
-    "geriatric": ["aging", "elderly", "geriatric", "older adult", "senior"],
-    "rural": ["appalachian", "frontier", "rural"],
-    "low_income": ["economically", "low income", "low-income", "poverty", "underserved"],
-    "Medicaid": ["medicaid", "safety-net", "underinsured", "uninsured"],
-    "LGBTQ": ["lgbtq", "msm", "sexual minority", "transgender"],
-})
+HEALTH_CONDITIONS = Lexicon.parse("""
+diabetes: diabet | glycemic | hba1c | insulin
+hypertension: blood pressure | cardiovascular | heart disease | hypertension | stroke | systolic
+depression: antidepressant | depressi | phq-9
+anxiety: anxiety | gad-7 | panic disorder
+HIV: aids | antiretroviral | art | hiv | prep
+asthma: asthma | bronchial | inhaler | pulmonary
+cancer: cancer | carcinoma | colonoscopy | mammography | oncology | tumor
+obesity: bmi | obesity | overweight | weight loss
+substance_use: addiction | alcohol use | buprenorphine | drug use | naloxone | opioid | substance use
+social_determinants: food insecurity | housing instability | sdoh | social determinants | social needs
+""")
+HEALTH_INTERVENTIONS = Lexicon.parse("""
+CHW: chw | community health educator | community health worker | lay health advisor | promotora
+telehealth: mhealth | mobile health | remote monitoring | telehealth | telemedicine | virtual visit
+navigation: care coordination | care manager | navigator | patient navigation
+screening: early detection | health screening | preventive screening | screening program
+education: health education | health literacy | patient education | self-management
+behavioral: behavioral intervention | cbt | cognitive behavioral | counseling | motivational interviewing
+medication: medication adherence | medication management | pharmacist
+integrated_care: behavioral health integration | co-located | collaborative care | integrated care
+""")
+HEALTH_POPULATIONS = Lexicon.parse("""
+Latino: hispanic | latino | latinx | promotora | spanish speaking
+African_American: african american | african-american | black
+pediatric: adolescent | child health | children | pediatric | school based | youth
+geriatric: aging | elderly | geriatric | older adult | senior
+rural: appalachian | frontier | rural
+low_income: economically | low income | low-income | poverty | underserved
+Medicaid: medicaid | safety-net | underinsured | uninsured
+LGBTQ: lgbtq | msm | sexual minority | transgender
+""")
 HEALTH_HUB = ("community health center", "fqhc", "federally qualified health center", "health disparities", "medically underserved", "safety-net clinic")
 HEALTH_WEIGHTED = (("medicaid", 1.5), ("uninsured", 1.5), ("low-income", 1.5), ("primary care access", 1.5), ("health disparities", 2.0), ("medically underserved", 2.0), ("safety-net clinic", 2.5), ("community health center", 2.5), ("fqhc", 3.0), ("federally qualified health center", 3.0))

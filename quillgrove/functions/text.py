@@ -9,8 +9,13 @@ from pyspark.sql import functions as F
 
 LIGATURES = {"ﬁ": "fi", "ﬂ": "fl", "ﬀ": "ff", "ﬃ": "ffi", "ﬄ": "ffl"}
 QUOTES = {"’": "'", "``": '"', "''": '"'}
-EMAIL, URL, PHONE = r"(?<!\S)\S+@\S+\.\S+", r"https?://\S+", r"\(?\d{3}\)?[-.\s]?\d{3}[-.\s]?\d{4}"
-BOILERPLATE = (r"(?i)NOT-[A-Z]+-\d+-\d+", r"(?i)RFA-[A-Z]+-\d+-\d+", r"(?i)PA-\d+-\d+", r"(?i)Page \d+ of \d+", r"(?i)OMB No\. \d+-\d+", r"(?i)Expiration Date:.*")
+#: Pieces of the patterns below: white space, a number, white space or not, white space at least once.
+W, N = r"\p{Space}", "[0-9]+"
+Ws, W1 = f"{W}*", f"{W}+"
+EMAIL, URL = r"(?<!\S)\S+@\S+\.\S+", r"https?://\S+"
+_GAP = f"(?:[.-]|{W})?"
+PHONE = f"[(]?[0-9]{{3}}[)]?{_GAP}[0-9]{{3}}{_GAP}[0-9]{{4}}"
+BOILERPLATE = tuple(f"(?i){p}" for p in (f"(?:NOT|RFA)-[A-Z]+-{N}-{N}", f"PA-{N}-{N}", f"Page {N} of {N}", f"OMB No[.] {N}-{N}", "Expiration Date:.*"))
 
 
 def some(text: Column) -> Column:
@@ -59,9 +64,10 @@ def clean_page(text: Column) -> Column:
         return F.when(broken, mended).otherwise(F.concat(done, F.array(line)))
 
     lines = F.aggregate(page_lines(text), F.array().cast("array<string>"), join)
-    t = F.regexp_replace(F.array_join(lines, "\n"), r"\n{3,}", "\n\n")
-    t = F.regexp_replace(F.regexp_replace(t, r"[ \t]{2,}", " "), r"\f", "\n\n")
-    return F.trim(without(t, r"(?i)PHS\s+\d{3,}\s*\(Rev\.\s*[\d/]+\)", r"(?i)OMB\s+No\.\s*[\d\-]+", r"(?i)Continuation\s+Format\s+Page", r"(?i)Page\s+\d+\s+of\s+\d+"))
+    t = F.regexp_replace(F.array_join(lines, "\n"), "\n\n\n+", "\n\n")
+    t = F.replace(F.regexp_replace(t, "[ \t][ \t]+", " "), F.lit("\f"), F.lit("\n\n"))
+    forms = (f"PHS{W1}[0-9]{{3,}}{Ws}[(]Rev[.]{Ws}[0-9/]+[)]", f"OMB{W1}No[.]{Ws}[0-9-]+", f"Continuation{W1}Format{W1}Page", f"Page{W1}{N}{W1}of{W1}{N}")
+    return F.trim(without(t, *[f"(?i){p}" for p in forms]))
 
 
 def clean_ocr(text: Column) -> Column:
@@ -86,8 +92,8 @@ def requirements_section(text: Column) -> Column:
 def clean_by_type(text: Column, kind: Column) -> Column:
     """The cleaning for the type of document: grants, calls, abstracts, all else."""
     t = some(text)
-    author = r"^[A-Z][a-z]+ [A-Z]\. [A-Z][a-z]+,? (?:et al\.?,? )?"
-    abstract = F.trim(without(t, r"(?i)^(ABSTRACT|SUMMARY|BACKGROUND)\s*[:]?\s*", author))
+    name = "[A-Z][a-z]+"
+    abstract = F.trim(without(t, f"(?i)^(?:BACKGROUND|SUMMARY|ABSTRACT){Ws}:?{Ws}", f"^{name} [A-Z][.] {name},? (?:et al[.]?,? )?"))
     return F.when(kind == "nih_grant", without(t, *BOILERPLATE)).when(kind == "rfp", F.coalesce(requirements_section(t), scrub(t))).when(kind == "research_abstract", abstract).otherwise(scrub(t))
 
 
@@ -120,14 +126,14 @@ def word_count(text: Column) -> Column:
 
 def sentences(text: Column) -> Column:
     """Split at white space after . ! or ?; blank ones are dropped."""
-    return F.filter(F.transform(F.split(some(text), r"(?<=[.!?])\s+"), lambda s: F.trim(s)), lambda s: s != "")
+    return F.filter(F.transform(F.split(some(text), f"(?<=[?!.]){W1}"), lambda s: F.trim(s)), lambda s: s != "")
 
 
 def paragraphs(text: Column, delimiter: str = "\n\n") -> Column:
     return F.filter(F.transform(F.split(some(text), delimiter), lambda p: F.trim(p)), lambda p: p != "")
 
 
-GRANT = r"\b([A-Z]\d{2}[A-Z]{2}\d{6}(?:-\d{2}[A-Z]?)?)\b"
+GRANT = r"\b([A-Z][0-9][0-9][A-Z][A-Z][0-9]{6}(?:-[0-9][0-9][A-Z]?)?)\b"
 
 
 def fields(name: Column, text: Column, codes: Mapping[str, str] | None = None) -> dict[str, Column]:
@@ -140,7 +146,7 @@ def fields(name: Column, text: Column, codes: Mapping[str, str] | None = None) -
     own = F.regexp_extract(some(name), r"\b(20\d{2})\b", 1)
     found = F.regexp_extract(head, r"\b(20\d{2})\b", 1)
     year = F.coalesce(F.nullif(own, empty).cast("int"), F.when(F.nullif(found, empty).cast("int").between(2000, 2030), found.cast("int")))
-    title = F.nullif(F.trim(F.regexp_extract(head, r"(?i)(?:Project\s+Title|Title)[:\s]+([^\n]{10,150})", 1)), empty)
+    title = F.nullif(F.trim(F.regexp_extract(head, f"(?i)(?:Project{W1})?Title(?::|{W})+([^\n]{{10,150}})", 1)), empty)
     return {"grant_number": number, "institute": F.coalesce(F.try_element_at(named, code), code), "year": year, "title": title}
 
 
@@ -182,12 +188,16 @@ def quality_rank(quality: Column) -> Column:
     return F.when(quality == "high", 3).when(quality == "medium", 2).when(quality == "low", 1).otherwise(0)
 
 
+def _until(start: str, gap: str, *stops: str) -> str:
+    """From what follows start to the first of stops, or the end."""
+    return f"(?is){start}{gap}(.+?)(?={'|'.join([*stops, '$'])})"
+
+
+_MUST, _SHOULD, _WILL = (f"{who}s? {verb}" for who, verb in (("Applicant", "must"), ("Proposal", "should"), ("Project", "will")))
 REQUIREMENTS = (
-    r"(?is)Requirements?:?\s*(.+?)(?=Requirements?|Qualifications|Deliverables|$)",
-    r"(?is)Applicants? must\s*(.+?)(?=\.|Applicants? must|$)",
-    r"(?is)Proposals? should\s*(.+?)(?=\.|Proposals? should|$)",
-    r"(?is)Projects? will\s*(.+?)(?=\.|Projects? will|$)",
-    r"(?is)Key\s+(?:Components|Elements):?\s*(.+?)(?=Key|$)",
+    _until("Requirements?:?", Ws, "Requirements?", "Qualifications", "Deliverables"),
+    *[_until(p, Ws, "[.]", p) for p in (_MUST, _SHOULD, _WILL)],
+    _until(f"Key{W1}(?:Elements|Components):?", Ws, "Key"),
 )
 
 

@@ -60,7 +60,7 @@ def p3_clean_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _digest(_docs(spark, sf_dir), T.clean_page(F.col("text")))
 
 
-OCR_SQL = r"trim(regexp_replace(regexp_replace(regexp_replace(replace(replace(regexp_replace({}, '\n\s*\n\s*\n+', chr(10) || chr(10), 'g'), 'ﬁ', 'fi'), 'ﬂ', 'fl'), '-\s*\d+\s*-', '', 'g'), '\n\d+\n', chr(10), 'g'), '[ \t]+', ' ', 'g'))"
+OCR_SQL = r"trim(regexp_replace(regexp_replace(regexp_replace(replace(replace(regexp_replace({}, '\n[[:space:]]*\n[[:space:]]*\n+', chr(10) || chr(10), 'g'), 'ﬁ', 'fi'), 'ﬂ', 'fl'), '-[[:space:]]*[0-9]+[[:space:]]*-', '', 'g'), '\n[0-9]+\n', chr(10), 'g'), '[ \t]+', ' ', 'g'))"
 
 
 @query(digest_sql(OCR_SQL.format("text")))
@@ -68,12 +68,12 @@ def p4_ocr(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _digest(_docs(spark, sf_dir), T.clean_ocr(F.col("text")))
 
 
-SCRUB_SQL = r"regexp_replace(regexp_replace(regexp_replace({0}, '\S+@\S+\.\S+', '', 'g'), 'https?://\S+', '', 'g'), '\(?\d{{3}}\)?[-.\s]?\d{{3}}[-.\s]?\d{{4}}', '', 'g')"
+SCRUB_SQL = r"regexp_replace(regexp_replace(regexp_replace({0}, '[^[:space:]]+@[^[:space:]]+[.][^[:space:]]+', '', 'g'), 'https?://[^[:space:]]+', '', 'g'), '[(]?[0-9]{{3}}[)]?[-.[:space:]]?[0-9]{{3}}[-.[:space:]]?[0-9]{{4}}', '', 'g')"
 _GRANT = "text"
-for _p in (r"NOT-[A-Z]+-\d+-\d+", r"RFA-[A-Z]+-\d+-\d+", r"PA-\d+-\d+", r"Page \d+ of \d+", r"OMB No\. \d+-\d+", r"Expiration Date:.*"):
+for _p in ("(?:RFA|NOT)-[A-Z]+-[0-9]+-[0-9]+", "PA-[0-9]+-[0-9]+", "Page [0-9]+ of [0-9]+", "OMB No[.] [0-9]+-[0-9]+", "Expiration Date:.*"):
     _GRANT = f"regexp_replace({_GRANT}, '{_p}', '', 'gi')"
 BY_TYPE_SQL = rf"""CASE k WHEN 0 THEN {_GRANT}
-  WHEN 1 THEN trim(regexp_replace(regexp_replace(text, '^(ABSTRACT|SUMMARY|BACKGROUND)\s*[:]?\s*', '', 'i'), '^[A-Z][a-z]+ [A-Z]\. [A-Z][a-z]+,? (?:et al\.?,? )?', ''))
+  WHEN 1 THEN trim(regexp_replace(regexp_replace(text, '^(?:SUMMARY|ABSTRACT|BACKGROUND)[[:space:]]*:?[[:space:]]*', '', 'i'), '^[[:upper:]][[:lower:]]+ [[:upper:]][.] [[:upper:]][[:lower:]]+,? (?:et al[.]?,? )?', ''))
   ELSE {SCRUB_SQL.format("text")} END"""
 _BY_TYPE = f"(SELECT doc_id, text, doc_id % 3 AS k FROM documents)"
 
@@ -92,7 +92,7 @@ def p6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _digest(_docs(spark, sf_dir), T.scrub(F.col("text")))
 
 
-STRUCTURE_SQL = r"regexp_replace(regexp_replace(regexp_replace({}, '\n\s*\n\s*\n+', chr(10) || chr(10), 'g'), '(?m)^\s*[\-\*•]\s+', '• ', 'g'), '(?m)^\s*\d+\.\s+', '1. ', 'g')"
+STRUCTURE_SQL = r"regexp_replace(regexp_replace(regexp_replace({}, '\n[[:space:]]*\n[[:space:]]*\n+', chr(10) || chr(10), 'g'), '(?m)^[[:space:]]*[*•-][[:space:]]+', '• ', 'g'), '(?m)^[[:space:]]*[0-9]+[.][[:space:]]+', '1. ', 'g')"
 
 
 @query(digest_sql(STRUCTURE_SQL.format("replace(text, ' | ', chr(10) || ' - ')")))
@@ -134,17 +134,17 @@ def p12_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", F.size("p").cast("long").alias("n_paragraphs"), F.md5(F.array_join("p", "|")).alias("digest"))
 
 
-CODES = {"CA": "NCI", "MD": "NIMHD", "MH": "NIMH"}
+CODES = {"MH": "NIMH", "MD": "NIMHD", "CA": "NCI"}
 _NAME = "CASE doc_id % 4 WHEN 0 THEN 'R01MD' || CAST(100000 + doc_id AS VARCHAR) || ' 2024.pdf' WHEN 1 THEN 'U01ZZ' || CAST(100000 + doc_id AS VARCHAR) || '-02.pdf' ELSE 'plain 2019' END"
 _TITLED = "CASE WHEN doc_id % 2 = 0 THEN 'Title: ' || text ELSE text END"
 
 
 @query(rf"""WITH x AS (SELECT doc_id, {_NAME} AS name, substr({_TITLED}, 1, 2000) AS head FROM documents),
-n AS (SELECT *, coalesce(nullif(regexp_extract(name, '\b([A-Z]\d{{2}}[A-Z]{{2}}\d{{6}}(?:-\d{{2}}[A-Z]?)?)\b', 1), ''), nullif(regexp_extract(head, '\b([A-Z]\d{{2}}[A-Z]{{2}}\d{{6}}(?:-\d{{2}}[A-Z]?)?)\b', 1), '')) AS grant_number,
+n AS (SELECT *, coalesce(nullif(regexp_extract(name, '\b([A-Z][0-9]{{2}}[A-Z]{{2}}[0-9]{{6}}(?:-[0-9]{{2}}[A-Z]?)?)\b', 1), ''), nullif(regexp_extract(head, '\b([A-Z][0-9]{{2}}[A-Z]{{2}}[0-9]{{6}}(?:-[0-9]{{2}}[A-Z]?)?)\b', 1), '')) AS grant_number,
   regexp_extract(name, '\b(20\d{{2}})\b', 1) AS own, regexp_extract(head, '\b(20\d{{2}})\b', 1) AS found FROM x)
 SELECT doc_id, grant_number, CASE substr(grant_number, 4, 2) WHEN 'CA' THEN 'NCI' WHEN 'MD' THEN 'NIMHD' WHEN 'MH' THEN 'NIMH' ELSE substr(grant_number, 4, 2) END AS institute,
   coalesce(CAST(nullif(own, '') AS INTEGER), CASE WHEN CAST(nullif(found, '') AS INTEGER) BETWEEN 2000 AND 2030 THEN CAST(found AS INTEGER) END) AS year,
-  nullif(trim(regexp_extract(head, '(?i)(?:Project\s+Title|Title)[:\s]+([^\n]{{10,150}})', 1)), '') AS title FROM n""")
+  nullif(trim(regexp_extract(head, '(?i)(?:Project[[:space:]]+)?Title[:[:space:]]+([^\n]{{10,150}})', 1)), '') AS title FROM n""")
 def p13_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = (F.lit(100000) + F.col("doc_id")).cast("string")
     name = F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("R01MD"), n, F.lit(" 2024.pdf"))).when(F.col("doc_id") % 4 == 1, F.concat(F.lit("U01ZZ"), n, F.lit("-02.pdf"))).otherwise("plain 2019")
@@ -346,7 +346,7 @@ def l15_key_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return key_terms(_docs(spark, sf_dir))
 
 
-_BUCKET_SQL = f"CASE WHEN kind = 'methods' OR {L.any_sql(['approach', 'method'])} THEN 'methods_approach' WHEN kind = 'background' THEN 'background_significance' WHEN kind = 'innovation' OR contains(t, 'innovative') THEN 'innovation' WHEN kind = 'results' OR {L.any_sql(['outcome', 'result'])} THEN 'evaluation_outcomes' WHEN {L.any_sql(['implement', 'plan', 'schedule', 'timeline'])} THEN 'implementation_plan' WHEN {L.any_sql(['budget', 'cost', 'funding', 'resource'])} THEN 'budget_justification' ELSE 'methods_approach' END"
+_BUCKET_SQL = f"CASE WHEN kind = 'methods' OR {L.any_sql(['approach', 'method'])} THEN 'methods_approach' WHEN kind = 'background' THEN 'background_significance' WHEN kind = 'innovation' OR contains(t, 'innovative') THEN 'innovation' WHEN kind = 'results' OR {L.any_sql(['outcome', 'result'])} THEN 'evaluation_outcomes' WHEN {L.any_sql(['implement', 'plan', 'schedule', 'timeline'])} THEN 'implementation_plan' WHEN {L.any_sql(['cost', 'resource', 'budget', 'funding'])} THEN 'budget_justification' ELSE 'methods_approach' END"
 _KIND_SQL = f"(SELECT *, {CHUNK_TYPE_SQL} AS kind FROM {_T})"
 
 
