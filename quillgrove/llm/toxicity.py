@@ -143,20 +143,27 @@ def _minhashes(words: list[str], n: int = 4) -> list[int]:
 def fit_rows(rows: pd.DataFrame, prior: float = 0.5, min_docs: int = 4, min_z: float = 3.5, min_calibration: int = 200) -> Model:
     """A model of labelled rows (text, lang, toxic)."""
     seen: set[int] = set()
-    docs: list[tuple[list[str], str, int]] = []
+    # words are split again where they are needed: as lists they would take more than all else
+    docs: list[tuple[str, str, int]] = []
     for text, lang, toxic in zip(rows.text, rows.lang, rows.toxic):
-        words = WORD.findall((text or "").lower())
+        text = (text or "").lower()
+        words = WORD.findall(text)
         if not words:
             continue
         own = _minhashes(words)
         if seen.isdisjoint(own):
-            docs.append((words, lang or "", int(toxic)))
+            docs.append((text, lang or "", int(toxic)))
         seen.update(own)
     counts: tuple[Counter, Counter] = (Counter(), Counter())
     n = [0, 0]
-    for words, _, toxic in docs:
+    for text, _, toxic in docs:
         n[toxic] += 1
-        counts[toxic].update({t for w in set(words) for t in tokens(w)})
+        if toxic:
+            counts[1].update({t for w in set(WORD.findall(text)) for t in tokens(w)})
+    # of the clean documents, only what some toxic one has, too, matters at first
+    for text, _, toxic in docs:
+        if not toxic:
+            counts[0].update({t for w in set(WORD.findall(text)) for t in tokens(w) if t in counts[1]})
     model = Model()
     if not n[0] or not n[1]:
         return model
@@ -179,19 +186,26 @@ def fit_rows(rows: pd.DataFrame, prior: float = 0.5, min_docs: int = 4, min_z: f
     for word in sorted(w for w in counts[1] if not w.endswith("*")):
         weigh(word)
     stems = {t for t, s in found.items() if s > 0 and t.endswith("*")}
-    for word in sorted(w for w in counts[0] if not w.endswith("*") and w not in counts[1]):
-        if any(t in stems for t in tokens(word)[:-1]):
-            weigh(word)
+    # then the words that only clean documents have, if a toxic beginning would catch them
+    caught: set[str] = set()
+    for text, _, toxic in docs:
+        if not toxic:
+            own = {w for w in set(WORD.findall(text)) if w not in counts[1] and any(w[:k] + "*" in stems for k in STEMS if len(w) > k)}
+            counts[0].update({t for w in own for t in tokens(w) if t not in counts[1]})
+            caught |= own
+    for word in sorted(caught):
+        weigh(word)
     model.known = {t: s for t, s in found.items() if s > 0 or any(t[:k] + "*" in stems for k in STEMS if len(t) > k)}
     scores = model.lookup()
-    share = [np.mean([scores[w] > 0 for w in words]) for words, _, toxic in docs if toxic] or [0.0]
+    share = [np.mean([scores[w] > 0 for w in WORD.findall(text)]) for text, _, toxic in docs if toxic] or [0.0]
     model.drift = float(min(0.2, max(0.02, -math.log1p(-min(0.5, float(np.mean(share)))))))
     scores = model.lookup()
     best: dict[str, list[tuple[int, float]]] = {}
     spread: dict[str, Counter] = {}
-    for words, lang, toxic in docs:
+    for text, lang, toxic in docs:
         if toxic:
             continue
+        words = WORD.findall(text)
         s = np.fromiter(map(scores.__getitem__, words), float, len(words))
         top = max((x[2] for x in segments(s)), default=0.0)
         values = Counter(np.round(s, 2).tolist())
