@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillgrove.llm import common
+from quillgrove.llm.license_texts import TEXTS
 
 WORD = re.compile(r"[^\W_]+")
 FOUND = "doc_id long, template string, start_char int, end_char int, template_start int, template_end int, n_covered int, coverage double"
@@ -28,7 +29,27 @@ _BSD = "redistribution and use in source and binary forms with or without modifi
 _BSD_END = "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed"
 _GNU = "this program is free software you can redistribute it and or modify it under the terms of the gnu {0} public license as published by the free software foundation either version {1} of the license or at your option any later version this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu {0} public license for more details you should have received a copy of the gnu {0} public license along with this program"
 
-#: Public licence notices: full headers, and the one-line statements in use for them.
+_BSD_4 = "all advertising materials mentioning features or use of this software must display the following acknowledgement this product includes software developed by"
+#: Names of licences in sentences, by SPDX name.
+_NAMES = {
+    "MIT": ["mit license", "expat license"], "ISC": ["isc license"], "Zlib": ["zlib license"], "Unlicense": ["unlicense license"], "BSL-1.0": ["boost software license"],
+    "Apache-2.0": ["apache license", "apache license version 2 0", "apache license v2 0", "apache license 2 0", "apache 2 0 license", "apache software license"],
+    "BSD-2-Clause": ["bsd 2 clause license", "simplified bsd license", "2 clause bsd license"], "BSD-3-Clause": ["bsd 3 clause license", "new bsd license", "modified bsd license", "3 clause bsd license"],
+    "BSD-4-Clause": ["bsd 4 clause license", "original bsd license", "4 clause bsd license"], "BSD": ["bsd license"],
+    **{f"{k}{v}": [f"{name}{w}" for name in names for w in ws] for k, names in {"GPL": ["gnu general public license", "gnu gpl"], "LGPL": ["gnu lesser general public license", "gnu lgpl"], "AGPL": ["gnu affero general public license", "gnu agpl"], "GFDL": ["gnu free documentation license"]}.items()
+       for v, ws in {"": [""], **{f"-{v}": [f" version {v.replace('.', ' ')}", f" v{v.replace('.', ' ')}", f" version {v[0]}", f" v{v[0]}"] if v.endswith(".0") else [f" version {v.replace('.', ' ')}", f" v{v.replace('.', ' ')}"] for v in {"GPL": ["2.0", "3.0"], "LGPL": ["2.1", "3.0"], "AGPL": ["3.0"], "GFDL": ["1.2", "1.3"]}[k]}}.items()},
+    **{f"{k}{'-' if v else ''}{v}": [f"{name}{f}{v.replace('.', ' ')}" for f in ([""] if not v else [" version ", " v ", " v", " "])] for k, name, vs in (("MPL", "mozilla public license", ["", "1.1", "2.0"]), ("EPL", "eclipse public license", ["", "1.0", "2.0"]), ("CDDL", "common development and distribution license", ["", "1.0", "1.1"]), ("Artistic", "artistic license", ["", "1.0", "2.0"])) for v in vs},
+}
+_SPDX = """
+0BSD AFL-3.0 AGPL-3.0 AGPL-3.0-only AGPL-3.0-or-later Apache-1.1 Apache-2.0 Artistic-1.0 Artistic-1.0-Perl Artistic-2.0 BlueOak-1.0.0 BSD-1-Clause BSD-2-Clause BSD-2-Clause-Patent
+BSD-3-Clause BSD-3-Clause-Clear BSD-4-Clause BSL-1.0 BUSL-1.1 CC-BY-3.0 CC-BY-4.0 CC-BY-NC-4.0 CC-BY-NC-ND-4.0 CC-BY-NC-SA-4.0 CC-BY-ND-4.0 CC-BY-SA-3.0 CC-BY-SA-4.0 CC0-1.0 CDDL-1.0 CDDL-1.1
+CECILL-2.1 CPL-1.0 ECL-2.0 EPL-1.0 EPL-2.0 EUPL-1.1 EUPL-1.2 GFDL-1.2 GFDL-1.2-only GFDL-1.2-or-later GFDL-1.3 GFDL-1.3-only GFDL-1.3-or-later GPL-1.0 GPL-1.0-only GPL-1.0-or-later GPL-2.0 GPL-2.0+
+GPL-2.0-only GPL-2.0-or-later GPL-3.0 GPL-3.0+ GPL-3.0-only GPL-3.0-or-later ISC LGPL-2.0 LGPL-2.0-only LGPL-2.0-or-later LGPL-2.1 LGPL-2.1+ LGPL-2.1-only LGPL-2.1-or-later LGPL-3.0 LGPL-3.0-only
+LGPL-3.0-or-later LPPL-1.3c MIT MIT-0 MPL-1.1 MPL-2.0 MS-PL MS-RL MulanPSL-2.0 NCSA ODbL-1.0 OFL-1.1 OSL-3.0 PHP-3.01 PostgreSQL PSF-2.0 Python-2.0 Ruby SSPL-1.0 UPL-1.0 Unlicense Vim W3C WTFPL X11 Zlib ZPL-2.1
+""".split()
+_EITHER = ["MIT", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "GPL-2.0", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later", "LGPL-2.1-only", "LGPL-2.1-or-later", "ISC", "MPL-2.0", "EPL-2.0", "Unlicense", "Zlib", "CC0-1.0"]
+
+#: Public licence notices: full headers, the one-line statements in use for them, SPDX lines, and whole texts.
 TEMPLATES: dict[str, str] = {
     "MIT": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software " + _DISCLAIMER,
     "ISC": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies the software is provided as is and the author disclaims all warranties with regard to this software",
@@ -61,6 +82,10 @@ TEMPLATES: dict[str, str] = {
         **{f"CC-{k.upper().replace(' ', '-')}-4.0": [f"licensed under cc {k} 4 0", f"licensed under a creative commons {long} 4 0 international license"] for k, long in {
             "by": "attribution", "by sa": "attribution sharealike", "by nc": "attribution noncommercial", "by nd": "attribution noderivatives", "by nc sa": "attribution noncommercial sharealike", "by nc nd": "attribution noncommercial noderivatives"}.items()},
     }.items() for i, text in enumerate(lines, 1)},
+    "BSD-4-Clause": f"{_BSD} {_BSD_4}",
+    **{f"{name} (under {i})": f"under the {of}{phrase}" for name, phrases in _NAMES.items() for i, (of, phrase) in enumerate([(of, p) for p in phrases for of in ("", "terms of the ", "terms and conditions of the ")], 1)},
+    **{f"{name} (spdx)": f"spdx license identifier {name}" for name in [*_SPDX, *[f"{a} {op} {b}" for a in _EITHER for b in _EITHER if a != b for op in ("OR", "AND")]]},
+    **TEXTS,
 }
 
 
@@ -145,8 +170,8 @@ class Automaton:
 
 
 @lru_cache(maxsize=4)
-def _automaton(templates: tuple[tuple[str, str], ...], min_match: int) -> Automaton:
-    return Automaton(dict(templates), min_match)
+def _automaton(templates: tuple[tuple[str, str], ...] | None, min_match: int) -> Automaton:
+    return Automaton(TEMPLATES if templates is None else dict(templates), min_match)
 
 
 def chains(a: Automaton, found: list[tuple[int, int, int]], gap: int = 12) -> list[tuple[int, int, int, int, int, int]]:
@@ -194,7 +219,8 @@ def licences(docs: DataFrame, templates: Mapping[str, str] | None = None, min_ma
     punctuation. Null and empty texts and rows without doc_id have no spans; repeated rows come out
     as often as they went in. Extra columns are ignored; an empty table gives an empty result.
     """
-    fixed = tuple((templates or TEMPLATES).items())
+    # the default templates are long; each worker has its own
+    fixed = tuple(templates.items()) if templates else None
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         a = _automaton(fixed, min_match)

@@ -36,3 +36,24 @@ def test_statements_of_the_fixture(spark, data):
     texts = {r["doc_id"]: r["text"] for r in common.read(spark, data, "documents").collect()}
     want = {k for k, t in texts.items() if "icense" in t}
     assert {r["doc_id"] for r in licenses.op3_licences(spark, data).collect()} == want
+
+
+def test_spdx_lines_other_wordings_and_whole_texts(spark):
+    gpl = licenses.TEMPLATES["GPL-3.0 (text)"].split()
+    texts = {
+        "// SPDX-License-Identifier: MIT": "MIT (spdx)",
+        "# SPDX-License-Identifier: GPL-2.0-or-later": "GPL-2.0-or-later (spdx)",
+        "SPDX-License-Identifier: MIT OR Apache-2.0": "MIT OR Apache-2.0 (spdx)",
+        "It is free under the terms of the MIT license, as ever.": "MIT",
+        "distributed under the Eclipse Public License 2.0 only": "EPL-2.0",
+        "under the terms of the Common Development and Distribution License": "CDDL",
+        "under the Artistic License": "Artistic",
+        "under the terms of the GNU Free Documentation License": "GFDL",
+        " ".join(gpl[1000:1400]): "GPL-3.0 (text)",
+        " ".join(licenses.TEMPLATES["GPL-3.0"].split()): "GPL-3.0",
+        "SPDX-License-Identifier: Nothing-9": None,
+        "under the terms of the house": None,
+    }
+    d = spark.createDataFrame(list(enumerate(f"alpha beta {t} gamma delta" for t in texts)), "doc_id long, text string")
+    rows = {(r["doc_id"], r["template"].split(" (under")[0]) for r in licenses.licences(d).collect()}
+    assert rows == {(i, name) for i, name in enumerate(texts.values()) if name}
