@@ -66,7 +66,7 @@ def _box_distance(q: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarra
 
 
 def search(ids: np.ndarray, v: np.ndarray, p: np.ndarray, qids: np.ndarray, qv: np.ndarray, qp: np.ndarray, bound: np.ndarray, k: int, quantile: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Up to k nearest points of each query closer than its bound, as (row of the query, row of the point, d2)."""
+    """Up to k nearest points of each query within its bound, by exact distance and id, as (row of the query, row of the point, d2)."""
     leaves = _leaves(p)
     low, high = np.stack([p[x].min(0) for x in leaves]), np.stack([p[x].max(0) for x in leaves])
     near = _box_distance(qp, low, high)
@@ -75,11 +75,14 @@ def search(ids: np.ndarray, v: np.ndarray, p: np.ndarray, qids: np.ndarray, qv:
     best = np.full((len(qv), k), np.inf)
     best_at = np.full((len(qv), k), -1, dtype=np.int64)
     kth = bound.astype(np.float64).copy()
+    slack = _slack(qp)
+    # what a float32 distance may be off, by the sizes of both vectors
+    off = (v.shape[1] + 8) * float(np.finfo(np.float32).eps) if len(v) else 0.0
     active = np.arange(len(qv))
     for rank in range(len(leaves)):
         leaf = order[active, rank]
         # the stopping test: a point at the k-th distance would have been met by now
-        go = near[active, leaf] <= quantile * kth[active]
+        go = near[active, leaf] <= quantile * kth[active] + slack[active]
         active, leaf = active[go], leaf[go]
         if not len(active):
             break
@@ -89,19 +92,37 @@ def search(ids: np.ndarray, v: np.ndarray, p: np.ndarray, qids: np.ndarray, qv:
             points, mine = leaves[leaf[rows[0]]], active[rows]
             d = norm[points][None, :] + qnorm[mine][:, None] - 2 * (qv[mine] @ v[points].T)
             d[ids[points][None, :] == qids[mine][:, None]] = np.inf
-            hit = np.flatnonzero((d < kth[mine][:, None]).any(1))
+            room = off * (qnorm[mine].astype(np.float64) + float(norm[points].max()))
+            hit = np.flatnonzero((d <= (kth[mine] + room)[:, None]).any(1))
             if not len(hit):
                 continue
-            q = mine[hit]
-            both = np.hstack([best[q], np.maximum(d[hit], 0)])
-            at = np.hstack([best_at[q], np.broadcast_to(points, (len(q), len(points)))])
-            top = np.argpartition(both, k - 1, axis=1)[:, :k]
-            best[q], best_at[q] = np.take_along_axis(both, top, 1), np.take_along_axis(at, top, 1)
-            kth[q] = np.minimum(kth[q], best[q].max(1))
-    q, j = np.nonzero((best_at >= 0) & (best <= bound[:, None]))
-    at = best_at[q, j]
-    exact = ((qv[q].astype(np.float64) - v[at].astype(np.float64)) ** 2).sum(1)
-    return q, at, exact
+            q, room, d = mine[hit], room[hit], d[hit]
+            # as far as the k-th of the leaf itself or of before; both sides may be off
+            far = np.minimum(kth[q], np.partition(d, k - 1, axis=1)[:, k - 1] + room if len(points) >= k else np.inf) + room
+            row, col = np.nonzero((d <= far[:, None]) & np.isfinite(d))
+            at = points[col]
+            exact = _exact(qv, v, q[row], at)
+            old_row, old_col = np.nonzero(best_at[q] >= 0)
+            row, at, exact = np.concatenate([old_row, row]), np.concatenate([best_at[q[old_row], old_col], at]), np.concatenate([best[q[old_row], old_col], exact])
+            first = np.lexsort((ids[at], exact, row))
+            row, at, exact = row[first], at[first], exact[first]
+            place = np.arange(len(row)) - np.searchsorted(row, row)
+            some = (place < k) & (exact <= bound[q[row]])
+            row, at, exact, place = row[some], at[some], exact[some], place[some]
+            best[q[row], place], best_at[q[row], place] = exact, at
+            kth[q] = np.minimum(kth[q], best[q, k - 1])
+    q, j = np.nonzero(best_at >= 0)
+    return q, best_at[q, j], best[q, j]
+
+
+def _exact(qv: np.ndarray, v: np.ndarray, q: np.ndarray, at: np.ndarray, block: int = 1 << 16) -> np.ndarray:
+    """Squared distances in double precision of the pairs of rows q and at."""
+    return np.concatenate([((qv[q[i : i + block]].astype(np.float64) - v[at[i : i + block]].astype(np.float64)) ** 2).sum(1) for i in range(0, len(q), block)] or [np.zeros(0)])
+
+
+def _slack(qp: np.ndarray) -> np.ndarray:
+    """Squared projected distance by which copies of a vector may lie apart, as projections are rounded."""
+    return 1e-10 * (qp.astype(np.float64) ** 2).sum(1)
 
 
 def _matrix(s: pd.Series) -> np.ndarray:
@@ -167,7 +188,8 @@ def neighbours(vectors: DataFrame, k: int = 10, dims: int = 10, stop: float = 0.
                     c = b.iloc[at : at + 512]
                     if len(c):
                         bound = c["bound"].fillna(np.inf).to_numpy()
-                        q, j = np.nonzero((_box_distance(_matrix(c["p"]), low, high) <= quantile * bound[:, None]) & (numbers[None, :] != c["cell"].to_numpy()[:, None]))
+                        p = _matrix(c["p"])
+                        q, j = np.nonzero((_box_distance(p, low, high) <= (quantile * bound + _slack(p))[:, None]) & (numbers[None, :] != c["cell"].to_numpy()[:, None]))
                         yield pd.DataFrame({"cell": numbers[j], "part": (c["id"].to_numpy()[q] % parts).astype(np.int32), "id": c["id"].to_numpy()[q], "v": c["v"].to_numpy()[q], "p": c["p"].to_numpy()[q], "bound": bound[q]})
 
         queries = points.join(bounds, "id", "left").mapInPandas(route, "cell int, part int, id long, v array<float>, p array<float>, bound double")

@@ -44,3 +44,19 @@ def test_odd_rows(spark):
     assert len(out) == 8
     assert ann.neighbours(d.where("false")).count() == 0
     assert ann.neighbours(d.where("vec_id = 3")).count() == 0
+
+
+def test_ties_go_to_the_lesser_id_in_a_group_of_copies(spark):
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((400, 16)).astype(np.float32)
+    copies = rng.permutation(400)[:150]
+    x[copies] = x[copies[0]]
+    d = spark.createDataFrame([(i, [float(v) for v in x[i]]) for i in range(400)], "vec_id long, embedding array<float>").repartition(4)
+    want = {}
+    for i in copies.tolist():
+        want[i] = [int(j) for j in sorted(copies) if j != i][:10]
+    for cell in (4096, 64):
+        got = {}
+        for r in ann.neighbours(d, 10, cell=cell).orderBy("query_id", "rank").collect():
+            got.setdefault(r["query_id"], []).append(r["neighbour_id"])
+        assert {i: got[i] for i in want} == want
