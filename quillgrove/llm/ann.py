@@ -6,10 +6,15 @@ degrees of freedom. Projected neighbours are verified in order of their distance
 lies so far out that a point at the k-th best true distance would have been met with probability
 ``stop``, the search ends.
 
-The kd-tree's upper levels split the points into cells of bounded size, at medians over all points;
-its lower ones are built where a cell is searched. Every vector is a query. It searches its own cell
-first, which bounds its k-th distance; then it goes to those other cells that the stopping test does
-not rule out, and is done in each as soon as the test holds.
+The kd-tree's upper levels are fitted on a bounded sample of projected points, every point is sent
+down them into a cell, and each cell's lower levels are built where it is searched. A query searches
+its own cell first, which bounds its k-th distance; then it goes to those other cells that the
+stopping test does not rule out, and is done in each as soon as the test holds.
+
+Nothing grows with a hot cell: of equal vectors only the k + 1 least ids can be in any answer, and
+the others are no points; a cell of more than ``BLOCK`` points is searched in blocks, and the queries
+that ask for a block go to it in parts of at most about ``QUERIES``. A block is copied as often as it
+has parts, so copies are in proportion to what is asked.
 """
 
 from __future__ import annotations
@@ -19,12 +24,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillgrove.llm import common
 
-CELL, LEAF, QUERIES = 4096, 256, 8192
+CELL, LEAF, QUERIES, BLOCK = 4096, 256, 8192, 100_000
+#: The upper levels are fitted on so many points at most, and have so many of them in a cell at least.
+SAMPLE, LEAST = 1 << 18, 64
 PAIRS = "query_id long, neighbour_id long, d2 double"
 
 
@@ -129,83 +136,152 @@ def _matrix(s: pd.Series) -> np.ndarray:
     return np.stack(s.to_numpy()) if len(s) else np.zeros((0, 1), dtype=np.float32)
 
 
-def _cells(points: DataFrame, n: int, dims: int, cell: int) -> tuple[DataFrame, int]:
-    """points with the number of their cell: the tree's upper levels, cut at medians over all points."""
-    points = points.withColumn("cell", F.lit(0))
-    depth = max(0, math.ceil(math.log2(max(n, 1) / cell)))
-    for level in range(depth):
-        at = F.get("p", F.lit(level % dims))
-        cuts = points.groupBy("cell").agg(F.percentile_approx(at, 0.5, 10_000).alias("cut"))
-        points = points.join(F.broadcast(cuts) if 2**level <= 1_000_000 else cuts, "cell").withColumn("cell", F.col("cell") * 2 + (at > F.col("cut")).cast("int")).drop("cut")
-        points = common.written(points, "cells")
-    return points, 2**depth
-
-
-def neighbours(vectors: DataFrame, k: int = 10, dims: int = 10, stop: float = 0.95, cell: int = CELL, id_column: str = "vec_id", vector_column: str = "embedding", seed: int = 17) -> DataFrame:
-    """(query_id, neighbour_id, rank, distance): the k nearest other vectors of every vector, by Euclidean distance.
-
-    Approximate: each true neighbour is found with a probability of at least ``stop`` (expected
-    recall). Ties go to the lesser id. Rows without id or vector, with a vector of another length
-    than the most, or with a null, NaN or infinite coordinate are left out. Of rows that share an id the least vector counts. Fewer than
-    k others give as many rows. Extra columns are ignored; an empty table gives an empty result.
+def _tree(sample: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Dimension and cut of each inner node of a full kd-tree, node i above 2i and 2i + 1; cuts are medians of the widest dimension."""
+    dim, cut = np.zeros(1 << depth, dtype=np.int64), np.zeros(1 << depth, dtype=np.float32)
+    rows = {1: np.arange(len(sample))}
+    for node in range(1, 1 << depth):
+        own = rows.pop(node)
+        part = sample[own]
+        if len(own):
+            dim[node] = int(np.ptp(part, axis=0).argmax())
+            cut[node] = np.median(part[:, dim[node]])
+        over = part[:, dim[node]] > cut[node]
+        rows[2 * node], rows[2 * node + 1] = own[~over], own[over]
+    return dim, cut
+
+
+def _descend(p: np.ndarray, dim: np.ndarray, cut: np.ndarray) -> np.ndarray:
+    """The cell of each projected point."""
+    node = np.ones(len(p), dtype=np.int64)
+    rows = np.arange(len(p))
+    for _ in range(len(dim).bit_length() - 1):
+        node = 2 * node + (p[rows, dim[node]] > cut[node])
+    return (node - len(dim)).astype(np.int32)
+
+
+ROUTED = "cell int, block int, part int, id long, v array<float>, p array<float>, bound double"
+
+
+def neighbours(vectors: DataFrame, k: int = 10, dims: int = 10, stop: float = 0.95, cell: int = CELL, id_column: str = "vec_id", vector_column: str = "embedding", seed: int = 17, asked: Column | None = None, sample: int = SAMPLE, block: int = BLOCK, queries: int = QUERIES) -> DataFrame:
+    """(query_id, neighbour_id, rank, distance): the k nearest other vectors of the queries, by Euclidean distance.
+
+    ``asked`` is the condition on ``id`` for a row to be a query; without it every row is one. All
+    rows are points. Approximate: each true neighbour is found with a probability of at least
+    ``stop`` (expected recall). Ties go to the lesser id, also among more than k equal vectors. The
+    tree's upper levels are fitted on the ``sample`` points of the lowest hash of their id. Rows
+    without id or vector, with a vector of another length than the most, or with a null, NaN or
+    infinite coordinate are left out. Of rows that share an id the least vector counts. Fewer than k
+    others give as many rows. Vectors of any length are taken whole. Extra columns are ignored,
+    whatever their names; an empty table gives an empty result.
     """
     some = vectors.select(F.col(id_column).cast("long").alias("id"), F.col(vector_column).cast("array<float>").alias("v")).where("id is not null and v is not null and size(v) > 0 and forall(v, x -> x is not null and not isnan(x) and abs(x) < float('inf'))")
-    some = some.groupBy("id").agg(F.min("v").alias("v"))
-    some = common.written(some, "vectors")
+    some = common.written(some.groupBy("id").agg(F.min("v").alias("v")), "vectors")
     sizes = some.groupBy(F.size("v").alias("s")).count().orderBy(F.desc("count"), "s").limit(1).collect()
     width = sizes[0]["s"] if sizes else 1
-    # with so many coordinates as the vectors have, nothing is gained by more
+    some = some.where(F.size("v") == width)
     projection = np.random.default_rng(seed).standard_normal((width, dims)).astype(np.float32)
 
     def project(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             if len(b):
-                yield b.assign(p=list(_matrix(b["v"]) @ projection))
+                yield pd.DataFrame({"p": list(_matrix(b["v"]) @ projection)})
 
-    points = common.written(some.where(F.size("v") == width).mapInPandas(project, "id long, v array<float>, p array<float>"), "points")
-    n = points.count()
-    points, _ = _cells(points, n, dims, cell)
+    n = sizes[0]["count"] if sizes else 0
+    few = some.orderBy(F.xxhash64("id"), "id").limit(sample).select("v").mapInPandas(project, "p array<float>").toPandas()
+    depth = max(0, min(math.ceil(math.log2(max(n, 1) / cell)), int(math.log2(max(len(few), 1) / min(LEAST, cell)))))
+    dim, cut = _tree(_matrix(few["p"]), depth) if len(few) else (np.zeros(1, dtype=np.int64), np.zeros(1, dtype=np.float32))
+
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if len(b):
+                p = _matrix(b["v"]) @ projection
+                yield b.assign(p=list(p), cell=_descend(p, dim, cut))
+
+    placed = "id long, v array<float>, p array<float>, cell int"
+    equal = F.row_number().over(Window.partitionBy("v").orderBy("id"))
+    points = common.written(some.withColumn("nth", equal).where(F.col("nth") <= k + 1).select("id", "v").mapInPandas(place, placed), "points")
+    of = common.written((some if asked is None else some.where(asked)).mapInPandas(place, placed), "queries")
+    # one row a cell, and there are at most sample / LEAST cells
+    box = points.groupBy("cell").agg(F.count("*").alias("n"), *[f(F.get("p", F.lit(j))).alias(f"{s}{j}") for j in range(dims) for f, s in ((F.min, "l"), (F.max, "h"))]).orderBy("cell").toPandas()
+    low, high = box[[f"l{j}" for j in range(dims)]].to_numpy(), box[[f"h{j}" for j in range(dims)]].to_numpy()
+    numbers, blocks = box["cell"].to_numpy(), np.maximum(1, -(-box["n"].to_numpy() // block))
+    first_block = np.concatenate([[0], np.cumsum(blocks)]).astype(np.int64)
+    row_of = {int(c): i for i, c in enumerate(numbers)}
     quantile = chi2_quantile(stop, dims)
 
-    def own(part: pd.DataFrame) -> pd.DataFrame:
-        ids, v, p = part["id"].to_numpy(), _matrix(part["v"]), _matrix(part["p"])
-        q, at, d2 = search(ids, v, p, ids, v, p, np.full(len(ids), np.inf), k, quantile)
-        return pd.DataFrame({"query_id": ids[q], "neighbour_id": ids[at], "d2": d2})
+    def wanted(c: pd.DataFrame, own: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The rows of c and the blocks (row of the box, number) that they are to search, at first or afterwards."""
+        ids = c["id"].to_numpy()
+        at = np.array([row_of.get(x, -1) for x in c["cell"].tolist()])
+        mine = np.where(at >= 0, (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % blocks[at], 0)
+        if own:
+            q = np.flatnonzero(at >= 0)
+            return q, at[q], mine[q]
+        p = _matrix(c["p"])
+        q, j = np.nonzero(_box_distance(p, low, high) <= (quantile * c["bound"].to_numpy() + _slack(p))[:, None])
+        times = blocks[j]
+        q, j = np.repeat(q, times), np.repeat(j, times)
+        b = np.arange(len(q)) - np.repeat(np.cumsum(times) - times, times)
+        rest = (j != at[q]) | (b != mine[q])
+        return q[rest], j[rest], b[rest]
+
+    def searched(asking: DataFrame, own: bool) -> DataFrame:
+        """What the queries find in their own block, or in all others that may matter."""
+
+        def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            total = np.zeros(int(first_block[-1]), dtype=np.int64)
+            for b in batches:
+                for i in range(0, len(b), 512):
+                    _, j, block_ = wanted(b.iloc[i : i + 512], own)
+                    total += np.bincount(first_block[j] + block_, minlength=len(total))
+            some_ = np.flatnonzero(total)
+            yield pd.DataFrame({"at": some_.astype(np.int64), "n": total[some_]})
 
-    first = common.written(points.groupBy("cell").applyInPandas(own, PAIRS), "own")
-    bounds = first.groupBy(F.col("query_id").alias("id")).agg(F.when(F.count("*") >= k, F.max("d2")).alias("bound"))
-    box = points.groupBy("cell").agg(*[f(F.get("p", F.lit(j))).alias(f"{s}{j}") for j in range(dims) for f, s in ((F.min, "l"), (F.max, "h"))]).toPandas()
-    if len(box) < 2:
-        found = first
-    else:
-        low, high = box[[f"l{j}" for j in range(dims)]].to_numpy(), box[[f"h{j}" for j in range(dims)]].to_numpy()
-        numbers = box["cell"].to_numpy()
-        parts = max(1, math.ceil(n / QUERIES))
+        slim = asking.select("id", "cell", "p", "bound")
+        loads = slim.mapInPandas(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
+        parts = np.zeros(int(first_block[-1]), dtype=np.int64)
+        parts[loads["at"].to_numpy(dtype=np.int64)] = -(-loads["n"].to_numpy(dtype=np.int64) // queries)
 
         def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in batches:
-                for at in range(0, len(b), 512):
-                    c = b.iloc[at : at + 512]
-                    if len(c):
-                        bound = c["bound"].fillna(np.inf).to_numpy()
-                        p = _matrix(c["p"])
-                        q, j = np.nonzero((_box_distance(p, low, high) <= (quantile * bound + _slack(p))[:, None]) & (numbers[None, :] != c["cell"].to_numpy()[:, None]))
-                        yield pd.DataFrame({"cell": numbers[j], "part": (c["id"].to_numpy()[q] % parts).astype(np.int32), "id": c["id"].to_numpy()[q], "v": c["v"].to_numpy()[q], "p": c["p"].to_numpy()[q], "bound": bound[q]})
-
-        queries = points.join(bounds, "id", "left").mapInPandas(route, "cell int, part int, id long, v array<float>, p array<float>, bound double")
-        copies = points.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-
-        def other(points_: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-            if not len(points_) or not len(asked):
+                for i in range(0, len(b), 512):
+                    c = b.iloc[i : i + 512]
+                    q, j, block_ = wanted(c, own)
+                    ids = c["id"].to_numpy()[q]
+                    part = (ids.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(33)).astype(np.int64) % np.maximum(1, parts[first_block[j] + block_])
+                    yield pd.DataFrame({"cell": numbers[j].astype(np.int32), "block": block_.astype(np.int32), "part": part.astype(np.int32), "id": ids, "v": c["v"].to_numpy()[q], "p": c["p"].to_numpy()[q], "bound": c["bound"].to_numpy()[q]})
+
+        def copies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                at = np.array([row_of[x] for x in b["cell"].tolist()], dtype=np.int64)
+                block_ = (b["id"].to_numpy().astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % blocks[at] if len(b) else at
+                times = parts[first_block[at] + block_] if len(b) else at
+                for t in range(int(times.max()) if len(b) else 0):
+                    yield b.assign(block=block_.astype(np.int32), part=np.int32(t))[times > t]
+
+        def search_block(points_: pd.DataFrame, asking_: pd.DataFrame) -> pd.DataFrame:
+            if not len(points_) or not len(asking_):
                 return pd.DataFrame({"query_id": [], "neighbour_id": [], "d2": []}).astype({"query_id": "int64", "neighbour_id": "int64", "d2": "float64"})
-            ids, qids = points_["id"].to_numpy(), asked["id"].to_numpy()
-            q, at, d2 = search(ids, _matrix(points_["v"]), _matrix(points_["p"]), qids, _matrix(asked["v"]), _matrix(asked["p"]), asked["bound"].to_numpy(), k, quantile)
+            ids, qids = points_["id"].to_numpy(), asking_["id"].to_numpy()
+            q, at, d2 = search(ids, _matrix(points_["v"]), _matrix(points_["p"]), qids, _matrix(asking_["v"]), _matrix(asking_["p"]), asking_["bound"].to_numpy(), k, quantile)
             return pd.DataFrame({"query_id": qids[q], "neighbour_id": ids[at], "d2": d2})
 
-        found = first.unionByName(copies.groupBy("cell", "part").cogroup(queries.groupBy("cell", "part")).applyInPandas(other, PAIRS))
+        at = ("cell", "block", "part")
+        left = points.mapInPandas(copies, f"{placed}, block int, part int") if (parts > 1).any() or (blocks > 1).any() else points.withColumns({"block": F.lit(0), "part": F.lit(0)})
+        return left.groupBy(*at).cogroup(asking.mapInPandas(route, ROUTED).groupBy(*at)).applyInPandas(search_block, PAIRS)
+
+    if not len(box):
+        return of.select(F.col("id").alias("query_id"), F.col("id").alias("neighbour_id"), F.lit(1).alias("rank"), F.lit(0.0).alias("distance")).where("false")
+    infinite = F.lit(float("inf"))
+    first = common.written(searched(of.withColumn("bound", infinite), True), "own")
+    bounds = first.groupBy(F.col("query_id").alias("id")).agg(F.when(F.count("*") >= k, F.max("d2")).alias("bound"))
+    bounded = of.join(bounds, "id", "left").withColumn("bound", F.coalesce("bound", infinite))
+    found = first if first_block[-1] < 2 else first.unionByName(searched(common.written(bounded, "bounded"), False))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("d2", "neighbour_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "neighbour_id", "rank", F.round(F.sqrt("d2"), 6).alias("distance"))
 
 
 def op7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neighbours(common.read(spark, sf_dir, "embeddings"))
+    """The 10 nearest of all vectors for every vector whose id is divisible by 20; null, odd and repeated rows as in neighbours."""
+    return neighbours(common.read(spark, sf_dir, "embeddings"), asked=F.col("id") % 20 == 0)

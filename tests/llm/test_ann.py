@@ -9,10 +9,10 @@ def test_chi2_quantile():
     assert ann.chi2_quantile(0.95, 2) == pytest.approx(5.991, abs=1e-3)
 
 
-def recall(got, ids, x, k):
+def recall(got, ids, x, k, asked=None):
     d = ((x[:, None, :] - x[None, :, :]) ** 2).sum(2)
     np.fill_diagonal(d, np.inf)
-    want = {(int(ids[i]), int(ids[j])) for i in range(len(x)) for j in np.argsort(d[i], kind="stable")[:k]}
+    want = {(int(ids[i]), int(ids[j])) for i in range(len(x)) if asked is None or ids[i] in asked for j in np.argsort(d[i], kind="stable")[:k]}
     return len(want & got) / len(want)
 
 
@@ -21,18 +21,21 @@ def test_recall_over_all_queries(spark, cell):
     rng = np.random.default_rng(7)
     x = np.concatenate([rng.standard_normal((300, 32)), rng.standard_normal((200, 32)) * 0.2 + 2]).astype(np.float32)
     d = spark.createDataFrame([(i, [float(v) for v in x[i]]) for i in range(len(x))], "vec_id long, embedding array<float>")
-    rows = ann.neighbours(d, 10, cell=cell).collect()
-    assert len(rows) == 5000
-    assert recall({(r["query_id"], r["neighbour_id"]) for r in rows}, np.arange(500), x.astype(float), 10) >= 0.9
+    for odd_sizes in ({}, {"block": 30, "queries": 20}):
+        rows = ann.neighbours(d, 10, cell=cell, **odd_sizes).collect()
+        assert len(rows) == 5000
+        assert recall({(r["query_id"], r["neighbour_id"]) for r in rows}, np.arange(500), x.astype(float), 10) >= 0.9
 
 
 def test_query_recall(spark, data):
     from quillgrove.llm import common
 
     e = common.read(spark, data, "embeddings").toPandas()
-    x = np.stack(e.embedding.to_numpy()).astype(float)
+    x, ids = np.stack(e.embedding.to_numpy()).astype(float), e.vec_id.to_numpy()
     got = {(r["query_id"], r["neighbour_id"]) for r in ann.op7_neighbours(spark, data).collect()}
-    assert recall(got, e.vec_id.to_numpy(), x, 10) >= 0.9
+    asked = ids[ids % 20 == 0]
+    assert {q for q, _ in got} == set(asked.tolist()) and len(got) == 10 * len(asked)
+    assert recall(got, ids, x, 10, asked) >= 0.9
 
 
 def test_odd_rows(spark):
@@ -57,6 +60,6 @@ def test_ties_go_to_the_lesser_id_in_a_group_of_copies(spark):
         want[i] = [int(j) for j in sorted(copies) if j != i][:10]
     for cell in (4096, 64):
         got = {}
-        for r in ann.neighbours(d, 10, cell=cell).orderBy("query_id", "rank").collect():
+        for r in ann.neighbours(d, 10, cell=cell, sample=300, block=90).orderBy("query_id", "rank").collect():
             got.setdefault(r["query_id"], []).append(r["neighbour_id"])
         assert {i: got[i] for i in want} == want
