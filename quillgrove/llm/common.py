@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -18,21 +19,19 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return registry.table(spark, sf_dir, table)
 
 
-def shared(spark: SparkSession) -> None:
-    """Make checkpoint() write to the folder that the cluster names in spark.checkpoint.dir.
+def shared(spark: SparkSession) -> str:
+    """The folder for what is written between steps: that of spark.checkpoint.dir, or of setCheckpointDir.
 
-    Only where that is unset (tests, a laptop) a temporary folder is taken.
+    Only on a local master without either a temporary folder is taken: on a cluster each machine
+    would write to its own, so there it is an error.
     """
     sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isDefined():
-        return
-    sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quillgrove-"))
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the shared folder; a lost executor costs nothing of it."""
-    shared(df.sparkSession)
-    return df.checkpoint(eager=True)
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="quillgrove-"))
+    return sc._jsc.sc().getCheckpointDir().get()
 
 
 def word_count(text: Column) -> Column:
@@ -48,13 +47,22 @@ def word_count(text: Column) -> Column:
 WORD_COUNT_SQL = "CAST(len(list_filter(regexp_split_to_array(coalesce(text, ''), '[ \\t\\n\\r\\f]+'), lambda w: w <> '')) AS BIGINT)"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df, written as Parquet in the shared folder and read again."""
-    spark = df.sparkSession
-    shared(spark)
-    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
+def written(df: DataFrame, name: str, after: tuple[DataFrame, ...] = ()) -> DataFrame:
+    """df, written as Parquet in the shared folder and read again; ``after`` are written ones that nothing needs any more."""
+    path = f"{shared(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.parquet(path)
+    out = df.sparkSession.read.parquet(path)
+    out._written = path
+    for x in after:
+        drop(x)
+    return out
+
+
+def drop(df: DataFrame) -> None:
+    """Deletes what ``written`` wrote for df, if it did."""
+    if path := getattr(df, "_written", None):
+        p = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -72,7 +80,7 @@ def components(edges: DataFrame) -> DataFrame:
         low = large.groupBy("b").agg(F.min("a").alias("m"))
         small = large.join(low, "b").select(F.col("m").alias("m"), "a", "b")
         star = small.select(F.col("m").alias("a"), F.col("b")).unionByName(small.where("a <> m").select(F.col("m").alias("a"), F.col("a").alias("b"))).distinct()
-        edges = written(star, "edges")
+        edges = written(star, "edges", (edges,))
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             break

@@ -3,8 +3,13 @@
 An index holds, for every line that any inserted document has, how often it was inserted (the exact
 table ``refs``) and, for each shard of the keys, a cuckoo filter of the lines whose count is above
 zero. Inserting documents probes the filters first: a line that no filter knows is new, and only
-the others are looked up in the table. Deleting documents takes their counts back; a line at zero
-leaves its filter, so the index is then as if the documents had never come.
+the others are looked up in the table. A batch adds a run to the table, its own counts, so inserting
+costs what the batch has and not what the index has; many runs are merged into one.
+
+Deleting documents adds their counts with a minus; a line at zero leaves its filter, so the index
+then answers as if the documents had never come. The index also keeps which document has which line,
+by key: where a line stood in a deleted document and was taken out of later ones, deleting says
+which of these it goes back to.
 
 The lines of a batch are counted by hash with map-side combination, so a line that every document
 has costs one row a task. The texts themselves are shuffled once, to meet the positions to drop.
@@ -13,7 +18,8 @@ has costs one row a task. The texts themselves are shuffled once, to meet the po
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -23,6 +29,8 @@ from pyspark.sql import functions as F
 from quillgrove.llm import common
 
 KEYS_PER_SHARD = 400_000
+#: So many runs of counts are merged into one.
+RUNS = 16
 FILTERS = "shard int, n long, slots binary"
 
 
@@ -94,15 +102,44 @@ class Cuckoo:
 
 @dataclass
 class Index:
-    """refs (k0, k1, n) and filters (shard, n, slots), both written; shards is fixed when it is made."""
+    """What was inserted, all of it written.
+
+    runs: (k0, k1, n), whose sums by key are the reference counts; lines (doc_id, dh, pos, k0, k1,
+    batch) of all documents; gone (doc_id, dh, batch), the deleted ones and how many batches there
+    were by then; filters (shard, n, slots) of the keys; shards and batches are their numbers.
+    """
 
-    refs: DataFrame
+    runs: tuple[DataFrame, ...]
+    lines: tuple[DataFrame, ...]
+    gone: tuple[DataFrame, ...]
     filters: DataFrame
     shards: int
+    batches: int
+
+    @property
+    def refs(self) -> DataFrame:
+        """(k0, k1, n): the lines that some document has, and how often."""
+        return _all(self.runs).groupBy("k0", "k1").agg(F.sum("n").alias("n")).where("n > 0")
+
+    def counted(self, keys: DataFrame) -> DataFrame:
+        """(k0, k1, n) of those of the keys that some document has."""
+        return _all(self.runs).join(keys.select("k0", "k1"), ["k0", "k1"], "left_semi").groupBy("k0", "k1").agg(F.sum("n").alias("n")).where("n > 0")
+
+    def alive(self) -> DataFrame:
+        """The lines of the documents that weren't deleted."""
+        if not self.gone:
+            return _all(self.lines)
+        g = _all(self.gone).groupBy(F.col("doc_id").alias("_doc"), F.col("dh").alias("_dh")).agg(F.max("batch").alias("_until"))
+        return _all(self.lines).join(g, F.col("doc_id").eqNullSafe(F.col("_doc")) & F.col("dh").eqNullSafe(F.col("_dh")) & (F.col("batch") < F.col("_until")), "left_anti")
+
+
+def _all(parts: tuple[DataFrame, ...]) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts)
 
 
 def _keys(line: Column) -> list[Column]:
-    return [F.xxhash64(line).alias("k0"), F.xxhash64(line, F.lit(1)).alias("k1")]
+    """Two hashes of the line. The second starts from another seed: xxhash64(line, 1) would be a function of the first."""
+    return [F.xxhash64(line).alias("k0"), F.xxhash64(F.lit(1), line).alias("k1")]
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
@@ -116,7 +153,7 @@ def _shard(shards: int) -> Column:
 
 
 def _updated(changes: DataFrame, index: Index | None, refs: DataFrame, shards: int) -> DataFrame:
-    """The filters after keys came in (d = 1) or went out (d = -1); one that is too full is built anew from its exact keys."""
+    """The filters after keys came in (d = 1) or went out (d = -1); one that is too full is built anew from the exact keys refs."""
 
     def build(keys: np.ndarray) -> Cuckoo:
         n = len(keys)
@@ -157,27 +194,53 @@ def _known(keys: DataFrame, index: Index) -> DataFrame:
         return part[f.contains(part["k0"].to_numpy().astype(np.int64).view(np.uint64))][["k0", "k1"]]
 
     maybe = index.filters.groupBy("shard").cogroup(keys.select("k0", "k1", _shard(index.shards).alias("shard")).groupBy("shard")).applyInPandas(probe, "k0 long, k1 long")
-    return index.refs.join(maybe, ["k0", "k1"], "left_semi").select("k0", "k1")
+    return index.counted(maybe).select("k0", "k1")
 
 
-def _merged(index: Index | None, counts: DataFrame, sign: int) -> Index:
-    """The index with counts (k0, k1, n) added or taken away, written."""
-    delta = counts.select("k0", "k1", (F.col("n") * sign).alias("n"), F.lit(0).cast("long").alias("was"))
-    if index is None:
-        refs = common.written(delta.where("n > 0").select("k0", "k1", "n"), "refs")
-        shards = max(1, math.ceil(refs.count() / KEYS_PER_SHARD))
-        changes = refs.select("k0", _shard(shards).alias("shard"))
-        return Index(refs, common.written(_updated(changes, None, refs, shards), "filters"), shards)
-    both = index.refs.select("k0", "k1", "n", F.col("n").alias("was")).unionByName(delta).groupBy("k0", "k1").agg(F.sum("n").alias("n"), F.sum("was").alias("was"))
-    both = common.written(both, "merged")
-    refs = both.where("n > 0").select("k0", "k1", "n")
-    changes = both.where("(n > 0) <> (was > 0)").select("k0", _shard(index.shards).alias("shard"), F.when(F.col("n") > 0, 1).otherwise(-1).alias("d"))
-    return Index(refs, common.written(_updated(changes, index, refs, index.shards), "filters"), index.shards)
+def _started(counts: DataFrame, lines: DataFrame) -> Index:
+    shards = max(1, math.ceil(counts.count() / KEYS_PER_SHARD))
+    changes = counts.select("k0", _shard(shards).alias("shard"))
+    return Index((counts,), (lines,), (), common.written(_updated(changes, None, counts, shards), "filters"), shards, 1)
 
 
-def delete(docs: DataFrame, index: Index) -> Index:
-    """The index without documents that were inserted before, given as they were inserted."""
-    return _merged(index, occurrences(docs).groupBy("k0", "k1").agg(F.count("*").alias("n")), -1)
+def _changed(index: Index, run: DataFrame, changes: DataFrame) -> Index:
+    """The index with one more run, and its filters after changes (k0, k1, d). They get more shards when these have grown fourfold."""
+    index = replace(index, runs=(*index.runs, run))
+    if len(index.runs) > RUNS:
+        index = replace(index, runs=(common.written(index.refs, "refs"),))
+    filters = common.written(_updated(changes.select("k0", "d", _shard(index.shards).alias("shard")), index, index.refs, index.shards), "filters")
+    n = filters.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    if n > 4 * KEYS_PER_SHARD * index.shards:
+        shards = math.ceil(n / KEYS_PER_SHARD)
+        filters = common.written(_updated(index.refs.select("k0", _shard(shards).alias("shard")), None, index.refs, shards), "filters")
+        index = replace(index, shards=shards)
+    return replace(index, filters=filters)
+
+
+def delete(docs: DataFrame, index: Index) -> tuple[DataFrame, Index]:
+    """Lines that go back, and the index without documents that were inserted before.
+
+    Documents are known by doc_id and hash of the text, as they were inserted; all rows of a document
+    go. Those that the index doesn't have, and null, empty and blank texts, change nothing; so does an empty table.
+    Repeated rows are one document. Extra columns are ignored, whatever their names; texts of any length are taken whole.
+
+    The first result is (doc_id, dh, pos): a line that a deleted document had kept, and that was
+    taken out of others, goes back to the first of these by (batch, doc_id, hash, position), at line
+    number pos of its text as it was inserted. An insert from then on gives what it would
+    if the deleted documents had never come.
+    """
+    out = docs.where(F.col("text").isNotNull()).select("doc_id", F.xxhash64("text").alias("dh")).distinct()
+    out = common.written(out.withColumn("batch", F.lit(index.batches)), "gone")
+    alive, after = index.alive(), replace(index, gone=(*index.gone, out))
+    lost = alive.join(out.select(F.col("doc_id").alias("_doc"), F.col("dh").alias("_dh")), F.col("doc_id").eqNullSafe(F.col("_doc")) & F.col("dh").eqNullSafe(F.col("_dh")), "left_semi")
+    run = common.written(lost.groupBy("k0", "k1").agg((-F.count("*")).alias("n")), "refs")
+    left = replace(index, runs=(*index.runs, run)).counted(run)
+    zero = run.join(left, ["k0", "k1"], "left_anti")
+    place = F.struct("batch", "doc_id", "dh", "pos")
+    shared = alive.join(left, ["k0", "k1"], "left_semi").groupBy("k0", "k1").agg(F.min(place).alias("before"))
+    then = after.alive().join(left, ["k0", "k1"], "left_semi").groupBy("k0", "k1").agg(F.min(place).alias("now"))
+    back = then.join(shared, ["k0", "k1"]).where("not (now <=> before)").select("now.doc_id", "now.dh", "now.pos")
+    return back, _changed(after, run, zero.withColumn("d", F.lit(-1)))
 
 
 def insert(docs: DataFrame, index: Index | None = None) -> tuple[DataFrame, Index]:
@@ -188,13 +251,14 @@ def insert(docs: DataFrame, index: Index | None = None) -> tuple[DataFrame, Inde
     lines always stay. A document of which nothing is left is dropped; null, empty and blank texts
     have no lines and stay as they are. n_chars, where docs has it, is set anew for changed texts;
     the column n_removed counts the lines taken out. Rows that share doc_id and text are one document:
-    each gets the same result. Extra columns are kept, whatever their names.
+    each gets the same result. Extra columns are kept, whatever their names; texts of any length are taken whole. An empty table gives an
+    empty result and leaves the index as it is.
     """
     occ = common.written(occurrences(docs), "lines")
     keys = common.written(occ.groupBy("k0", "k1").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "dh", "pos")).alias("first")), "keys")
     twice = keys.where("n > 1").select("k0", "k1", F.col("first"))
     if index is not None:
-        known = _known(keys, index).withColumn("known", F.lit(True))
+        known = common.written(_known(keys, index), "known").withColumn("known", F.lit(True))
         twice = keys.join(known, ["k0", "k1"], "left").where("known or n > 1").select("k0", "k1", F.when(F.col("known"), F.lit(None)).otherwise(F.col("first")).alias("first"))
     first = F.struct("doc_id", "dh", "pos")
     gone = occ.join(twice, ["k0", "k1"]).where(F.col("first").isNull() | ~first.eqNullSafe(F.col("first")))
@@ -210,11 +274,29 @@ def insert(docs: DataFrame, index: Index | None = None) -> tuple[DataFrame, Inde
     text = F.when(F.col("_n").isNull(), F.col("_row.text")).otherwise(F.array_join("_kept", "\n"))
     changed = {"text": text, "n_chars": F.when(F.col("_n").isNull(), F.col("_row.n_chars")).otherwise(F.length(text).cast("long")) if "n_chars" in docs.columns else None}
     out = met.select(*[(changed[c] if changed.get(c) is not None else F.col(f"_row.`{c}`")).alias(c) for c in docs.columns if c != "n_removed"], F.coalesce("_n", F.lit(0)).cast("long").alias("n_removed"))
-    return out, _merged(index, keys.select("k0", "k1", "n"), 1)
+    counts = keys.select("k0", "k1", "n")
+    if index is None:
+        return out, _started(counts, occ.withColumn("batch", F.lit(0)))
+    index = replace(index, lines=(*index.lines, occ.withColumn("batch", F.lit(index.batches))), batches=index.batches + 1)
+    return out, _changed(index, counts, keys.join(known, ["k0", "k1"], "left_anti").withColumn("d", F.lit(1)))
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return insert(common.read(spark, sf_dir, "documents"))[0]
+    """All documents through an index, the lower half by doc_id and then the upper; the upper half is deleted and inserted again.
+
+    The rows are those of insert over the whole table at once: the filters and the table decide on
+    every line of the upper half, twice, and must know the lower half's lines and have forgotten the
+    upper's. Null ids belong to the lower half.
+    """
+    docs = common.read(spark, sf_dir, "documents")
+    middle = docs.agg(F.percentile_approx("doc_id", 0.5)).first()[0]
+    upper = F.col("doc_id").isNotNull() & (F.col("doc_id") > F.lit(middle).cast("long"))
+    low, high = docs.where(~F.coalesce(upper, F.lit(False))), docs.where(upper)
+    first, index = insert(low)
+    _, index = insert(high, index)
+    _, index = delete(high, index)
+    second, _ = insert(high, index)
+    return first.unionByName(second)
 
 
 ORACLE = """

@@ -52,14 +52,79 @@ def test_insert_and_delete_are_reversible(spark):
     more, both = linededup.insert(b, index)
     seen = {x.strip(" ") for _, t in A for x in t.split("\n")} - {""}
     assert rows(more) == brute(B, seen)
-    again = linededup.delete(b, both)
-    assert state(again) == state(index)
+    back, again = linededup.delete(b, both)
+    assert state(again) == state(index) and back.count() == 0
+    # those that aren't in, any more or ever, change nothing
+    other = spark.createDataFrame([(1, "one\ntwo"), (99, "one")], "doc_id long, text string")
+    for d in (b, other):
+        assert state(linededup.delete(d, again)[1]) == state(index)
     # with a gone too, nothing is known
-    empty = linededup.delete(a, again)
-    assert empty.refs.count() == 0
+    back, empty = linededup.delete(a, again)
+    assert empty.refs.count() == 0 and back.count() == 0
     assert rows(linededup.insert(b, empty)[0]) == brute(B)
 
 
+def test_lines_of_deleted_documents_go_back(spark):
+    a, b = (spark.createDataFrame(x, "doc_id long, text string") for x in (A, B))
+    _, index = linededup.insert(a)
+    _, index = linededup.insert(b, index)
+    for gone in ([1], [2, 4, 10], [1, 2, 3]):
+        out = spark.createDataFrame([x for x in A + B if x[0] in gone], "doc_id long, text string")
+        back, after = linededup.delete(out, index)
+        # by hand: each line that is left belongs to the first document by batch and id
+        owner = lambda docs: {x.strip(" "): (i, n) for i, t in sorted(docs, reverse=True) for n, x in reversed(list(enumerate(t.split("\n")))) if x.strip(" ")}
+        before, now = owner(A + B), owner([x for x in A + B if x[0] not in gone])
+        assert {(r["doc_id"], r["pos"]) for r in back.collect()} == {p for x, p in now.items() if before[x] != p}
+        # and later documents are judged as if the deleted had never come
+        c = spark.createDataFrame([(20, "one\ntwo\nfive\nsix\nnine")], "doc_id long, text string")
+        assert rows(linededup.insert(c, after)[0]) == brute([(20, "one\ntwo\nfive\nsix\nnine")], now)
+
+
+def test_keys_are_independent(spark):
+    """The second hash isn't what xxhash64 makes of the first."""
+    lines = spark.createDataFrame([("one",), ("two",), ("a longer line of words",)], "line string")
+    one, two = linededup._keys(linededup.F.col("line"))
+    r = lines.select(one, two, linededup.F.xxhash64("line", linededup.F.lit(1)).alias("folded")).collect()
+    assert all(x["k1"] not in (x["k0"], x["folded"]) for x in r)
+    assert [chained(x["k0"]) for x in r] == [x["folded"] for x in r]
+    assert all(chained(x["k0"]) != x["k1"] for x in r)
+
+
+def chained(seed):
+    """xxHash64 of the integer 1 from a seed, by its public definition."""
+    full, p = 2**64 - 1, (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)
+    h = ((seed + p[3] + 4) & full) ^ p[0]
+    h = ((h << 23 | h >> 41) * p[1] + p[2]) & full
+    h = (h ^ h >> 33) * p[1] & full
+    h = (h ^ h >> 29) * p[2] & full
+    h ^= h >> 32
+    return h - 2**64 if h >> 63 else h
+
+
+def test_runs_and_shards_are_merged(spark, monkeypatch):
+    monkeypatch.setattr(linededup, "RUNS", 2)
+    monkeypatch.setattr(linededup, "KEYS_PER_SHARD", 3)
+    docs = [(i, f"line {i}\nline {i % 4}\nshared") for i in range(12)]
+    frame = lambda x: spark.createDataFrame(x, "doc_id long, text string")
+    got, index = linededup.insert(frame(docs[:2]))
+    out = rows(got)
+    for at in (2, 5):
+        more, index = linededup.insert(frame(docs[at : at + 3] if at == 2 else docs[5:]), index)
+        out |= rows(more)
+    assert out == brute(docs) and len(index.runs) <= 2 and index.shards > 2
+    _, index = linededup.delete(frame(docs[1:]), index)
+    assert state(index)[0] == state(linededup.insert(frame(docs[:1]))[1])[0]
+
+
+def test_delete_odd_rows(spark, odd, none):
+    _, index = linededup.insert(odd)
+    back, same_ = linededup.delete(none, index)
+    assert back.count() == 0 and state(same_) == state(index)
+    _, empty = linededup.delete(odd.unionByName(odd), index)
+    assert empty.refs.count() == 0
+    assert linededup.insert(odd, empty)[0].count() == linededup.insert(odd)[0].count()
+
+
 def test_a_full_filter_is_built_anew(spark):
     small = spark.createDataFrame([(1, "one")], "doc_id long, text string")
     big = spark.createDataFrame([(2, "\n".join(f"line {i}" for i in range(2000)))], "doc_id long, text string")
