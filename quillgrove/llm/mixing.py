@@ -4,6 +4,10 @@ Each source's documents are shuffled by a hash. A document's virtual finish time
 tokens up to and with it, divided by the source's weight; the documents of least finish time make
 the mix, up to the total budget. A source that runs out leaves its share to the others.
 
+Only keys are worked on; texts of documents beyond the budget are left out where they are read, as
+the budget ends each source's order of hashes at one place. The others are shuffled to their bucket
+of hashes, for their finish time, and into the order of the result.
+
 No source is ever sorted as a whole: its hashes are cut into even buckets, whose sums give each
 bucket's start. The budget's end is found the same way, over even spans of finish time: at most the
 weights' sum of tokens falls into a unit of it, so the spans are bounded. Only the span in which the
@@ -22,6 +26,10 @@ from quillgrove.llm import common
 
 ROWS_PER_BUCKET = 5_000
 BUDGET_SHARE = 0.5
+#: The weights of op9_mixing; sources that aren't named have 1.
+WEIGHTS = {"src0": 0.5, "src1": 3.0, "src2": 2.0, "src3": 4.0, "src4": 0.25, "src5": 1.5}
+#: Up to so many sources, the ends of their orders are a broadcast of some 10 MB.
+FEW_SOURCES = 100_000
 _ORDER = ["_finish", "_source", "_hash", "_id", "_dh"]
 
 
@@ -77,6 +85,14 @@ class Mix:
         return F.struct(*_ORDER) <= F.struct(*[F.lit(kept[c]).cast(self.times.schema[c].dataType).alias(c) for c in _ORDER])
 
 
+    def cut(self, rows: DataFrame) -> DataFrame:
+        """Of rows with keys, those in the mix: up to the last one of their source that is."""
+        order = F.struct("_hash", "_id", "_dh")
+        ends = common.written(self.times.where(self.inside).groupBy(F.col("_source").alias("_of")).agg(F.max(order).alias("_end")), "ends")
+        few = ends.count() <= FEW_SOURCES
+        return rows.join(F.broadcast(ends) if few else ends, F.col("_source") == F.col("_of")).where(order <= F.col("_end")).drop("_of", "_end")
+
+
 def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, budget_share: float = BUDGET_SHARE, budget: int | None = None, seed: str = "mix-") -> DataFrame:
     """docs of the mix in order of finish time, all columns kept.
 
@@ -88,11 +104,12 @@ def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, budget_shar
     """
     m = Mix(docs, weights, budget_share, budget, seed)
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
-    return m.finished(_keyed(docs, seed, row)).where(m.inside).orderBy(*_ORDER).select("_row.*")
+    return m.finished(m.cut(_keyed(docs, seed, row))).orderBy(*_ORDER).select("_row.*")
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = Mix(common.read(spark, sf_dir, "documents"), None, BUDGET_SHARE, None, "mix-")
+    """The mix of all documents by WEIGHTS within half of all tokens: (doc_id, source, n_tokens, finish) in order of finish time; rows as in mix."""
+    m = Mix(common.read(spark, sf_dir, "documents"), WEIGHTS, BUDGET_SHARE, None, "mix-")
     return m.times.where(m.inside).orderBy(*_ORDER).select(F.col("_id").alias("doc_id"), F.col("_source").alias("source"), F.col("_tokens").alias("n_tokens"), F.col("_finish").alias("finish"))
 
 
@@ -100,7 +117,7 @@ ORACLE = f"""
 WITH d AS (
   SELECT doc_id, coalesce(source, '') AS source, {common.WORD_COUNT_SQL} AS n_tokens, md5('mix-' || CAST(doc_id AS VARCHAR)) AS h FROM documents
 ), f AS (
-  SELECT *, CAST(sum(n_tokens) OVER (PARTITION BY source ORDER BY h, doc_id ROWS UNBOUNDED PRECEDING) AS DOUBLE) / 1.0 AS finish FROM d
+  SELECT *, CAST(sum(n_tokens) OVER (PARTITION BY source ORDER BY h, doc_id ROWS UNBOUNDED PRECEDING) AS DOUBLE) / CAST(CASE source {' '.join(f"WHEN '{k}' THEN {v}" for k, v in WEIGHTS.items())} ELSE 1.0 END AS DOUBLE) AS finish FROM d
 ), u AS (
   SELECT *, sum(n_tokens) OVER (ORDER BY finish, source, h, doc_id ROWS UNBOUNDED PRECEDING) AS upto FROM f
 )
