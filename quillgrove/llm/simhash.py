@@ -7,8 +7,9 @@
 3. Sample: each of several tables groups the distinct signatures by ``k`` coordinates drawn from the
    word bits. Both grow with the logarithm of the signatures: k keeps buckets small, and the number
    of tables keeps the chance that a pair at ``design`` bits meets at ``recall``. A bucket over
-   ``cap`` is split by further coordinates of its table until it is small enough, or until the
-   coordinates end; no pair within what remains is skipped.
+   ``cap`` is split by further coordinates, in so many different ways that a pair at ``design`` bits
+   still meets in one with the same chance; none is skipped. Buckets too large for a task are counted
+   and split so before they are gathered.
 4. Verify: all pairs of a bucket are compared by both distances. Of the pairs found only a spanning
    forest leaves the task, so a group of n copies costs n rows and not n squared.
 5. Connected components of these edges are the groups; each goes by its least doc_id.
@@ -29,6 +30,8 @@ from pyspark.sql import functions as F
 from quillgrove.llm import common
 
 BITS = 128
+#: A pair of signatures at DESIGN of the 128 word bits meets with the chance RECALL; nearer ones more surely.
+DESIGN, RECALL = 22, 0.95
 WORD = re.compile(r"\w+")
 SIGNATURE = "s0 long, s1 long, s2 long, s3 long"
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -118,11 +121,15 @@ def signed(docs: DataFrame) -> DataFrame:
     return some.mapInPandas(sign, f"doc_id long, {SIGNATURE}")
 
 
-def plan(n: int, design: int = 18, recall: float = 0.95, bucket: int = 64, least_k: int = 14) -> tuple[int, int]:
+def plan(n: int, design: int = DESIGN, recall: float = RECALL, bucket: int = 64, least_k: int = 14) -> tuple[int, int]:
     """Sampled coordinates and tables for n distinct signatures."""
     k = max(least_k, math.ceil(math.log2(max(n, 2) / bucket)))
-    p = (1 - design / BITS) ** k
-    return k, max(1, math.ceil(math.log(1 - recall) / math.log1p(-p)))
+    return k, ways(k, design, recall)
+
+
+def ways(k: int, design: int = DESIGN, recall: float = RECALL) -> int:
+    """In how many independent draws of k coordinates a pair at ``design`` bits has the chance ``recall`` to agree once."""
+    return max(1, math.ceil(math.log(1 - recall) / math.log1p(-((1 - design / BITS) ** k)))) if k else 1
 
 
 def _coordinates(table: int) -> np.ndarray:
@@ -130,6 +137,11 @@ def _coordinates(table: int) -> np.ndarray:
     return np.random.default_rng(7919 + table).permutation(BITS)
 
 
+def _further(table: int, way: int, k: int) -> np.ndarray:
+    """One order of the coordinates that the table hasn't used."""
+    return np.random.default_rng([7919, table, way]).permutation(_coordinates(table)[k:])
+
+
 def _key(sig: np.ndarray, bits: np.ndarray) -> np.ndarray:
     """Up to 63 coordinates of each signature, as a number."""
     key = np.zeros(len(sig), dtype=np.int64)
@@ -138,24 +150,49 @@ def _key(sig: np.ndarray, bits: np.ndarray) -> np.ndarray:
     return key
 
 
-def _split(sig: np.ndarray, bucket: np.ndarray, table: np.ndarray, k: int, cap: int) -> np.ndarray:
-    """Bucket numbers after every bucket over cap was split by further coordinates of its table."""
-    at = np.full(int(bucket.max()) + 1, k)
-    while True:
-        over = (np.bincount(bucket) > cap) & (at[: bucket.max() + 1] < BITS)
-        rows = over[bucket]
-        if not rows.any():
-            return bucket
-        bit = np.zeros(len(bucket), dtype=np.int64)
-        for t in np.unique(table[rows]).tolist():
-            order = _coordinates(t)
-            mine = np.flatnonzero(rows & (table == t))
-            b = order[at[bucket[mine]]]
-            bit[mine] = (np.where(b < 64, sig[mine, 0], sig[mine, 1]) >> (b % 64).astype(np.uint64) & np.uint64(1)).astype(np.int64)
-        depth = at[bucket] + rows
-        bucket = np.unique(bucket * 2 + bit, return_inverse=True)[1]
-        at = np.zeros(int(bucket.max()) + 1, dtype=np.int64)
-        at[bucket] = depth
+def _hashed(key: np.ndarray, salt: int) -> np.ndarray:
+    return _mix(key.view(np.uint64) + np.uint64((salt + 1) * int(_NEXT) % 2**64))
+
+
+def buckets(sig: np.ndarray, k: int, tables: int, deep: dict[int, int]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(rows, buckets, buckets of the table they come from) of signatures, for each table and each way to split the buckets in ``deep`` by so many further coordinates."""
+    for t in range(tables):
+        base = _hashed(_key(sig, _coordinates(t)[:k]), t).view(np.int64)
+        more = np.array([deep.get(x, 0) for x in base.tolist()]) if deep else np.zeros(len(base), dtype=np.int64)
+        rows = np.flatnonzero(more == 0)
+        yield rows, base[rows], base[rows]
+        for d in np.unique(more[more > 0]).tolist():
+            rows = np.flatnonzero(more == d)
+            for way in range(ways(d)):
+                key = _key(sig[rows], _further(t, way, k)[:d])
+                yield rows, (_hashed(key, way).view(np.int64) ^ base[rows] * 31), base[rows]
+
+
+def _split(sig: np.ndarray, bucket: np.ndarray, cap: int) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, buckets) after every bucket over cap was split by further coordinates, in as many ways as make up for those; until it is small enough or the coordinates end."""
+    bucket = np.unique(bucket, return_inverse=True)[1].reshape(-1)
+    size = np.bincount(bucket)
+    rows = [np.flatnonzero(size[bucket] <= cap)]
+    out = [bucket[rows[0]]]
+    at = len(size)
+    for b in np.flatnonzero(size > cap).tolist():
+        own = np.flatnonzero(bucket == b)
+        # coordinates that all share split nothing
+        differ = np.bitwise_or.reduce(sig[own] ^ sig[own[0]], axis=0)
+        free = np.array([x for x in range(BITS) if differ[x // 64] >> np.uint64(x % 64) & np.uint64(1)], dtype=np.int64)
+        for way in range(ways(math.ceil(math.log2(len(own) / cap)))):
+            order = np.random.default_rng([way, len(own)]).permutation(free)
+            part = np.zeros(len(own), dtype=np.int64)
+            for bit in order.tolist():
+                over = np.bincount(part) > cap
+                if not over.any():
+                    break
+                one = (sig[own, bit // 64] >> np.uint64(bit % 64) & np.uint64(1)).astype(np.int64)
+                part = np.unique(part * 2 + np.where(over[part], one, 0), return_inverse=True)[1].reshape(-1)
+            rows.append(own)
+            out.append(part + at)
+            at += int(part.max()) + 1
+    return np.concatenate(rows), np.concatenate(out)
 
 
 def _near(sig: np.ndarray, a: np.ndarray, b: np.ndarray, words: int, pairs: int, total: int) -> np.ndarray:
@@ -204,55 +241,76 @@ def forest(ids: np.ndarray, sig: np.ndarray, bucket: np.ndarray, words: int, pai
     return ids[left], ids[right]
 
 
-def groups(docs: DataFrame, words: int = 24, pairs: int = 32, total: int = 52, cap: int = 1000, signatures_per_task: int = 40_000) -> DataFrame:
+def _deep(distinct: DataFrame, k: int, tables: int, limit: int, most: int = 44) -> dict[int, int]:
+    """The buckets of more than limit signatures, and by how many further coordinates to split each; all signatures are counted."""
+    deep: dict[int, int] = {}
+    while True:
+
+        def count(batches: Iterator[pd.DataFrame], known: dict[int, int] = deep) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                sig = batch[["s0", "s1"]].to_numpy(dtype=np.int64).view(np.uint64)
+                for _, b, base in buckets(sig, k, tables, known):
+                    yield pd.DataFrame({"b": b, "base": base})
+
+        found = distinct.select("s0", "s1").mapInPandas(count, "b long, base long").groupBy("b", "base").count().where(F.col("count") > limit).groupBy("base").agg(F.max("count").alias("n")).toPandas()
+        again = {int(b): min(most, deep.get(int(b), 0) + max(1, math.ceil(math.log2(n / limit)))) for b, n in zip(found["base"], found["n"]) if deep.get(int(b), 0) < most}
+        if not again:
+            return deep
+        deep = deep | again
+
+
+def groups(docs: DataFrame, words: int = 24, pairs: int = 32, total: int = 52, cap: int = 1000, signatures_per_task: int = 40_000, limit: int = 200_000, before: DataFrame | None = None) -> DataFrame:
     """(doc_id, group_id) of every document that has a near copy; group_id is the group's least doc_id.
 
+    ``before`` are the same documents as they were, by doc_id: two are near, too, if the texts were
+    that they had there. Of its rows only those count whose doc_id docs has.
+
     Two documents are near if at most ``words`` of the 128 word bits and ``pairs`` of the 128 pair
     bits differ, ``total`` of both; groups are the connected components. Null and wordless texts, and rows without a
     doc_id, are in no group. Rows that share a doc_id are one document; repeated rows give one row.
-    Ties go to the least doc_id. Extra columns are ignored; an empty table gives no group.
+    Ties go to the least doc_id. Texts of any length are signed whole. Extra columns are ignored, whatever their names; an empty table gives no group.
     """
     all_ = common.written(signed(docs), "signatures")
+    if before is not None:
+        then = signed(before).join(docs.select(F.col("doc_id").cast("long").alias("doc_id")).distinct(), "doc_id", "left_semi")
+        all_ = common.written(all_.unionByName(then).distinct(), "signatures", (all_,))
     distinct = common.written(all_.groupBy("s0", "s1", "s2", "s3").agg(F.min("doc_id").alias("id")), "distinct")
     n = distinct.count()
     k, tables = plan(n)
     shards = max(1, math.ceil(n * tables / signatures_per_task))
 
+    # a bucket that many tasks' rows would fall into; there are at most n * tables / limit
+    deep = _deep(distinct, k, tables, limit) if n > limit else {}
+
     def sample(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        orders = [_coordinates(t)[:k] for t in range(tables)]
         for batch in batches:
-            sig = batch[["s0", "s1", "s2", "s3"]].to_numpy(dtype=np.int64).view(np.uint64)
-            for t, order in enumerate(orders):
-                key = _key(sig, order)
-                shard = (_mix(key.view(np.uint64) + np.uint64((t + 1) * int(_NEXT) % 2**64)) % np.uint64(shards)).astype(np.int32)
-                yield batch.assign(shard=shard, tab=np.int32(t))
+            sig = batch[["s0", "s1"]].to_numpy(dtype=np.int64).view(np.uint64)
+            for rows, b, _ in buckets(sig, k, tables, deep):
+                if len(rows):
+                    yield batch.iloc[rows].assign(shard=(b.view(np.uint64) % np.uint64(shards)).astype(np.int32), bucket=b)
 
     def compare(part: pd.DataFrame) -> pd.DataFrame:
         sig = np.ascontiguousarray(part[["s0", "s1", "s2", "s3"]].to_numpy(dtype=np.int64)).view(np.uint64)
-        table = part["tab"].to_numpy().astype(np.int64)
-        key = np.empty(len(part), dtype=np.int64)
-        for t in np.unique(table).tolist():
-            mine = table == t
-            key[mine] = _key(sig[mine], _coordinates(t)[:k])
-        bucket = np.unique(np.stack([table, key]), axis=1, return_inverse=True)[1].reshape(-1)
-        a, b = forest(part["id"].to_numpy(), sig, _split(sig, bucket, table, k, cap), words, pairs, total)
+        rows, bucket = _split(sig, part["bucket"].to_numpy(), cap)
+        a, b = forest(part["id"].to_numpy()[rows], sig[rows], bucket, words, pairs, total)
         return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
-    edges = distinct.mapInPandas(sample, f"{SIGNATURE}, id long, shard int, tab int").groupBy("shard").applyInPandas(compare, "a long, b long")
+    edges = distinct.mapInPandas(sample, f"{SIGNATURE}, id long, shard int, bucket long").groupBy("shard").applyInPandas(compare, "a long, b long")
     same = all_.join(distinct, ["s0", "s1", "s2", "s3"]).where(F.col("doc_id") != F.col("id")).select(F.col("id").alias("a"), F.col("doc_id").alias("b"))
     return common.components(edges.unionByName(same))
 
 
-def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """docs with one document of each group, the one of the least doc_id; all columns are kept.
+def drop_near_copies(docs: DataFrame, before: DataFrame | None = None) -> DataFrame:
+    """docs with one document of each group, the one of the least doc_id; all columns are kept. ``before`` as in groups.
 
     Rows without a doc_id, and null or wordless texts, stay. The ids to drop are few beside the
     texts; they are joined by doc_id, as a broadcast where Spark finds them small enough.
     """
-    gone = groups(docs).where(F.col("doc_id") != F.col("group_id")).select(F.col("doc_id").alias("_gone"))
+    gone = groups(docs, before=before).where(F.col("doc_id") != F.col("group_id")).select(F.col("doc_id").alias("_gone"))
     row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("doc_id").cast("long").alias("_id"))
     return row.join(gone, F.col("_id") == F.col("_gone"), "left_anti").select("_row.*")
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, group_id) of all documents that have a near copy; odd rows as in groups."""
     return groups(common.read(spark, sf_dir, "documents"))

@@ -28,7 +28,7 @@ def test_groups_by_brute_force(spark):
     want = brute([r["doc_id"] for r in docs if r["text"]], sig[some])
     got = {r["doc_id"]: r["group_id"] for r in simhash.op8_simhash(spark, "/root/testdata/sf0.01").collect()}
     assert set(got.items()) <= set(want.items())
-    assert len(got) >= 0.9 * len(want)
+    assert len(got) >= 0.98 * len(want)
 
 
 def test_majority_of_long_runs():
@@ -49,13 +49,67 @@ def test_oversized_buckets_are_split_and_nothing_is_skipped():
         sig[i, 2] ^= np.uint64(1) << np.uint64(i % 61)
     sig = np.unique(sig, axis=0)
     ids = np.arange(len(sig))
-    table = np.zeros(len(sig), dtype=np.int64)
-    bucket = simhash._split(sig, np.zeros(len(sig), dtype=np.int64), table, 4, 50)
-    assert np.bincount(bucket).max() <= max(50, 62)
+    rows, bucket = simhash._split(sig, np.zeros(len(sig), dtype=np.int64), 50)
+    assert np.bincount(bucket).max() <= 62
+    assert (np.bincount(rows, minlength=len(sig)) == simhash.ways(4)).all()
     a, b = simhash.forest(ids, sig, np.zeros(len(sig), dtype=np.int64), 24, 32, 52)
     assert len(a) == len(sig) - 1
 
 
+def flipped(sig, rng, n):
+    """Copies of signatures with n of their word bits flipped."""
+    out = sig.copy()
+    for i in range(len(out)):
+        for bit in rng.choice(128, n, replace=False).tolist():
+            out[i, bit // 64] ^= np.uint64(1) << np.uint64(bit % 64)
+    return out
+
+
+def test_pairs_meet_as_often_as_planned_in_split_buckets_too():
+    rng = np.random.default_rng(2)
+    base = rng.integers(0, 2**63, (400, 4)).astype(np.uint64)
+    sig = np.concatenate([base, flipped(base, rng, simhash.DESIGN)])
+    k, tables = simhash.plan(len(sig))
+
+    def met(deep, cap):
+        pairs = set()
+        for rows, b, _ in simhash.buckets(sig, k, tables, deep):
+            if len(rows):
+                own, bucket = simhash._split(sig[rows], b, cap)
+                at = {}
+                for r, x in zip(rows[own].tolist(), bucket.tolist()):
+                    at.setdefault(x, set()).add(r % 400 if r < 400 else r)
+                pairs |= {r for rs in at.values() for r in rs if r < 400 and r + 400 in rs}
+        return len(pairs) / 400
+
+    # the tables draw from the same coordinates, so they are not quite independent
+    assert met({}, 1000) > 0.9
+    # all in one bucket of few coordinates, split before and in the task
+    k, tables = 0, 1
+    assert met({}, 50) > 0.9
+    deep = {int(b): 3 for _, bs, _ in simhash.buckets(sig, k, tables, {}) for b in np.unique(bs)}
+    assert met(deep, 10_000) > 0.9
+
+
+def test_large_buckets_are_split_before_they_are_gathered(spark):
+    docs = common.read(spark, "/root/testdata/sf0.01", "documents")
+    want = set(map(tuple, simhash.groups(docs).collect()))
+    signed = simhash.signed(docs).dropDuplicates(["s0", "s1", "s2", "s3"])
+    deep = simhash._deep(signed, 4, 3, 40)
+    assert deep and max(deep.values()) <= 44
+    few = set(map(tuple, simhash.groups(docs, limit=100, cap=40).collect()))
+    assert few <= want and len(few) >= 0.97 * len(want)
+
+
+def test_texts_as_they_were_count_too(spark):
+    words = [f"word{i}" for i in range(200)]
+    was = spark.createDataFrame([(1, " ".join(words)), (2, " ".join([*words, "one", "two", "three"])), (3, "other text by itself"), (9, " ".join(words))], "doc_id long, text string")
+    now = spark.createDataFrame([(1, " ".join(words)), (2, "one two three"), (3, "other text by itself")], "doc_id long, text string")
+    assert simhash.groups(now).count() == 0
+    assert sorted(map(tuple, simhash.groups(now, before=was).collect())) == [(1, 1), (2, 1)]
+    assert sorted(r["doc_id"] for r in simhash.drop_near_copies(now, was).collect()) == [1, 3]
+
+
 def test_components_of_a_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (7, 7)], "a long, b long")
     got = {r["doc_id"]: r["group_id"] for r in common.components(edges).collect()}
