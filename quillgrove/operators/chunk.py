@@ -125,7 +125,9 @@ def marker_topics(docs: DataFrame, markers: Sequence[str], id_column: str = "doc
 
 
 def topic_shift(docs: DataFrame, topics: Sequence[str], delimiter: str = "\n\n", least: int = 50, id_column: str = "doc_id") -> DataFrame:
-    """Paragraphs until one has topics that none before it had, once the chunk has ``least`` words; up to 63 topics."""
+    """Paragraphs until one has topics that none before it had, once the chunk has ``least`` words; up to 63 topics, more are an error."""
+    if len(topics) > 63:
+        raise ValueError(f"{len(topics)} topics, of which only 63 have a bit")
     d = docs.select(id_column, T.paragraphs(F.col("text"), delimiter).alias("p")).where(F.size("p") > 0)
 
     def mask(x: Column) -> Column:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillgrove.functions import text as T
+from quillgrove.sources.files import written
 
 
 def keep(rows: DataFrame, key: Sequence[str] | str, order: Sequence[Column]) -> DataFrame:
@@ -42,6 +44,35 @@ def fingerprint(rows: DataFrame, key: str, by: Sequence[str] = ()) -> DataFrame:
     return rows.groupBy(*by).agg(F.substring(F.md5(ids), 1, 16).alias("fingerprint"))
 
 
+def merkle_fingerprint(rows: DataFrame, key: str, by: Sequence[str] = ()) -> DataFrame:
+    """The first 16 digits of a digest that is built in two steps, for groups of any size.
+
+    Keys are spread by the first four digits of their md5; the digest of a group is the md5 of the
+    digests of its 65,536 parts, each that of its sorted keys. It isn't the value of ``fingerprint``.
+    """
+    k = rows.select(*by, F.col(key).cast("string").alias("_k")).where("_k is not null")
+    parts = k.groupBy(*by, F.substring(F.md5("_k"), 1, 4).alias("_p")).agg(F.md5(F.array_join(F.sort_array(F.collect_list("_k")), "|")).alias("_d"))
+    digests = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_p", "_d"))), lambda x: x["_d"]), "|")
+    return parts.groupBy(*by).agg(F.substring(F.md5(digests), 1, 16).alias("fingerprint"))
+
+
+def numbered(rows: DataFrame, by: str, order: str, span_rows: int = 200_000) -> DataFrame:
+    """rows with ``rn``, their place in their group by a whole number, from 1; as row_number, but no group is sorted as a whole.
+
+    The order's range is cut into even spans; places within a span are added to the counts of the spans before.
+    """
+    rows = written(rows, "rows")
+    n, low, high = rows.agg(F.count("*"), F.min(order), F.max(order)).first()
+    spans = max(1, math.ceil(n / span_rows))
+    width = ((high or 0) - (low or 0)) // spans + 1
+    cut = rows.withColumn("_span", F.coalesce(F.floor((F.col(order) - F.lit(low or 0)) / F.lit(width)), F.lit(-1)))
+    counts = cut.groupBy(F.col(by).alias("_by"), F.col("_span").alias("_of")).agg(F.count("*").alias("_n"))
+    before = counts.select("_by", "_of", (F.sum("_n").over(Window.partitionBy("_by").orderBy("_of")) - F.col("_n")).alias("_before"))
+    met = cut.join(before, F.col(by).eqNullSafe(F.col("_by")) & (F.col("_span") == F.col("_of")))
+    place = F.row_number().over(Window.partitionBy(by, "_span").orderBy(order))
+    return met.withColumn("rn", (F.col("_before") + place).cast("long")).drop("_span", "_by", "_of", "_before")
+
+
 def cache_key(size: Column, name: Column) -> Column:
     return F.md5(F.concat(size.cast("string"), F.lit("_"), name))
 

@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillgrove.functions import lexicon as L
+from quillgrove.operators.dataset import numbered
+from quillgrove.sources.files import written
 
 CONCEPTS = (("COND", "condition", "treats", 1.2), ("INT", "intervention", "uses", 1.1), ("POP", "population", "targets", 1.1))
 
@@ -69,7 +71,7 @@ def hub_edges(corpus: DataFrame, hub: tuple[str, ...]) -> DataFrame:
 def similarity_edges(corpus: DataFrame, lexicon: L.Lexicon, ahead: int = 5, weight: float = 0.7) -> DataFrame:
     """Each document to the next few of each condition, in order of id; the first condition of the lexicon owns a pair."""
     d = corpus.select("doc_id", F.posexplode(F.transform(F.array(*[F.when(L.any_of(L.lowered(F.col("text")), ws), F.lit(k)) for k, ws in lexicon.entries]), lambda x: x)).alias("ord", "condition")).where("condition is not null")
-    n = d.withColumn("rn", F.row_number().over(Window.partitionBy("condition").orderBy("doc_id")))
+    n = written(numbered(d, "condition", "doc_id"), "numbered")
     a = n.select("condition", "ord", F.col("doc_id").alias("a"), F.explode(F.sequence(F.col("rn") + 1, F.col("rn") + ahead)).alias("rn"))
     p = a.join(n.select("condition", "rn", F.col("doc_id").alias("b")), ["condition", "rn"])
     own = p.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min_by("condition", "ord").alias("shared_condition"))
@@ -126,10 +128,20 @@ def two_hop(edges: DataFrame, seeds: DataFrame, decay: float = 0.8, k: int = 5)
 
 
 def related(edges: DataFrame, seeds: DataFrame, k: int = 10) -> DataFrame:
-    """(query_id, id, strength, rank): documents one or two edges from a seed (query_id, seed), over any node; nearest first found, strength the greatest product of weights."""
+    """(query_id, id, strength, rank): documents one or two edges from a seed (query_id, seed), over any node; nearest first found, strength the greatest product of weights.
+
+    Of the documents beside a node on the way only the first by weight and id are walked to: k of
+    them, and as many more as any seed has neighbours, since these are found before. Products keep
+    the order of the weights, so no other can be among a query's k; a node that every document has
+    costs no more than a rare one. Weights are taken as different from a billionth on.
+    """
     e = both_ways(edges).select("src", "dst", F.coalesce("weight", F.lit(0.5)).alias("w")).where("src <> dst")
-    one = seeds.join(e, F.col("seed") == F.col("src")).groupBy("query_id", "seed", F.col("dst").alias("id")).agg(F.max("w").alias("strength"))
-    two = one.where(~F.col("id").startswith("DOC_")).join(e, F.col("id") == F.col("src")).groupBy("query_id", "seed", F.col("dst").alias("id")).agg(F.max(F.col("strength") * F.col("w")).alias("strength"))
+    one = written(seeds.join(e, F.col("seed") == F.col("src")).groupBy("query_id", "seed", F.col("dst").alias("id")).agg(F.max("w").alias("strength")), "one")
+    most = one.where(F.col("id").startswith("DOC_")).groupBy("query_id", "seed").count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0]
+    first = F.row_number().over(Window.partitionBy("src").orderBy(F.desc(F.round("w", 9)), "dst"))
+    beside = e.where(~F.col("src").startswith("DOC_") & F.col("dst").startswith("DOC_")).groupBy("src", "dst").agg(F.max("w").alias("w"))
+    beside = beside.withColumn("nth", first).where(F.col("nth") <= k + most + 1).drop("nth")
+    two = one.where(~F.col("id").startswith("DOC_")).join(beside, F.col("id") == F.col("src")).groupBy("query_id", "seed", F.col("dst").alias("id")).agg(F.max(F.col("strength") * F.col("w")).alias("strength"))
     two = two.where(F.col("id") != F.col("seed")).join(one.select("query_id", "seed", "id"), ["query_id", "seed", "id"], "left_anti")
     docs = one.unionByName(two).where(F.col("id").startswith("DOC_")).groupBy("query_id", "id").agg(F.round(F.max("strength"), 6).alias("strength"))
     w = Window.partitionBy("query_id").orderBy(F.desc("strength"), "id")
@@ -169,11 +181,62 @@ def modularity(edges: DataFrame, groups: DataFrame) -> DataFrame:
     return deg.join(inside, "community", "left").crossJoin(m).agg(F.round(F.sum(F.coalesce("inside", F.lit(0.0)) / F.col("m") - (F.col("degree") / (2 * F.col("m"))) * (F.col("degree") / (2 * F.col("m")))), 6).alias("modularity"))
 
 
-def louvain(edges: DataFrame) -> DataFrame:
+def _contracted(edges: DataFrame, groups: DataFrame) -> DataFrame:
+    """Edges between the groups (id, community), their weights summed; within one they are its loop."""
+    e = edges.join(groups.toDF("src", "_s"), "src").join(groups.toDF("dst", "_d"), "dst")
+    return e.groupBy(F.least("_s", "_d").alias("src"), F.greatest("_s", "_d").alias("dst")).agg(F.sum("weight").alias("weight"))
+
+
+def label_moves(edges: DataFrame, rounds: int = 8) -> DataFrame:
+    """(id, community) by rounds of moves to the neighbouring community of the greatest gain in modularity.
+
+    In each round half of the nodes, by a hash that differs from round to round, choose at once;
+    a community goes by one of its nodes. A round is an aggregation of the edges by node and
+    community; a node that all others touch is summed within the tasks first.
+    """
+    edges = written(edges.groupBy(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).agg(F.sum("weight").alias("weight")), "edges")
+    both = edges.where("src <> dst").select("src", "dst", "weight").unionByName(edges.where("src <> dst").select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
+    ends = both.select(F.col("src").alias("id"), "weight").unionByName(edges.where("src = dst").select(F.col("src").alias("id"), (2 * F.col("weight")).alias("weight")))
+    state = written(ends.groupBy("id").agg(F.sum("weight").alias("deg")).withColumn("community", F.col("id")), "state")
+    total = state.agg(F.sum("deg")).first()[0] or 0.0
+    for turn in range(rounds if total else 0):
+        size = state.groupBy(F.col("community").alias("to")).agg(F.sum("deg").alias("size"))
+        to = both.join(state.select(F.col("id").alias("dst"), F.col("community").alias("to")), "dst").groupBy(F.col("src").alias("id"), "to").agg(F.sum("weight").alias("w"))
+        stay = state.select("id", F.col("community").alias("to"), F.lit(0.0).alias("w"))
+        options = to.unionByName(stay).groupBy("id", "to").agg(F.sum("w").alias("w")).join(size, "to").join(state, "id")
+        own = F.col("to") == F.col("community")
+        gain = F.round(F.col("w") - (F.col("size") - F.when(own, F.col("deg")).otherwise(0.0)) * F.col("deg") / total, 12)
+        best = options.where(F.pmod(F.xxhash64("id", F.lit(turn)), F.lit(2)) == 0).groupBy("id").agg(F.max_by("to", F.struct(gain, own, "to")).alias("to"))
+        after = written(state.join(best, "id", "left").select("id", "deg", F.coalesce("to", "community").alias("community"), (F.coalesce("to", "community") != F.col("community")).alias("moved")), "state")
+        moved = after.where("moved").limit(1).count()
+        state = after.drop("moved")
+        if not moved and turn:
+            break
+    return state.select("id", "community")
+
+
+def louvain(edges: DataFrame, in_task: int = 2_000_000) -> DataFrame:
     """(id, community) by greedy modularity moves over the concept and document graph.
 
-    Moves depend on one another, so the graph is one group in pandas; use it where the graph fits a task.
+    A graph of more than ``in_task`` edges is first contracted by rounds of moves over all tasks, as
+    often as it takes or as that makes it smaller; the rest, of bounded size, is one group in pandas.
     """
+    levels = []
+    while (n := edges.count()) > in_task:
+        groups = label_moves(edges)
+        less = written(_contracted(edges, groups), "contracted")
+        if less.count() > 0.9 * n:
+            raise ValueError(f"{n} edges, and no communities to contract them by")
+        levels.append(groups)
+        edges = less
+    out = _in_one_task(edges)
+    for groups in reversed(levels):
+        # a community without edges to others and without a loop can't be: its nodes have edges
+        out = groups.toDF("node", "id").join(out, "id").select(F.col("node").alias("id"), "community")
+    return out
+
+
+def _in_one_task(edges: DataFrame) -> DataFrame:
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         names, codes = np.unique(np.concatenate([part["src"], part["dst"]]), return_inverse=True)

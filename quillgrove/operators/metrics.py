@@ -11,12 +11,21 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def hits(ranked: DataFrame, relevant: DataFrame) -> DataFrame:
-    """Ranked rows with ``hit`` and the number of relevant items of the query, ``n_relevant`` (0 for none)."""
+def hits(ranked: DataFrame, relevant: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Ranked rows, with the columns ``by`` if several systems are ranked, with ``hit`` and the number of relevant items of the query, ``n_relevant`` (0 for none)."""
     r = relevant.select("query_id", "item_id").distinct()
     n = r.groupBy("query_id").agg(F.count("*").alias("n_relevant"))
-    h = ranked.select("query_id", "item_id", "rank").join(r.withColumn("hit", F.lit(1)), ["query_id", "item_id"], "left").join(n, "query_id", "left")
-    return h.select("query_id", "item_id", "rank", F.coalesce("hit", F.lit(0)).alias("hit"), F.coalesce("n_relevant", F.lit(0)).alias("n_relevant"))
+    h = ranked.select(*by, "query_id", "item_id", "rank").join(r.withColumn("hit", F.lit(1)), ["query_id", "item_id"], "left").join(n, "query_id", "left")
+    return h.select(*by, "query_id", "item_id", "rank", F.coalesce("hit", F.lit(0)).alias("hit"), F.coalesce("n_relevant", F.lit(0)).alias("n_relevant"))
+
+
+def hits_by_label(ranked: DataFrame, labels: DataFrame) -> DataFrame:
+    """As hits, where all other items of the query's label (item_id, label) are relevant; no pair of them is made."""
+    n = labels.groupBy("label").agg((F.count("*") - 1).alias("n_relevant"))
+    q = labels.join(n, "label").select(F.col("item_id").alias("query_id"), F.col("label").alias("_label"), "n_relevant")
+    h = ranked.select("query_id", "item_id", "rank").join(q, "query_id", "left").join(labels, "item_id", "left")
+    hit = F.coalesce((F.col("label") == F.col("_label")) & (F.col("item_id") != F.col("query_id")), F.lit(False)).cast("int")
+    return h.select("query_id", "item_id", "rank", hit.alias("hit"), F.coalesce("n_relevant", F.lit(0)).alias("n_relevant"))
 
 
 def precision(k: int, mode: str = "always") -> Column:
@@ -45,13 +54,13 @@ def reciprocal_rank() -> Column:
     return F.coalesce(1 / F.min(F.when(F.col("hit") == 1, F.col("rank"))), F.lit(0.0))
 
 
-def per_query(h: DataFrame, ks: Sequence[int] = (1, 3, 5, 10)) -> DataFrame:
-    """A row for each query with precision, recall and nDCG at each k, average precision, reciprocal rank and hits in five."""
-    so_far = F.sum("hit").over(Window.partitionBy("query_id").orderBy("rank"))
+def per_query(h: DataFrame, ks: Sequence[int] = (1, 3, 5, 10), by: Sequence[str] = ()) -> DataFrame:
+    """A row for each query, of each system ``by``, with precision, recall and nDCG at each k, average precision, reciprocal rank and hits in five."""
+    so_far = F.sum("hit").over(Window.partitionBy(*by, "query_id").orderBy("rank"))
     h = h.withColumn("gain", F.when(F.col("hit") == 1, so_far / F.col("rank")).otherwise(F.lit(0.0)))
     ap = F.when(F.max("n_relevant") == 0, F.lit(0.0)).otherwise(F.sum("gain") / F.max("n_relevant"))
     cols = [f(k).alias(f"{n}_{k}") for k in ks for n, f in (("precision", precision), ("recall", recall), ("ndcg", ndcg))]
-    return h.groupBy("query_id").agg(*cols, ap.alias("ap"), reciprocal_rank().alias("rr"), F.sum(F.when((F.col("rank") <= 5) & (F.col("hit") == 1), 1).otherwise(0)).alias("hits_5"))
+    return h.groupBy(*by, "query_id").agg(*cols, ap.alias("ap"), reciprocal_rank().alias("rr"), F.sum(F.when((F.col("rank") <= 5) & (F.col("hit") == 1), 1).otherwise(0)).alias("hits_5"))
 
 
 def summary(rows: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:

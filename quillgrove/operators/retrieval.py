@@ -8,13 +8,15 @@ go by score rounded to six places, then by id.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillgrove.sources.files import written
+
 BLOCK = 4096
 QUERIES, ITEMS = 512, 4096
 PAIRS = "query_id long, item_id long, sim double"
@@ -26,33 +28,86 @@ def _matrix(s: pd.Series) -> np.ndarray:
     return np.divide(m, n, out=np.zeros_like(m), where=n > 0)
 
 
+def in_blocks(queries: DataFrame, items: DataFrame, compare: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str, block_q: int = BLOCK, block_i: int = BLOCK) -> DataFrame:
+    """What compare makes of each block of queries (query_id, ...) and each block of items (item_id, ...), both with rows."""
+    nq, ni = max(1, math.ceil(queries.count() / block_q)), max(1, math.ceil(items.count() / block_i))
+    q = queries.select("*", F.pmod(F.xxhash64("query_id"), F.lit(nq)).cast("int").alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(ni - 1))).alias("ib"))
+    i = items.select("*", F.pmod(F.xxhash64("item_id"), F.lit(ni)).cast("int").alias("ib"), F.explode(F.sequence(F.lit(0), F.lit(nq - 1))).alias("qb"))
+    names = [x.split()[0] for x in schema.split(", ")]
+
+    def both(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(a) or not len(b):
+            return pd.DataFrame({n: [] for n in names})
+        return compare(a, b.sort_values("item_id", kind="stable"))
+
+    return q.groupBy("qb", "ib").cogroup(i.groupBy("qb", "ib")).applyInPandas(both, schema)
+
+
+def _best(s: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of the k greatest of each row above -inf; of equal ones the first columns."""
+    top = np.argsort(-s, axis=1, kind="stable")[:, :k]
+    x, y = np.repeat(np.arange(len(s)), top.shape[1]), top.ravel()
+    ok = s[x, y] > -np.inf
+    return x[ok], y[ok]
+
+
+def cosines(a: pd.DataFrame, b: pd.DataFrame) -> np.ndarray:
+    """Cosines of qv and v, rounded to six places."""
+    return np.round(_matrix(a["qv"]) @ _matrix(b["v"]).T, 6) + 0.0
+
+
 def similar(queries: DataFrame, items: DataFrame, k: int | None = None, but_self: bool = False, block: int = BLOCK) -> DataFrame:
     """(query_id, item_id, sim) by cosine of queries (query_id, qv) and items (item_id, v): all pairs, or the k best of each query with their rank."""
-    nq, ni = (max(1, math.ceil(x.count() / block)) for x in (queries, items))
-    q = queries.where("qv is not null").select("query_id", "qv", F.pmod(F.xxhash64("query_id"), F.lit(nq)).cast("int").alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(ni - 1))).alias("ib"))
-    i = items.where("v is not null").select("item_id", "v", F.pmod(F.xxhash64("item_id"), F.lit(ni)).cast("int").alias("ib"), F.explode(F.sequence(F.lit(0), F.lit(nq - 1))).alias("qb"))
 
     def compare(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if not len(a) or not len(b):
-            return pd.DataFrame({"query_id": [], "item_id": [], "sim": []}).astype({"query_id": "int64", "item_id": "int64", "sim": "float64"})
-        b = b.sort_values("item_id", kind="stable")
-        s = np.round(_matrix(a["qv"]) @ _matrix(b["v"]).T, 6) + 0.0
+        s = cosines(a, b)
         qid, iid = a["query_id"].to_numpy(), b["item_id"].to_numpy()
         if but_self:
             s[qid[:, None] == iid[None, :]] = -np.inf
-        if k is None:
-            x, y = np.nonzero(s > -np.inf)
-        else:
-            top = np.argsort(-s, axis=1, kind="stable")[:, :k]
-            x, y = np.repeat(np.arange(len(qid)), top.shape[1]), top.ravel()
-            ok = s[x, y] > -np.inf
-            x, y = x[ok], y[ok]
+        x, y = np.nonzero(s > -np.inf) if k is None else _best(s, k)
         return pd.DataFrame({"query_id": qid[x], "item_id": iid[y], "sim": s[x, y]})
 
-    found = q.groupBy("qb", "ib").cogroup(i.groupBy("qb", "ib")).applyInPandas(compare, PAIRS)
+    found = in_blocks(queries.where("qv is not null").select("query_id", "qv"), items.where("v is not null").select("item_id", "v"), compare, PAIRS, block, block)
     return found if k is None else top_k(found, k, "sim")
 
 
+def _sums(shape: tuple[int, int], a: pd.DataFrame, p: pd.DataFrame) -> np.ndarray:
+    """For each row of a side and row of the other, the weights w of p over the terms that both have; a (row, term), p (row, term, w)."""
+    a, p = (x.sort_values(["term", "row"], kind="stable") for x in (a, p))
+    sums = np.zeros(shape)
+    met = np.intersect1d(a["term"].to_numpy(), p["term"].to_numpy())
+    at = [np.searchsorted(x["term"].to_numpy(), met, side) for x in (a, p) for side in ("left", "right")]
+    ar, pr, w = a["row"].to_numpy(), p["row"].to_numpy(), p["w"].to_numpy()
+    for a0, a1, p0, p1 in zip(*at):
+        sums[np.ix_(ar[a0:a1], pr[p0:p1])] += w[p0:p1]
+    return sums
+
+
+def overlaps(a: pd.DataFrame, b: pd.DataFrame) -> np.ndarray:
+    """How many terms each row of a shares with each row of b; the column terms is an array of different hashes."""
+    long_ = lambda d: pd.DataFrame({"row": np.repeat(np.arange(len(d)), [len(t) for t in d["terms"]]), "term": np.concatenate([np.asarray(t, dtype=np.int64) for t in d["terms"]]), "w": 1.0})
+    return _sums((len(a), len(b)), long_(a), long_(b))
+
+
+def mean_vectors(rows: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """(by, total, n, n_some): the sum of the vectors (v) at length 1, how many, and how many aren't zero.
+
+    The mean cosine of all pairs of two sets is the product of their sums over the number of pairs,
+    so that no pair is ever made.
+    """
+    length = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
+    unit = rows.select(*by, "v", length.alias("l")).select(*by, F.when(F.col("l") > 0, F.transform("v", lambda x: x.cast("double") / F.col("l"))).alias("u"))
+    counts = unit.groupBy(*by).agg(F.count("*").alias("n"), F.count("u").alias("n_some"))
+    sums = unit.where("u is not null").select(*by, F.posexplode("u").alias("dim", "x")).groupBy(*by, "dim").agg(F.sum("x").alias("x"))
+    # as many rows as there are groups and dimensions
+    total = sums.groupBy(*by).agg(F.transform(F.sort_array(F.collect_list(F.struct("dim", "x"))), lambda t: t["x"]).alias("total"))
+    return counts.join(total, list(by), "left") if by else counts.crossJoin(total)
+
+
+def dot(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+
+
 def top_k(scored: DataFrame, k: int, score: str = "score", by: Sequence[str] = ("query_id",), rank: str = "rank") -> DataFrame:
     """The k rows of the highest score of each query, with their rank; ties go to the lesser item_id."""
     w = Window.partitionBy(*by).orderBy(F.desc(score), "item_id")
@@ -67,19 +122,24 @@ def terms(text: Column) -> Column:
 def bm25(queries: DataFrame, items: DataFrame, k: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """(query_id, item_id, score, rank) by BM25 of queries (query_id, text) over items (item_id, text).
 
-    Only postings of terms that some query has are kept before anything is shuffled. Blocks of queries
-    then meet blocks of items, and each block keeps the k best of a query: the pairs that share a term
-    are many more than either side, and never leave their task.
+    The texts are split once: postings of terms that some query has, and one row a text for its
+    length, are written; the other numbers come from these. Blocks of queries then meet blocks of
+    items, and each block keeps the k best of a query: the pairs that share a term are many more than
+    either side, and never leave their task.
     """
     q = queries.select("query_id", F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
     t = items.select("item_id", terms(F.col("text")).alias("t"))
-    t = t.select("item_id", "t", F.size("t").alias("dl"))
-    stats = t.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    tf = t.select("item_id", "dl", F.explode("t").alias("term")).join(q.select("term").distinct(), "term", "left_semi").groupBy("term", "item_id").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+    t = t.select("item_id", F.size("t").alias("dl"), F.explode(F.concat(F.array(F.lit("")), "t")).alias("term"))
+    # "" stands for the text itself
+    wanted = q.select("term").unionByName(q.sparkSession.createDataFrame([("",)], "term string")).distinct()
+    tf = written(t.join(wanted, "term", "left_semi").groupBy("term", "item_id").agg(F.count("*").alias("tf"), F.first("dl").alias("dl")), "postings")
+    n, length = tf.where("term = ''").agg(F.sum("tf"), F.sum(F.col("tf") * F.col("dl"))).first()
+    n, mean = n or 0, (length or 0) / (n or 1)
+    tf = tf.where("term <> ''")
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    idf = df.crossJoin(stats).select("term", "avgdl", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
-    weight = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    nq, ni = max(1, math.ceil(queries.count() / QUERIES)), max(1, math.ceil(items.count() / ITEMS))
+    idf = df.select("term", F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
+    weight = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(mean)))
+    nq, ni = max(1, math.ceil(queries.count() / QUERIES)), max(1, math.ceil(n / ITEMS))
     postings = tf.join(idf, "term").select("item_id", F.xxhash64("term").alias("term"), weight.alias("w"), F.pmod(F.xxhash64("item_id"), F.lit(ni)).cast("int").alias("ib"), F.explode(F.sequence(F.lit(0), F.lit(nq - 1))).alias("qb"))
     asked = q.select("query_id", F.xxhash64("term").alias("term"), F.pmod(F.xxhash64("query_id"), F.lit(nq)).cast("int").alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(ni - 1))).alias("ib"))
 
@@ -88,18 +148,9 @@ def bm25(queries: DataFrame, items: DataFrame, k: int, k1: float = 1.2, b: float
         if len(a) and len(p):
             qids, qrow = np.unique(a["query_id"].to_numpy(), return_inverse=True)
             iids, irow = np.unique(p["item_id"].to_numpy(), return_inverse=True)
-            a, p = (x.assign(row=r).sort_values(["term", "row"], kind="stable") for x, r in ((a, qrow), (p, irow)))
-            sums = np.zeros((len(qids), len(iids)))
-            met = np.intersect1d(a["term"].to_numpy(), p["term"].to_numpy())
-            at = [np.searchsorted(x["term"].to_numpy(), met, side) for x in (a, p) for side in ("left", "right")]
-            ar, pr, w = a["row"].to_numpy(), p["row"].to_numpy(), p["w"].to_numpy()
-            for a0, a1, p0, p1 in zip(*at):
-                sums[np.ix_(ar[a0:a1], pr[p0:p1])] += w[p0:p1]
-            sums = np.round(sums, 6)
-            top = np.argsort(-sums, axis=1, kind="stable")[:, :k]
-            x, y = np.repeat(np.arange(len(qids)), top.shape[1]), top.ravel()
-            ok = sums[x, y] > 0
-            out = {"query_id": qids[x[ok]], "item_id": iids[y[ok]], "score": sums[x[ok], y[ok]]}
+            sums = np.round(_sums((len(qids), len(iids)), a.assign(row=qrow), p.assign(row=irow)), 6)
+            x, y = _best(np.where(sums > 0, sums, -np.inf), k)
+            out = {"query_id": qids[x], "item_id": iids[y], "score": sums[x, y]}
         return pd.DataFrame(out).astype({"query_id": "int64", "item_id": "int64", "score": "float64"})
 
     found = asked.groupBy("qb", "ib").cogroup(postings.groupBy("qb", "ib")).applyInPandas(score, "query_id long, item_id long, score double")

@@ -12,6 +12,7 @@ from quillgrove.operators import metrics as M
 from quillgrove.plans.retrieval_queries import bm25_sql, fuse_sql, hybrid, item_bm25, item_sql, item_vector_ranks, ranks_sql, vector_ranks
 from quillgrove.plans.text_queries import COVERED_SQL, covered, labels_sql, words_sql
 from quillgrove.registry import query, table
+from quillgrove.sources.files import written
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,6 +57,11 @@ def s16_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.fingerprint(_docs(spark, sf_dir), "doc_id", ["lang"])
 
 
+@query("WITH k AS (SELECT lang, CAST(doc_id AS VARCHAR) AS k FROM documents), p AS (SELECT lang, substr(md5(k), 1, 4) AS p, md5(string_agg(k, '|' ORDER BY k)) AS d FROM k GROUP BY ALL) SELECT lang, substr(md5(string_agg(d, '|' ORDER BY p)), 1, 16) AS fingerprint FROM p GROUP BY lang")
+def s16_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.merkle_fingerprint(_docs(spark, sf_dir), "doc_id", ["lang"])
+
+
 @query("SELECT CAST(i AS BIGINT) AS id, 'chunk ' || i % 5 AS title, CAST(2020 + i % 5 AS INTEGER) AS year, i % 3 = 0 AS is_focused, round(i % 10 / 10.0::DOUBLE, 1) AS score FROM range(100) AS t(i)")
 def s18_synthetic(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = F.col("id")
@@ -112,7 +118,7 @@ def j8_intersection(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("WITH n AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rn FROM documents) SELECT a.source, a.doc_id AS a, b.doc_id AS b FROM n a JOIN n b ON a.source = b.source AND b.rn BETWEEN a.rn + 1 AND a.rn + 5")
 def j9_band(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = _docs(spark, sf_dir).select("doc_id", "source", F.row_number().over(Window.partitionBy("source").orderBy("doc_id")).alias("rn"))
+    n = written(D.numbered(_docs(spark, sf_dir).select("doc_id", "source"), "source", "doc_id"), "numbered")
     a = n.select("source", F.col("doc_id").alias("a"), F.explode(F.sequence(F.col("rn") + 1, F.col("rn") + 5)).alias("rn"))
     return a.join(n.withColumnRenamed("doc_id", "b"), ["source", "rn"]).select("source", "a", "b")
 
@@ -233,9 +239,7 @@ h AS (SELECT vr.query_id, vr.item_id, rank, CAST(re.item_id IS NOT NULL AS INTEG
 
 
 def _hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "embeddings").select("vec_id", "label")
-    rel = e.toDF("query_id", "label").join(e.toDF("item_id", "label"), "label").where("query_id <> item_id").select("query_id", "item_id")
-    return M.hits(vector_ranks(spark, sf_dir, 10), rel)
+    return M.hits_by_label(vector_ranks(spark, sf_dir, 10), table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("item_id"), "label"))
 
 
 def _rounded(df: DataFrame) -> DataFrame:
@@ -314,11 +318,8 @@ def _truth(spark: SparkSession, sf_dir: str) -> DataFrame:
 z AS (SELECT *, sum(hit) OVER (PARTITION BY query_id, alpha ORDER BY rank) AS c FROM y), a AS (SELECT query_id, alpha, CASE WHEN max(n) = 0 THEN 0 ELSE sum(CASE WHEN hit = 1 THEN c / rank ELSE 0 END) / max(n) END AS ap FROM z GROUP BY ALL), m AS (SELECT alpha, round(avg(ap), 6) AS map FROM a GROUP BY alpha)
 SELECT alpha, map, map = max(map) OVER () AS best FROM m""")
 def m12_alpha(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = None
-    for a in (0.0, 0.25, 0.5, 1.0):
-        h = M.hits(hybrid(spark, sf_dir, [a], 10), _truth(spark, sf_dir))
-        one = M.per_query(h, (5,)).agg(F.lit(a).alias("alpha"), F.round(F.avg("ap"), 6).alias("map"))
-        out = one if out is None else out.unionByName(one)
+    h = M.hits(hybrid(spark, sf_dir, [0.0, 0.25, 0.5, 1.0], 10), _truth(spark, sf_dir), ["alpha"])
+    out = M.per_query(h, (5,), ["alpha"]).groupBy("alpha").agg(F.round(F.avg("ap"), 6).alias("map"))
     return out.withColumn("best", F.col("map") == F.max("map").over(Window.partitionBy(F.lit(0))))
 
 

@@ -12,21 +12,21 @@ from quillgrove.operators import graph as G
 from quillgrove.plans.retrieval_queries import bm25_sql, item_bm25
 from quillgrove.plans.text_queries import labels_sql
 from quillgrove.registry import query, table
-from quillgrove.sources.files import scratch
+from quillgrove.sources.files import written
 
 LEXICONS = {"COND": L.CONDITIONS, "INT": L.INTERVENTIONS, "POP": L.POPULATIONS}
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as (doc_id, pos, text, institute, year), with a later version of every tenth."""
-    d = table(spark, sf_dir, "documents").select("doc_id", F.col("doc_id").alias("pos"), "text", "lang", F.col("doc_id").alias("n"))
-    again = d.where("doc_id % 10 = 0").withColumns({"pos": F.col("pos") + 1_000_000_000, "n": F.col("doc_id") + 1})
+    """Documents as (doc_id, pos, text, institute, year), with a later version of every tenth; pos orders the versions of a document."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.lit(0).alias("pos"), "text", "lang", F.col("doc_id").alias("n"))
+    again = d.where("doc_id % 10 = 0").withColumns({"pos": F.lit(1), "n": F.col("doc_id") + 1})
     institute = F.when(F.col("doc_id") % 7 == 0, F.lit("")).otherwise(F.col("lang"))
     return d.unionByName(again).select("doc_id", "pos", "text", institute.alias("institute"), F.when(F.col("n") % 11 != 0, (2022 + F.col("n") % 3).cast("int")).alias("year"))
 
 
 CORPUS = """co AS (SELECT doc_id, pos, text, CASE WHEN doc_id % 7 = 0 THEN '' ELSE lang END AS institute, CASE WHEN n % 11 <> 0 THEN CAST(2022 + n % 3 AS INTEGER) END AS year
-  FROM (SELECT doc_id, doc_id AS pos, text, lang, doc_id AS n FROM documents UNION ALL SELECT doc_id, doc_id + 1000000000, text, lang, doc_id + 1 FROM documents WHERE doc_id % 10 = 0)),
+  FROM (SELECT doc_id, 0 AS pos, text, lang, doc_id AS n FROM documents UNION ALL SELECT doc_id, 1, text, lang, doc_id + 1 FROM documents WHERE doc_id % 10 = 0)),
 la AS (SELECT * FROM co QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY pos DESC) = 1)"""
 _N = L.count_sql(L.HUB, "lower(text)")
 NODES = f"""SELECT 'DOC_' || doc_id AS id, 'grant' AS type, coalesce(year, 2024) AS year, coalesce(institute, 'Unknown') AS institute, {_N} > 0 AS is_hub, least({_N} / 5.0::DOUBLE, 1.0::DOUBLE) AS hub_score FROM la"""
@@ -50,9 +50,7 @@ def graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     c = corpus(spark, sf_dir)
     edges = G.institute_edges(c).unionByName(G.year_edges(c)).unionByName(G.concept_edges(c, LEXICONS)).unionByName(G.hub_edges(c, L.HUB))
     edges = edges.unionByName(G.similarity_edges(table(spark, sf_dir, "documents"), L.CONDITIONS), allowMissingColumns=True)
-    path = scratch(spark, "edges")
-    edges.write.parquet(path)
-    edges = spark.read.parquet(path)
+    edges = written(edges, "edges")
     return G.node_table(c, edges), edges
 
 

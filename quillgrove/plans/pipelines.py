@@ -20,6 +20,10 @@ from quillgrove.plans.text_queries import FIXTURE_TYPES
 from quillgrove.registry import query, table
 
 
+#: More than a text has parts of any kind, as none is longer than 2 GB and a part has a hundred characters or more on average.
+PARTS = 1 << 24
+
+
 def search_and_expand(results: DataFrame, concept_edges: DataFrame, documents: DataFrame, k: int = 10, seeds: int = 3, focused: DataFrame | None = None) -> DataFrame:
     """Ranked results (query_id, item_id, score, rank) with the documents that share concepts with the first of them.
 
@@ -66,8 +70,8 @@ def e1_structured(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def e2_requirements(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Requirements of every benchmark text against the chunks of all documents: best chunks, their parts of a proposal."""
-    r = table(spark, sf_dir, "benchmark").select("item_id", F.posexplode(T.requirements(F.col("text"))).alias("pos", "text")).select((F.col("item_id") * 100 + F.col("pos")).alias("query_id"), "text")
-    c = C.packed(table(spark, sf_dir, "documents"), 250, "\n").select((F.col("doc_id") * 100_000 + F.col("chunk_index")).alias("item_id"), "text", S.ladder(F.col("text"), FIXTURE_TYPES, "general").alias("kind"))
+    r = table(spark, sf_dir, "benchmark").select("item_id", F.posexplode(T.requirements(F.col("text"))).alias("pos", "text")).select((F.col("item_id") * PARTS + F.col("pos")).alias("query_id"), "text")
+    c = C.packed(table(spark, sf_dir, "documents"), 250, "\n").select((F.col("doc_id") * PARTS + F.col("chunk_index")).alias("item_id"), "text", S.ladder(F.col("text"), FIXTURE_TYPES, "general").alias("kind"))
     best = R.bm25(r, c.select("item_id", "text"), 5).join(c, "item_id")
     return best.groupBy("query_id", S.bucket(F.col("kind"), F.col("text")).alias("bucket")).agg(F.count("*").alias("n_matches"), F.sort_array(F.collect_set(S.suggested_section(F.col("kind"), F.col("text")))).alias("sections"))
 
@@ -85,12 +89,9 @@ def e4_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
 z AS (SELECT *, sum(hit) OVER (PARTITION BY query_id, alpha ORDER BY rank) AS c FROM y), a AS (SELECT query_id, alpha, CASE WHEN max(n) = 0 THEN 0 ELSE sum(CASE WHEN hit = 1 THEN c / rank ELSE 0 END) / max(n) END AS ap, coalesce(1 / min(rank) FILTER (WHERE hit = 1), 0) AS rr, sum(hit) FILTER (WHERE rank <= 5) / 5 AS p5 FROM z GROUP BY ALL)
 SELECT CASE alpha WHEN 0 THEN 'keyword' WHEN 1 THEN 'dense' ELSE 'hybrid' END AS system, round(avg(ap), 6) AS map, round(avg(rr), 6) AS mrr, round(avg(p5), 6) AS precision_5 FROM a GROUP BY alpha""")
 def e5_evaluate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    truth = _truth(spark, sf_dir)
-    out = None
-    for name, alpha in (("keyword", 0.0), ("hybrid", 0.25), ("dense", 1.0)):
-        p = M.per_query(M.hits(hybrid(spark, sf_dir, [alpha], 10), truth), (5,))
-        one = p.agg(F.round(F.avg("ap"), 6).alias("map"), F.round(F.avg("rr"), 6).alias("mrr"), F.round(F.avg("precision_5"), 6).alias("precision_5")).withColumn("system", F.lit(name))
-        out = one if out is None else out.unionByName(one)
-    return out
+    """The three systems are one grid of alphas over the same two rankings."""
+    p = M.per_query(M.hits(hybrid(spark, sf_dir, [0.0, 0.25, 1.0], 10), _truth(spark, sf_dir), ["alpha"]), (5,), ["alpha"])
+    system = F.when(F.col("alpha") == 0, "keyword").when(F.col("alpha") == 1, "dense").otherwise("hybrid").alias("system")
+    return p.groupBy("alpha").agg(*[F.round(F.avg(c), 6).alias(n) for c, n in (("ap", "map"), ("rr", "mrr"), ("precision_5", "precision_5"))]).select(system, "map", "mrr", "precision_5")
 
 

@@ -6,6 +6,8 @@ number belong together, as do document and vector.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +18,7 @@ from quillgrove.functions import vector as V
 from quillgrove.operators import retrieval as R
 from quillgrove.plans.text_queries import _BUCKET_SQL, CHUNK_TYPE_SQL, FIXTURE_TYPES, RELEVANCE_SQL, WEIGHTED_SQL, words_sql
 from quillgrove.registry import query, table
+from quillgrove.sources.files import written
 
 
 def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -160,15 +163,44 @@ def v10_mmr(spark: SparkSession, sf_dir: str) -> DataFrame:
 KEYWORDS = ("the", "and", "hand", "of the")
 
 
+def _worded(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Benchmark items (query_id, qv, terms) and documents (item_id, v, terms, n_keywords) that have vectors; terms are hashes of their different words."""
+    e = _vectors(spark, sf_dir)
+    words = F.array_distinct(T.words(F.lower("text")))
+    hashed = F.transform("w", lambda x: F.xxhash64(x)).alias("terms")
+    b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("vec_id"), words.alias("w")).join(e, "vec_id")
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"), words.alias("w")).join(e, "vec_id")
+    keywords = F.size(F.array_intersect("w", F.array(*[F.lit(x) for x in KEYWORDS]))).alias("n_keywords")
+    return b.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qv"), hashed), d.select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("v"), hashed, keywords)
+
+
 @query(f"""WITH {item_sql(None)}, b AS (SELECT item_id AS query_id, list_distinct({words_sql("lower(text)")}) AS q FROM benchmark), d AS (SELECT doc_id AS item_id, list_distinct({words_sql("lower(text)")}) AS w FROM documents),
 s AS (SELECT query_id, item_id, round(0.7::DOUBLE * sim + 0.3::DOUBLE * ((len(list_intersect(q, w)) + 2 * len(list_intersect(['the', 'and', 'hand', 'of the'], w))) / greatest(len(q) + 8, 1)), 6) AS score FROM ir JOIN b USING (query_id) JOIN d USING (item_id))
 SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS INTEGER) AS rank FROM s QUALIFY rank <= 5""")
 def v11_keyword_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.array_distinct(T.words(F.lower("text"))).alias("q"))
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item_id"), F.array_distinct(T.words(F.lower("text"))).alias("w"))
-    s = item_vector_ranks(spark, sf_dir, None).join(b, "query_id").join(d, "item_id")
-    score = F.round(F.lit(0.7) * F.col("sim") + F.lit(0.3) * R.overlap_score(F.col("q"), F.col("w"), KEYWORDS), 6)
-    return R.top_k(s.select("query_id", "item_id", score.alias("score")), 5)
+    b, d = _worded(spark, sf_dir)
+
+    def compare(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        most = np.maximum([len(t) + 2 * len(KEYWORDS) for t in x["terms"]], 1)
+        shared = R.overlaps(x, y) + 2 * y["n_keywords"].to_numpy()[None, :]
+        score = np.round(0.7 * R.cosines(x, y) + 0.3 * (shared / most[:, None]), 6)
+        q, i = R._best(score, 5)
+        return pd.DataFrame({"query_id": x["query_id"].to_numpy()[q], "item_id": y["item_id"].to_numpy()[i], "score": score[q, i]})
+
+    return R.top_k(R.in_blocks(b, d, compare, "query_id long, item_id long, score double", R.QUERIES, R.ITEMS), 5)
+
+
+@query(f"""WITH {bm25_sql(5)}, b AS (SELECT item_id AS query_id, list_distinct({words_sql("lower(text)")}) AS q FROM benchmark), d AS (SELECT doc_id AS item_id, list_distinct({words_sql("lower(text)")}) AS w FROM documents),
+x AS (SELECT query_id AS item_id, item_id AS doc_id, list_sort(list_intersect(q, w)) AS s FROM br JOIN b USING (query_id) JOIN d USING (item_id))
+SELECT item_id, doc_id, CASE WHEN len(s) > 3 THEN 'Shared terms: ' || array_to_string(s[1:5], ', ') ELSE 'Semantic similarity to requirement' END AS explanation FROM x""")
+def l18_explanation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Why each of an item's five best documents was found."""
+    words = F.array_distinct(T.words(F.lower("text")))
+    b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), words.alias("q"))
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item_id"), words.alias("w"))
+    both = item_bm25(spark, sf_dir, 5).select("query_id", "item_id").join(b, "query_id").join(d, "item_id").select("query_id", "item_id", F.array_sort(F.array_intersect("q", "w")).alias("s"))
+    text = F.when(F.size("s") > 3, F.concat(F.lit("Shared terms: "), F.array_join(F.slice("s", 1, 5), ", "))).otherwise("Semantic similarity to requirement")
+    return both.select(F.col("query_id").alias("item_id"), F.col("item_id").alias("doc_id"), text.alias("explanation"))
 
 
 @query(f"WITH {fuse_sql('[0, 0.25, 0.5, 1]', 5)} SELECT * FROM fr")
@@ -201,10 +233,15 @@ def v14_requirements(spark: SparkSession, sf_dir: str) -> DataFrame:
 s AS (SELECT avg(sim) FILTER (WHERE la = lb) AS intra, avg(sim) FILTER (WHERE la <> lb) AS inter FROM p)
 SELECT round(coalesce(intra, 0.5), 5) AS intra, round(coalesce(inter, 0.5), 5) AS inter, round((coalesce(intra, 0.5) - coalesce(inter, 0.5)) * 0.5 + 0.5, 5) AS discrimination FROM s""")
 def v15_group_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = _vectors(spark, sf_dir)
-    lab = e.select("vec_id", "label")
-    p = R.similar(_q(e), _i(e)).where("query_id < item_id").join(lab.toDF("query_id", "la"), "query_id").join(lab.toDF("item_id", "lb"), "item_id")
-    s = p.agg(F.coalesce(F.avg(F.when(F.col("la") == F.col("lb"), F.col("sim"))), F.lit(0.5)).alias("intra"), F.coalesce(F.avg(F.when(F.col("la") != F.col("lb"), F.col("sim"))), F.lit(0.5)).alias("inter"))
+    """Mean cosines within and between labels, from the sums of the labels' vectors."""
+    m = R.mean_vectors(_vectors(spark, sf_dir).select("label", F.col("embedding").alias("v")).where("v is not null"), ["label"])
+    # a row a label: pairs of one label, and all pairs, each once
+    own = R.dot(F.col("total"), F.col("total"))
+    every = F.aggregate(F.collect_list("total"), F.array_repeat(F.lit(0.0), F.max(F.size("total"))), lambda s, x: F.zip_with(s, x, lambda a, b: a + b))
+    s = m.agg(((F.sum(own) - F.sum("n_some")) / 2).alias("si"), (F.sum(F.col("n") * (F.col("n") - 1)) / 2).alias("ni"), every.alias("t"), F.sum("n").alias("n"), F.sum("n_some").alias("some"))
+    s = s.select("si", "ni", ((R.dot(F.col("t"), F.col("t")) - F.col("some")) / 2).alias("sa"), (F.col("n") * (F.col("n") - 1) / 2).alias("na"))
+    mean = lambda x, n: F.when(n > 0, x / n).otherwise(0.5)
+    s = s.select(mean(F.col("si"), F.col("ni")).alias("intra"), mean(F.col("sa") - F.col("si"), F.col("na") - F.col("ni")).alias("inter"))
     return s.select(F.round("intra", 5).alias("intra"), F.round("inter", 5).alias("inter"), F.round((F.col("intra") - F.col("inter")) * 0.5 + 0.5, 5).alias("discrimination"))
 
 
@@ -214,17 +251,24 @@ qq AS (SELECT sum(CASE WHEN a.vec_id = b.vec_id THEN 0 ELSE {COS} END) / count(*
 aa AS (SELECT sum(CASE WHEN a.vec_id = b.vec_id THEN 0 ELSE {COS} END) / count(*) AS asim FROM embeddings a JOIN documents x ON x.doc_id = a.vec_id, embeddings b JOIN documents y ON y.doc_id = b.vec_id)
 SELECT round(relevance, 5) AS relevance, round(top, 5) AS top, round(qsim, 5) AS qsim, round(asim, 5) AS asim, round(0.4 * relevance + 0.3 * top + 0.2 * (1 - qsim) + 0.1 * asim, 5) AS score FROM r, qq, aa""")
 def v16_model_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = _vectors(spark, sf_dir)
-    b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.array_distinct(T.words(F.lower("text"))).alias("q"))
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item_id"), F.array_distinct(T.words(F.lower("text"))).alias("w"))
-    all_ = R.top_k(item_vector_ranks(spark, sf_dir, None), 1 << 30, "sim").join(b, "query_id").join(d, "item_id")
-    r = all_.agg(F.coalesce(F.avg(F.when(F.size(F.array_intersect("q", "w")) > 2, F.col("sim"))), F.lit(0.0)).alias("relevance"), F.avg(F.when(F.col("rank") <= 5, F.col("sim"))).alias("top"))
+    """Each block gives its sum over pairs that share words, and its five best of each query; means over all pairs come from the sums of the vectors."""
+    b, d = _worded(spark, sf_dir)
+
+    def compare(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        s = R.cosines(x, y)
+        shared = R.overlaps(x, y) > 2
+        q, i = R._best(s, 5)
+        best = pd.DataFrame({"query_id": x["query_id"].to_numpy()[q], "item_id": y["item_id"].to_numpy()[i], "sim": s[q, i], "n": 0})
+        return pd.concat([best, pd.DataFrame({"query_id": [-1], "item_id": [-1], "sim": [s[shared].sum()], "n": [int(shared.sum())]})])
+
+    found = written(R.in_blocks(b, d, compare, "query_id long, item_id long, sim double, n long", R.QUERIES, R.ITEMS), "scores")
+    r = found.where("item_id = -1").agg(F.coalesce(F.sum("sim") / F.sum("n"), F.lit(0.0)).alias("relevance"))
+    r = r.crossJoin(R.top_k(found.where("item_id <> -1"), 5, "sim").agg(F.avg("sim").alias("top")))
 
-    def mean(ids: DataFrame, name: str) -> DataFrame:
-        own = e.join(ids, "vec_id")
-        return R.similar(_q(own), _i(own)).agg((F.sum(F.when(F.col("query_id") == F.col("item_id"), 0.0).otherwise(F.col("sim"))) / F.count("*")).alias(name))
+    def mean(rows: DataFrame, name: str) -> DataFrame:
+        return R.mean_vectors(rows).select(((R.dot(F.col("total"), F.col("total")) - F.col("n_some")) / (F.col("n") * F.col("n"))).alias(name))
 
-    m = r.crossJoin(mean(b.select(F.col("query_id").alias("vec_id")), "qsim")).crossJoin(mean(d.select(F.col("item_id").alias("vec_id")), "asim"))
+    m = r.crossJoin(mean(b.select(F.col("qv").alias("v")), "qsim")).crossJoin(mean(d.select("v"), "asim"))
     score = 0.4 * F.col("relevance") + 0.3 * F.col("top") + 0.2 * (1 - F.col("qsim")) + 0.1 * F.col("asim")
     return m.select(*[F.round(c, 5).alias(c) for c in ("relevance", "top", "qsim", "asim")], F.round(score, 5).alias("score"))
 
@@ -232,7 +276,13 @@ def v16_model_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {item_sql(None)}, b AS (SELECT item_id AS query_id FROM benchmark WHERE {L.any_sql(L.HUB, "lower(text)")}), d AS (SELECT doc_id AS item_id FROM documents WHERE {L.any_sql(L.HUB, "lower(text)")})
 SELECT round(coalesce(avg(sim), 0), 5) AS mean_sim, count(*) AS n FROM ir SEMI JOIN b USING (query_id) SEMI JOIN d USING (item_id)""")
 def v17_lexicon_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = table(spark, sf_dir, "benchmark").where(L.any_of(L.lowered(F.col("text")), L.HUB)).select(F.col("item_id").alias("query_id"))
-    d = table(spark, sf_dir, "documents").where(L.any_of(L.lowered(F.col("text")), L.HUB)).select(F.col("doc_id").alias("item_id"))
-    s = item_vector_ranks(spark, sf_dir, None).join(b, "query_id", "left_semi").join(d, "item_id", "left_semi")
-    return s.agg(F.round(F.coalesce(F.avg("sim"), F.lit(0.0)), 5).alias("mean_sim"), F.count("*").alias("n"))
+    """Both sides are filtered first; the mean over their pairs is the product of their sums."""
+    e = _vectors(spark, sf_dir)
+
+    def side(name: str, key: str, as_: str) -> DataFrame:
+        ids = table(spark, sf_dir, name).where(L.any_of(L.lowered(F.col("text")), L.HUB)).select(F.col(key).alias("vec_id"))
+        return R.mean_vectors(e.join(ids, "vec_id", "left_semi").select(F.col("embedding").alias("v")).where("v is not null")).select(F.col("total").alias(f"t{as_}"), F.col("n").alias(f"n{as_}"))
+
+    s = side("benchmark", "item_id", "a").crossJoin(side("documents", "doc_id", "b")).withColumn("n", F.col("na") * F.col("nb"))
+    mean = F.when(F.col("n") > 0, R.dot(F.col("ta"), F.col("tb")) / F.col("n")).otherwise(0.0)
+    return s.select(F.round(F.coalesce(mean, F.lit(0.0)), 5).alias("mean_sim"), "n")

@@ -362,26 +362,17 @@ def l17_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("source", S.suggested_section(F.col("kind"), F.col("text")).alias("section")).where("section is not null").distinct()
 
 
-@query(f"""WITH b AS (SELECT item_id, list_distinct({words_sql("lower(text)")}) AS q FROM benchmark), d AS (SELECT doc_id, list_distinct({words_sql("lower(text)")}) AS w FROM documents),
-x AS (SELECT item_id, doc_id, list_sort(list_intersect(q, w)) AS s FROM b, d)
-SELECT item_id, doc_id, CASE WHEN len(s) > 3 THEN 'Shared terms: ' || array_to_string(s[1:5], ', ') ELSE 'Semantic similarity to requirement' END AS explanation FROM x""")
-def l18_explanation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = table(spark, sf_dir, "benchmark").select("item_id", F.array_distinct(T.words(F.lower("text"))).alias("q"))
-    d = _docs(spark, sf_dir).select("doc_id", F.array_distinct(T.words(F.lower("text"))).alias("w"))
-    both = d.crossJoin(b).select("item_id", "doc_id", F.array_sort(F.array_intersect("q", "w")).alias("s"))
-    text = F.when(F.size("s") > 3, F.concat(F.lit("Shared terms: "), F.array_join(F.slice("s", 1, 5), ", "))).otherwise("Semantic similarity to requirement")
-    return both.select("item_id", "doc_id", text.alias("explanation"))
-
-
 COVERED_SQL = f"""WITH q AS (SELECT item_id, {labels_sql(L.TOPICS)} AS qt FROM (SELECT *, lower(text) AS t FROM benchmark)), c AS (SELECT doc_id, {labels_sql(L.TOPICS)} AS ct FROM {_T}),
 cov AS (SELECT item_id, doc_id, CASE WHEN len(qt) = 0 THEN 0.0::DOUBLE ELSE len(list_intersect(qt, ct)) / len(qt) END AS coverage FROM q, c)"""
 
 
 def covered(spark: SparkSession, sf_dir: str, least: float = 0.3) -> DataFrame:
-    """(item_id, doc_id, coverage) of the documents that have enough of an item's topics."""
-    q = table(spark, sf_dir, "benchmark").select("item_id", L.labels_of(L.lowered(F.col("text")), L.TOPICS).alias("qt"))
-    c = _docs(spark, sf_dir).select("doc_id", L.labels_of(L.lowered(F.col("text")), L.TOPICS).alias("ct"))
-    return c.crossJoin(q).select("item_id", "doc_id", S.coverage(F.col("qt"), F.col("ct")).alias("coverage")).where(F.col("coverage") >= least)
+    """(item_id, doc_id, coverage) of the documents that have enough of an item's topics, one at least."""
+    topics = lambda d, key: d.select(key, F.explode(F.array_distinct(L.labels_of(L.lowered(F.col("text")), L.TOPICS))).alias("topic"))
+    q = topics(table(spark, sf_dir, "benchmark"), "item_id")
+    q = q.join(q.groupBy("item_id").agg(F.count("*").alias("n")), "item_id")
+    met = q.join(topics(_docs(spark, sf_dir), "doc_id"), "topic").groupBy("item_id", "doc_id").agg((F.count("*") / F.first("n")).alias("coverage"))
+    return met.where(F.col("coverage") >= least)
 
 
 @query(f"{COVERED_SQL} SELECT item_id, doc_id, round(coverage, 6) AS coverage FROM cov WHERE coverage >= 0.3")

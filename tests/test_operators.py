@@ -130,6 +130,51 @@ def test_louvain_finds_two_cliques(spark):
     assert len({g[f"a{i}"] for i in range(5)}) == len({g[f"b{i}"] for i in range(5)}) == 1 and g["a0"] != g["b0"]
 
 
+def test_label_moves_come_near_moves_in_one_task(spark):
+    rng = np.random.default_rng(3)
+    pairs = [(int(a), int(b)) for a in range(120) for b in range(a) if rng.random() < (0.5 if a % 6 == b % 6 else 0.02)]
+    e = spark.createDataFrame([(f"n{a:03}", f"n{b:03}", 1.0) for a, b in pairs], "src string, dst string, weight double")
+    value = lambda g: G.modularity(e, g.select("id", "community")).first()[0]
+    one, many = value(G.louvain(e)), value(G.louvain(e, in_task=200))
+    assert one > 0.5 and many >= 0.9 * one
+
+
+def test_numbered_over_spans(spark):
+    rows = [(i * i, "ab"[i % 3 == 0] if i % 7 else None) for i in range(100)]
+    d = spark.createDataFrame(rows, "id long, g string")
+    want, n = {}, {}
+    for i, g in rows:
+        n[g] = n.get(g, 0) + 1
+        want[i] = n[g]
+    for span in (1000, 10):
+        assert {r["id"]: r["rn"] for r in D.numbered(d, "g", "id", span).collect()} == want
+    assert D.numbered(d.where("false"), "g", "id").count() == 0
+
+
+def test_related_by_brute_force(spark):
+    rng = np.random.default_rng(8)
+    docs, hubs = [f"DOC_{i}" for i in range(60)], ["COND_a", "COND_b", "YEAR_1", "HUB"]
+    edges = [(d, h, float(rng.choice([0.6, 1.0, 1.2]))) for d in docs for h in hubs if rng.random() < 0.7] + [(docs[i], docs[i + 1], 0.7) for i in range(0, 58, 3)] + [("COND_a", "COND_b", 0.3)]
+    e = spark.createDataFrame([(a, b, "x", w) for a, b, w in edges], "src string, dst string, type string, weight double")
+    seeds = [(q, f"DOC_{s}") for q, s in ((1, 0), (1, 3), (2, 30), (3, 59))]
+    near = {}
+    for a, b, w in edges:
+        near.setdefault(a, {})[b] = max(w, near.get(a, {}).get(b, 0))
+        near.setdefault(b, {})[a] = max(w, near.get(b, {}).get(a, 0))
+    best = {}
+    for q, s in seeds:
+        for x, w in near.get(s, {}).items():
+            best[q, x] = max(best.get((q, x), 0), w)
+            if not x.startswith("DOC_"):
+                for y, v in near[x].items():
+                    if y != s and y not in near[s]:
+                        best[q, y] = max(best.get((q, y), 0), w * v)
+    for k in (3, 10):
+        want = {(q, d, i) for q in (1, 2, 3) for i, d in enumerate(sorted((d for x, d in best if x == q and d.startswith("DOC_")), key=lambda d: (-round(best[q, d], 6), d))[:k], 1)}
+        got = {(r["query_id"], r["id"], r["rank"]) for r in G.related(e, spark.createDataFrame(seeds, "query_id long, seed string"), k).collect()}
+        assert got == want
+
+
 def test_update_and_quota(spark):
     old = spark.createDataFrame([(1, "x"), (2, "y")], "id long, a string")
     new = spark.createDataFrame([(2, "z", 5)], "id long, a string, b int")
