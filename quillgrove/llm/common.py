@@ -34,6 +34,12 @@ def shared(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+def lowered(text: str) -> str:
+    """text in lower case, each character at its place: of the few whose lower case is longer, the first of it."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(c.lower()[0] for c in text)
+
+
 def word_count(text: Column) -> Column:
     """Words between white space, as long; 0 for null and blank texts.
 

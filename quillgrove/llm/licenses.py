@@ -196,7 +196,8 @@ def chains(a: Automaton, found: list[tuple[int, int, int]], gap: int = 12) -> li
                 open_[t].append([c[0], last, c[2], end, c[4] + length - over])
             open_[t].append([first, last, start, end, length])
             if len(open_[t]) > 64:
-                open_[t] = [c for c in open_[t] if last - c[1] <= gap or _enough(c[4], a.sizes[t])]
+                # later matches begin no earlier than this one, so what is too far behind it is too far behind them
+                open_[t] = [c for c in open_[t] if first - c[1] - 1 <= gap or _enough(c[4], a.sizes[t])]
     done = sorted(((c[4], c[4] / a.sizes[t], -t, c) for t, cs in open_.items() for c in cs if _enough(c[4], a.sizes[t])), key=lambda x: (-x[0], -x[1], -x[2], x[3]))
     taken: list[tuple[int, int]] = []
     out = []
@@ -215,7 +216,7 @@ def _enough(covered: int, size: int) -> bool:
 def licences(docs: DataFrame, templates: Mapping[str, str] | None = None, min_match: int = 3, gap: int = 12) -> DataFrame:
     """The licence spans of each text: which template, where, which of its words (end exclusive), how many are covered.
 
-    Positions are characters of the lower-cased text. Words are compared without case and
+    Positions are characters of the text. Texts of any length are scanned whole. Words are compared without case and
     punctuation. Null and empty texts and rows without doc_id have no spans; repeated rows come out
     as often as they went in. Extra columns are ignored; an empty table gives an empty result.
     """
@@ -228,7 +229,7 @@ def licences(docs: DataFrame, templates: Mapping[str, str] | None = None, min_ma
         for batch in batches:
             rows = []
             for doc, text in zip(batch["_id"].tolist(), batch["_text"].tolist()):
-                low = text.lower()
+                low = common.lowered(text)
                 words = WORD.findall(low)
                 found = a.matches(np.fromiter((known.get(w, 0) for w in words), np.int32, len(words)))
                 if not found:
@@ -244,4 +245,5 @@ def licences(docs: DataFrame, templates: Mapping[str, str] | None = None, min_ma
 
 
 def op3_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The licence spans of all documents; odd rows as in licences."""
     return licences(common.read(spark, sf_dir, "documents"))

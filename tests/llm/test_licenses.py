@@ -21,6 +21,73 @@ def test_matching_statistics_by_brute_force():
             assert set(a.places[state]) >= places
 
 
+def chained(templates, words, least, gap):
+    """(template, first and last word, words covered) by trying all chains of the maximal common runs."""
+    out = []
+    for name, text in templates.items():
+        t = text.split()
+        runs = [(i, j, n) for i in range(len(words)) for j in range(len(t)) for n in range(least, len(t) + 1)
+                if words[i : i + n] == t[j : j + n] and len(words[i : i + n]) == n and (i == 0 or j == 0 or words[i - 1] != t[j - 1]) and (i + n == len(words) or j + n == len(t) or words[i + n] != t[j + n])]
+        best = {}
+
+        def grow(i, j, covered, first):
+            best[first, i - 1] = max(covered, best.get((first, i - 1), 0))
+            for x, y, n in runs:
+                over = max(0, i - x, j - y)
+                if over < n and x >= first and x + n > i and y + n > j and x + over - i <= gap and y + over - j <= gap:
+                    grow(x + n, y + n, covered + n - over, first)
+
+        for x, y, n in runs:
+            grow(x + n, y + n, n, x)
+        out += [(name, a, b, c) for (a, b), c in best.items() if c >= 4 and c >= 0.8 * len(t)]
+    return out
+
+
+def test_chains_by_brute_force():
+    rng = random.Random(4)
+    met = 0
+    for _ in range(150):
+        t = [f"w{i}" for i in range(8)]
+        templates = {"t": " ".join(t)}
+        words = []
+        for w in t:
+            if rng.random() < 0.12:
+                words += ["z"] * rng.randint(1, 4)
+            if rng.random() > 0.1:
+                words.append(w)
+        words = ["z"] * rng.randint(0, 2) + words + ["z"]
+        a = licenses.Automaton(templates, 2)
+        got = licenses.chains(a, a.matches(np.array([a.vocabulary.get(w, 0) for w in words])), 3)
+        want = chained(templates, words, 2, 3)
+        assert bool(got) == bool(want)
+        if want:
+            met += 1
+            assert got[0][5] == max(c for *_, c in want)
+    assert met > 30
+
+
+def test_positions_are_those_of_the_text(spark):
+    text = "İİİİ Released under the MIT License. End"
+    r = licenses.licences(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert text[r["start_char"] : r["end_char"]] == "Released under the MIT License"
+
+
+def test_other_licences_are_not_taken_for_known_ones(spark):
+    rows = {
+        "Licensed under the Eclipse Public License 2.0": {"EPL-2.0"},
+        "SPDX-License-Identifier: MIT": {"MIT"},
+        "Distributed under the Boost Software License, Version 1.0": {"BSL-1.0"},
+        "under the terms of the GNU General Public License version 2 only": {"GPL-2.0"},
+        "Licensed under the Oak Tree Public Licence 7.0": set(),
+        "a licence to drive and the right to park": set(),
+    }
+    d = spark.createDataFrame([(i, f"alpha beta {t} gamma delta") for i, t in enumerate(rows)], "doc_id long, text string")
+    got = {}
+    for r in licenses.licences(d).collect():
+        got.setdefault(r["doc_id"], set()).add(r["template"].split(" (")[0])
+    assert [got.get(i, set()) for i in range(len(rows))] == list(rows.values())
+
+
 def test_spans(spark, odd, none):
     mit = licenses.TEMPLATES["MIT"].split()
     text = "Some words first. " + " ".join(mit[:40]) + " oddly " + " ".join(mit[41:]) + " and more. Released under the MIT License. End"
