@@ -122,7 +122,7 @@ def sum_pvalue(normal: list[float]) -> tuple[float, int]:
 
 def judge(text: str, lang: str, model: Model, scores: Scores) -> tuple[float, list[tuple[int, int, float, float]]]:
     """p-value of a text, and its segments (start, end, score, E-value), best first."""
-    words = WORD.findall(text.lower())
+    words = WORD.findall(common.lowered(text))
     if not words:
         return 1.0, []
     found = segments(np.fromiter(map(scores.__getitem__, words), float, len(words)))
@@ -254,9 +254,9 @@ def toxic_passages(docs: DataFrame, model: Model, alpha: float = 3e-3, max_evalu
     """The passages of toxic documents: those whose p-value is at most alpha.
 
     A row for each of a document's segments with an E-value up to max_evalue, and for its best one in
-    any case, in order of score; positions are characters of the text (as lower-cased). Null, empty
+    any case, in order of score; positions are characters of the text. Texts of any length are scanned whole, ties go to the earlier segment. Null, empty
     and wordless texts have none; repeated rows of a document come out as often as they went in.
-    Extra columns are ignored. An empty table gives an empty result.
+    Extra columns are ignored, whatever their names. An empty table gives an empty result.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -269,7 +269,7 @@ def toxic_passages(docs: DataFrame, model: Model, alpha: float = 3e-3, max_evalu
                 p, found = judge(text, lang or "", m, scores)
                 if p > alpha:
                     continue
-                spans = [x.span() for x in WORD.finditer(text.lower())]
+                spans = [x.span() for x in WORD.finditer(common.lowered(text))]
                 for i, (a, b, s, e) in enumerate(found):
                     if i == 0 or e <= max_evalue:
                         rows.append((doc, i, spans[a][0], spans[b - 1][1], b - a, s, e, p))
@@ -280,7 +280,10 @@ def toxic_passages(docs: DataFrame, model: Model, alpha: float = 3e-3, max_evalu
 
 
 def drop_toxic(docs: DataFrame, model: Model, alpha: float = 3e-3) -> DataFrame:
-    """docs without toxic documents, all columns kept; rows of null or empty text stay."""
+    """docs without toxic documents, all columns kept, whatever their names; rows of null or empty text, and without doc_id, stay or go by their text.
+
+    A document whose p-value is alpha goes, too. Repeated rows go or stay together; an empty table gives an empty result.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("boolean")
@@ -294,5 +297,6 @@ def drop_toxic(docs: DataFrame, model: Model, alpha: float = 3e-3) -> DataFrame:
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The toxic passages of all documents; odd rows as in toxic_passages and fit."""
     docs = common.read(spark, sf_dir, "documents")
     return toxic_passages(docs, fit(docs, common.read(spark, sf_dir, "labels")))

@@ -1,4 +1,6 @@
+import math
 import random
+import re
 
 import numpy as np
 
@@ -26,6 +28,62 @@ def test_segments_by_brute_force():
         assert score(ours) == score(brute(s))
 
 
+def best_first(scores):
+    """(start, end, score) of the maximal segments, from the segments of positive scores by the quadratic definition."""
+    out = []
+    todo = [(0, len(scores))]
+    while todo:
+        a, b = todo.pop()
+        total = np.concatenate(([0], np.cumsum(scores[a:b])))
+        # the greatest end minus the least beginning before it
+        low = np.minimum.accumulate(total)
+        j = int(np.argmax(total - low))
+        if total[j] - low[j] <= 0:
+            continue
+        i = max(k for k in range(j) if total[k] == low[j])
+        out.append((a + i, a + j, float(total[j] - low[j])))
+        todo += [(a, a + i), (a + j, b)]
+    return sorted(out, key=lambda x: (-x[2], x[0]))
+
+
+def test_query_by_brute_force(spark, data):
+    """Segments by their definition and p-values from factorials, over the whole table."""
+    docs, labels = (common.read(spark, data, t) for t in ("documents", "labels"))
+    m = toxicity.fit(docs, labels)
+    want = []
+    for r in docs.collect():
+        words = [(x.start(), x.end(), common.lowered(x.group())) for x in re.finditer(r"[^\W_]+", r["text"])]
+        if not words:
+            continue
+
+        def score(w):
+            for t in [w] + [w[:k] + "*" for k in (7, 6, 5, 4) if len(w) > k]:
+                if t in m.known:
+                    return m.known[t] if m.known[t] > 0 else -m.drift
+            return -m.drift
+
+        found = best_first(np.array([score(w) for _, _, w in words]))
+        lam, k = m.calibration.get(r["lang"], m.calibration[""])
+        normal, p, total = [lam * s - math.log(k * len(words)) for _, _, s in found], 1.0, 0.0
+        for n, x in enumerate(normal, 1):
+            total += x
+            if total <= 0:
+                break
+            tail = 1 - math.exp(-math.exp(-total)) if n == 1 else math.exp(-total) * total ** (n - 1) / math.factorial(n) / math.factorial(n - 1)
+            p = min(p, 2**n * tail)
+        if p <= 3e-3:
+            want += [(r["doc_id"], words[a][0], words[b - 1][1], round(s, 6)) for i, (a, b, s) in enumerate(found) if i == 0 or k * len(words) * math.exp(-lam * s) <= 0.5]
+    got = [(r["doc_id"], r["start_char"], r["end_char"], round(r["score"], 6)) for r in toxicity.op1_toxicity(spark, data).collect()]
+    assert sorted(got) == sorted(want) and got
+
+
+def test_positions_are_those_of_the_text(spark):
+    m = toxicity.Model(known={"gamma": 9.0}, calibration={"": (1.0, 0.01)})
+    text = "İİİİ alpha Gamma İ"
+    r = toxicity.toxic_passages(spark.createDataFrame([(1, text, "xx")], "doc_id long, text string, lang string"), m).first()
+    assert text[r["start_char"] : r["end_char"]] == "Gamma"
+
+
 def test_held_out_accuracy(spark):
     d = "/root/testdata/sf0.1"
     rows = common.read(spark, d, "documents").join(common.read(spark, d, "labels"), "doc_id").select("doc_id", "text", "lang", "toxic").toPandas().sort_values("doc_id")
