@@ -18,11 +18,11 @@ import re
 from bisect import bisect_left, insort
 from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import pandas as pd
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillgrove.llm import common
@@ -30,16 +30,22 @@ from quillgrove.llm import common
 _WORDS = "api[ _-]?key|access[ _-]?key|secret|token|passw(?:or)?d|passphrase|pwd|auth|bearer|credential|private[ _-]?key|client[ _-]?id|signature"
 _PREFIXES = "AKIA|ASIA|ghp_|gho_|ghs_|github_pat_|glpat-|sk-|sk_live_|pk_live_|xox[abpr]-|AIza|eyJ|npm_|hf_|SG\\."
 #: Texts that may have a secret; the same for Java and Python.
-SENSITIVE = f"(?i:{_WORDS})|{_PREFIXES}|-----BEGIN"
+SENSITIVE = f"(?i:{_WORDS})|{_PREFIXES}|-----BEGIN|://[^\\s/:@]{{0,256}}:[^\\s/@]{{1,512}}@"
+#: Each text that SENSITIVE finds has one of these in lower case; they are quicker to look for.
+STEMS = ("key", "secret", "token", "passw", "passphrase", "pwd", "auth", "bearer", "credential", "client", "signature", "akia", "asia", "ghp_", "gho_", "ghs_", "github_pat_", "glpat-", "sk-", "sk_live_", "pk_live_", "xox", "aiza", "eyj", "npm_", "hf_", "sg.", "-----begin", "://")
 _SCHEME = "(?:(?i:basic|bearer|digest|negotiate|token|api-?key)\\s{1,3})?"
-CONTEXT = re.compile(f"(?i:{_WORDS})(?i:[a-z_-]{{0,12}})[\"'`]?\\s{{0,3}}(?:[:=]>?|is|\\s)\\s{{0,3}}[\"'`]?{_SCHEME}$")
+CONTEXT = re.compile(f"(?i:{_WORDS})(?i:[a-z0-9_-]{{0,64}})[\"'`]?\\s{{0,3}}(?:[:=]>?|is|\\s)\\s{{0,3}}[\"'`]?{_SCHEME}$")
 #: A value that is assigned to a sensitive word: quoted, or up to the next blank.
-ASSIGNED = re.compile(f"(?i:{_WORDS})(?i:[a-z0-9_-]{{0,12}})[\"'`]?\\s{{0,3}}[:=]>?\\s{{0,3}}(?=([\"'`]){_SCHEME}((?:(?!\\1)[^\\\\\n]|\\\\.){{1,512}})\\1|{_SCHEME}([^\\s\"'`]\\S{{0,511}}))")
+ASSIGNED = re.compile(f"(?i:{_WORDS})(?i:[a-z0-9_-]{{0,64}})[\"'`]?\\s{{0,3}}[:=]>?\\s{{0,3}}(?=([\"'`]){_SCHEME}((?:(?!\\1)[^\\\\\n]|\\\\.){{1,512}})\\1|{_SCHEME}([^\\s\"'`]\\S{{0,511}}))")
 #: The body of a private key block, up to its end or the last line of key characters; line breaks may be escaped.
 _GAP = r"(?:\\[rn]|\\(?![rn])|[\s\"',>#*|]|(?<=[\"'\s])[+.](?=\s))"
 BLOCK = re.compile(rf"-----BEGIN [A-Z0-9 ]{{0,40}}PRIVATE KEY(?: BLOCK)?-----{_GAP}*(?:[A-Z][A-Za-z-]+: [^\n\\]*{_GAP}+)*((?:[A-Za-z0-9+/=]+{_GAP}+(?=[A-Za-z0-9+/=]{{16,}}|=|[A-Za-z0-9+/]{{2,}}={{1,2}}(?![A-Za-z0-9])|[A-Za-z0-9+/]+=*{_GAP}*-----END))*[A-Za-z0-9+/=]+)")
+#: The password of a web address.
+ADDRESS = re.compile(r"(?i:[a-z][a-z0-9+.-]{0,30})://[^\s/:@]{0,256}:([^\s/@]{1,512})@")
 PREFIX = re.compile(f"(?:{_PREFIXES})")
 CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_.-]{12,}={0,2}")
+#: Characters before a candidate in which its word may stand.
+NAMES = 160
 FOUND = "doc_id long, start_char int, end_char int, kind string, n_chars int, marginal_bytes int, bytes_per_char double"
 
 IDENTIFIERS = """
@@ -180,6 +186,15 @@ def find(text: str, around: int, least: float) -> list[tuple[int, int, str, int,
         if more >= least * random:
             out.append((a, b, "private key", more, more / (b - a)))
             insort(taken, (a, b))
+    for m in ADDRESS.finditer(text):
+        a, b = m.span(1)
+        own = m.group(1)
+        if not re.search("[A-Za-z0-9]", own) or novel_bits(text, a, b, around) < least * _random_bits(own) * len(own) + 8:
+            continue
+        more = novelty(text, a, b, around)
+        if more >= least * alphabet_bytes(own) * (b - a):
+            out.append((a, b, "url", more, more / (b - a)))
+            insort(taken, (a, b))
     for m in ASSIGNED.finditer(text):
         a, b = _value(m)
         own = text[a:b]
@@ -204,7 +219,7 @@ def find(text: str, around: int, least: float) -> list[tuple[int, int, str, int,
         if not free(a, b):
             continue
         known = PREFIX.match(text, a, b)
-        context = CONTEXT.search(text[max(0, a - 64) : a])
+        context = CONTEXT.search(text[max(0, a - NAMES) : a])
         if b - a < 12 or not (known or context):
             continue
         more = novelty(text, a, b, around)
@@ -217,6 +232,10 @@ def find(text: str, around: int, least: float) -> list[tuple[int, int, str, int,
 def secrets(docs: DataFrame, around: int = 400, least: float = 1.0) -> DataFrame:
     """The secrets of each text by position and novelty; the strings themselves are left out.
 
+    A name may have 64 more characters behind its sensitive word; an assigned value that isn't
+    key-like may have 512, key-like ones and key blocks any number. Texts of any length are scanned
+    whole, and overlapping candidates count once, key blocks first.
+
     ``around`` characters on either side are what a candidate is measured against; it is reported
     if it adds at least ``least`` times the bytes of a random string of its alphabet. Null and empty texts and rows without doc_id have
     none; repeated rows come out as often as they went in. Extra columns are ignored; an empty table
@@ -228,9 +247,12 @@ def secrets(docs: DataFrame, around: int = 400, least: float = 1.0) -> DataFrame
             rows = [(doc, a, b, kind, b - a, more, rate) for doc, text in zip(batch["_id"].tolist(), batch["_text"].tolist()) for a, b, kind, more, rate in find(text, around, least)]
             yield pd.DataFrame(rows, columns=["doc_id", "start_char", "end_char", "kind", "n_chars", "marginal_bytes", "bytes_per_char"])
 
-    some = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").alias("_text")).where(F.col("_id").isNotNull() & F.col("_text").rlike(SENSITIVE))
+    some = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").alias("_text"))
+    stem = F.transform(F.array(F.lower("_text")), lambda t: reduce(Column.__or__, [t.contains(x) for x in STEMS]))[0]
+    some = some.where(F.col("_id").isNotNull() & stem & F.col("_text").rlike(SENSITIVE))
     return some.mapInPandas(scan, FOUND)
 
 
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The secrets of all documents; odd rows as in secrets."""
     return secrets(common.read(spark, sf_dir, "documents"))

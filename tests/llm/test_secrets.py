@@ -1,4 +1,5 @@
 import base64
+import math
 import random
 import re
 
@@ -59,14 +60,46 @@ def test_forms():
         ("passwd=x7Kq9Lp2", "x7Kq9Lp2", "passwd"),
         ('"secret": "g7#Kq pL2 vv9"', "g7#Kq pL2 vv9", "secret"),
         ("auth: token='qz#vxkwjt7'", "qz#vxkwjt7", "token"),
+        ("see https://user:q8Zt3LmXw0PvB7yy@host/path", "q8Zt3LmXw0PvB7yy", "url"),
+        ("postgres://app:K9#vQ2xZ7@db:5432/x", "K9#vQ2xZ7", "url"),
+        ('api_key_prod_main_backup_east = "9233a8ecf7c5b09fe5949719b6b82bc439e9329b"', "9233a8ecf7c5b09fe5949719b6b82bc439e9329b", "api_key"),
         ("?password=Xk9#mQ2$&name=value", "Xk9#mQ2$", "password"),
     ]:
         for before, after in ((PROSE, " " + PROSE), ("", "")):
             whole = before + text + after
-            assert re.search(secrets.SENSITIVE, whole)
+            assert re.search(secrets.SENSITIVE, whole) and any(x in whole.lower() for x in secrets.STEMS)
             assert [(whole[a:b], k) for a, b, k, *_ in secrets.find(whole, 400, 1.0)] == [(value, kind)], text
 
 
+def test_addresses_without_a_secret():
+    for text in ("https://user@host/", "http://host:8080/a@b", "https://user:password@host/", "ftp://anonymous:guest@host/", "see https://host/path?x=1:2@3"):
+        assert secrets.find(PROSE + text + " " + PROSE, 400, 1.0) == [], text
+
+
+def test_query_by_brute_force(spark):
+    """Every run of twelve key characters of the whole table, judged by compressing it anew with what stands around."""
+    import zstandard
+
+    data = "/root/testdata/sf0.01"
+    d = zstandard.ZstdCompressionDict(secrets.IDENTIFIERS, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    c = zstandard.ZstdCompressor(level=9, dict_data=d, write_content_size=False, write_checksum=False)
+    want = set()
+    for r in common.read(spark, data, "documents").collect():
+        t = r["text"]
+        for m in re.finditer(r"[A-Za-z0-9+/_-][A-Za-z0-9+/_.-]{11,}={0,2}", t):
+            own = m.group().rstrip(".-/")
+            a = m.start()
+            near = t[max(0, a - 60) : a].lower()
+            if not (re.search(r"(token|password|secret|key)[a-z_-]*[\"']?\s*[:=]\s*[\"']?$", near) or own.startswith(("AKIA", "ghp_", "eyJ"))) or len(own) < 12:
+                continue
+            rest = (t[a + len(own) : a + len(own) + 400].replace(own, " ") + "\n" + t[max(0, a - 400) : a].replace(own, " ")).encode()
+            kinds = "0123456789" if own.isdigit() else "0123456789abcdef" if re.fullmatch("[0-9a-f]+|[0-9A-F]+", own) else "x" * sum(n for n, p in ((26, "[a-z]"), (26, "[A-Z]"), (10, "[0-9]"), (4, "[^a-zA-Z0-9]")) if re.search(p, own))
+            if len(c.compress(rest + own.encode())) - len(c.compress(rest)) >= len(own) * math.log2(len(kinds)) / 8:
+                want.add((r["doc_id"], a, a + len(own)))
+    got = {(r["doc_id"], r["start_char"], r["end_char"]) for r in secrets.op5_secrets(spark, data).collect()}
+    assert got == want and want
+
+
 def test_what_is_assigned_but_no_secret():
     for value in "required none True string self.token ${TOKEN} $PASSWORD <password> ****** {} x f(x) getpass() Optional[str] sha256 password123 os.environ['DB_PASSWORD']".split():
         for word in ("password: ", "token = ", "secret="):
