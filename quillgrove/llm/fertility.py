@@ -2,8 +2,8 @@
 
 Two public vocabularies measure each text: a byte-level BPE for many languages gives characters per
 token and the entropy of its tokens, a piece BPE with byte fallback gives the share of tokens that
-are bare bytes. A text is rejected if a measure lies outside the band of its language: quartiles over
-all texts of the language, widened by ``spread`` times their distance.
+are bare bytes. A text is rejected if a measure lies outside the band of its language and length: quartiles
+over all texts of the language in that class of length, widened by ``spread`` times their distance.
 
 Entropy is the mean over windows of 256 tokens, each as a share of the most that the window could
 have, so that it doesn't depend on the length of a text. Measuring is a map; the bands are one
@@ -18,7 +18,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillgrove.llm import common
@@ -26,6 +26,8 @@ from quillgrove.llm import common
 FOLDER = "/opt/tokenizers"
 WINDOW = 256
 MEASURES = ("chars_per_token", "byte_share", "entropy")
+#: How far a band reaches beyond the quartiles at least, by measure; and how many bands are broadcast, some 10 MB.
+FLOORS, FEW = (0.5, 0.02, 0.06), 100_000
 MEASURED = "doc_id long, lang string, n_tokens int, chars_per_token double, byte_share double, entropy double"
 
 
@@ -81,38 +83,58 @@ def measured(docs: DataFrame, folder: str = FOLDER) -> DataFrame:
     return some.where(F.col("_id").isNotNull() & (F.length("_text") > 0)).mapInPandas(scan, MEASURED)
 
 
-def bands(rows: DataFrame, spread: float = 4.0, least_tokens: int = 64, floors: tuple[float, float, float] = (0.5, 0.02, 0.06)) -> DataFrame:
-    """For each language, the least and most of each measure that is kept.
+def length_class(n: Column) -> Column:
+    """0 for under 8 tokens, then by doublings up to 4, 64 and more."""
+    return F.when(n < 8, 0).when(n < 16, 1).when(n < 32, 2).when(n < 64, 3).otherwise(4)
 
-    Quartiles are over all its texts of ``least_tokens`` or more. No band reaches less far than its
-    floor beyond the quartiles, as the texts of a language may all be alike.
+
+def bands(rows: DataFrame, spread: float = 4.0, floors: tuple[float, float, float] = FLOORS, least_rows: int = 30) -> DataFrame:
+    """The least and most of each measure that is kept, for each language and class of length.
+
+    Quartiles are over all its texts, widened by ``spread`` times their distance. No band reaches less
+    far than its floor beyond the quartiles, as the texts of a language may all be alike; for short
+    texts the floors are wider, by the root of how many fewer tokens than 64 the class has. A language
+    with under ``least_rows`` texts of a class takes the quartiles of that class of all languages,
+    the row of language null.
     """
-    long_ = rows.where(F.col("n_tokens") >= least_tokens)
-    q = long_.groupBy("lang").agg(*[F.percentile_approx(m, F.array(F.lit(0.25), F.lit(0.75)), 10_000).alias(m) for m in MEASURES])
-    out = [F.col("lang").alias("_lang")]
+    keyed = rows.select("lang", length_class(F.col("n_tokens")).alias("class"), *MEASURES)
+    q = [F.percentile_approx(m, F.array(F.lit(0.25), F.lit(0.75)), 10_000).alias(m) for m in MEASURES]
+    own = keyed.groupBy("lang", "class").agg(F.count("*").alias("n"), *q).where(F.col("n") >= least_rows)
+    both = own.unionByName(keyed.groupBy(F.lit(None).cast("string").alias("lang"), "class").agg(F.count("*").alias("n"), *q))
+    out = [F.col("lang").alias("_lang"), F.col("class").alias("_class")]
+    short = F.sqrt(64 / F.element_at(F.array(*[F.lit(x) for x in (4, 8, 16, 32, 64)]), F.col("class") + 1))
     for m, floor in zip(MEASURES, floors):
-        wide = F.greatest(F.lit(floor), F.lit(spread) * (F.get(m, F.lit(1)) - F.get(m, F.lit(0))))
+        wide = F.greatest(F.lit(floor) * short, F.lit(spread) * (F.get(m, F.lit(1)) - F.get(m, F.lit(0))))
         out += [(F.get(m, F.lit(0)) - wide).alias(f"{m}_least"), (F.get(m, F.lit(1)) + wide).alias(f"{m}_most")]
-    return q.select(*out)
+    return both.select(*out)
 
 
-def kept(docs: DataFrame, folder: str = FOLDER, spread: float = 4.0, least_tokens: int = 64) -> DataFrame:
-    """The measures of the texts that are inside every band of their language.
+def kept(docs: DataFrame, folder: str = FOLDER, spread: float = 4.0, floors: tuple[float, float, float] = FLOORS, least_rows: int = 30) -> DataFrame:
+    """The measures of the texts that are inside every band of their language and class of length.
 
-    Texts of fewer than ``least_tokens`` tokens say too little and are kept, as are languages that have no
-    longer text. Null and empty texts and rows without doc_id have no measure and no row. Repeated
-    rows come out as often as they went in. Extra columns are ignored; an empty table gives an empty result.
+    Texts of any length are measured whole; short ones are judged by bands of their own. Null and
+    empty texts and rows without doc_id have no measure and no row; null languages are the language "".
+    Repeated rows come out as often as they went in, and a measure on the edge of its band is inside.
+    Extra columns are ignored, whatever their names; an empty table gives an empty result.
     """
     rows = common.written(measured(docs, folder), "measures")
-    met = rows.join(F.broadcast(bands(rows, spread, least_tokens)), F.col("lang") == F.col("_lang"), "left")
-    inside = F.col("_lang").isNull() | (F.col("n_tokens") < least_tokens)
+    limits = common.written(bands(rows, spread, floors, least_rows), "bands")
+    # five rows a language; were there very many, the join shuffles
+    few = limits.count() <= FEW
+    own, every = limits.where("_lang is not null"), limits.where("_lang is null").drop("_lang")
+    at = length_class(F.col("n_tokens"))
+    names = [f"{m}_{s}" for m in MEASURES for s in ("least", "most")]
+    every = every.select(F.col("_class").alias("_all"), *[F.col(n).alias(f"{n}_all") for n in names])
+    met = rows.join(F.broadcast(own) if few else own, (F.col("lang") == F.col("_lang")) & (at == F.col("_class")), "left").join(F.broadcast(every), at == F.col("_all"))
     ok = F.lit(True)
     for m in MEASURES:
+        low, high = (F.coalesce(f"{m}_{s}", f"{m}_{s}_all") for s in ("least", "most"))
         # of few tokens, a share is uncertain
-        room = F.lit(3.0) * F.sqrt((F.greatest(F.col("byte_share_most"), F.lit(0.0)) + 0.01) / F.col("n_tokens")) if m == "byte_share" else F.lit(0.0)
-        ok = ok & F.col(m).between(F.col(f"{m}_least") - room, F.col(f"{m}_most") + room)
-    return met.where(inside | ok).select(*rows.columns)
+        room = F.lit(3.0) * F.sqrt((F.greatest(high, F.lit(0.0)) + 0.01) / F.col("n_tokens")) if m == "byte_share" else F.lit(0.0)
+        ok = ok & F.col(m).between(low - room, high + room)
+    return met.where(ok).select(*rows.columns)
 
 
 def op6_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The measures of all documents that are kept; odd rows as in kept."""
     return kept(common.read(spark, sf_dir, "documents"))

@@ -25,6 +25,38 @@ def test_measures():
     assert fertility.measure("\ud800 lone")[0] > 0
 
 
+def test_query_by_brute_force(spark, data):
+    """Bands from sorted measures, over the whole table."""
+    docs = common.read(spark, data, "documents").collect()
+    rows = [(r["doc_id"], r["lang"], *fertility.measure(r["text"])) for r in docs if r["text"]]
+    cls = lambda n: 0 if n < 8 else 1 if n < 16 else 2 if n < 32 else 3 if n < 64 else 4
+    sets, want = {}, set()
+    for _, lang, n, *m in rows:
+        for key in ((lang, cls(n)), (None, cls(n))):
+            sets.setdefault(key, []).append(m)
+    for i, lang, n, *m in rows:
+        own = sets[lang, cls(n)]
+        own = own if len(own) >= 30 else sets[None, cls(n)]
+        ok = True
+        for j, floor in enumerate((0.5, 0.02, 0.06)):
+            v = sorted(x[j] for x in own)
+            a, b = v[math.ceil(0.25 * len(v)) - 1], v[math.ceil(0.75 * len(v)) - 1]
+            wide = max(floor * (64 / (4, 8, 16, 32, 64)[cls(n)]) ** 0.5, 4 * (b - a))
+            room = 3 * ((max(b + wide, 0) + 0.01) / n) ** 0.5 if j == 1 else 0
+            ok &= a - wide - room <= m[j] <= b + wide + room
+        if ok:
+            want.add(i)
+    assert {r["doc_id"] for r in fertility.op6_fertility(spark, data).collect()} == want and len(want) < len(rows)
+
+
+def test_short_junk_goes(spark):
+    rows = [(i, f"these are the plain words of text number {i} and no more", "en") for i in range(60)]
+    rows += [(100, "ᾞ\U0001f9ffᾞ\U0001f9ffᾞ", "en")]
+    assert {fertility.measure(t)[0] // 8 for _, t, _ in rows} == {1}
+    out = {r["doc_id"] for r in fertility.kept(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert set(range(60)) <= out and 100 not in out
+
+
 def test_clean_stays_and_junk_goes(spark):
     d = "/root/testdata/sf0.1"
     keep = {r["doc_id"] for r in fertility.op6_fertility(spark, d).select("doc_id").collect()}
