@@ -122,7 +122,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, tokens: Column | None = None
     without tokens (null, empty and blank texts) take no place and have no row. Pieces of a document
     are numbered from 0; all but the last are full bins. Repeated rows are packed as often as they
     come; rows without doc_id are packed too. Ties go by length, doc_id and text hash, so the result
-    doesn't depend on the order of rows. Extra columns are ignored; an empty table gives no row.
+    doesn't depend on the order of rows. Texts of any length are counted whole. Extra columns are ignored, whatever their names; an empty table gives no row.
     """
     n = common.word_count(F.col("text")) if tokens is None else tokens
     id_ = F.col("doc_id").cast("long")
@@ -155,4 +155,5 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, tokens: Column | None = None
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The places of all documents in bins of CAPACITY words; odd rows as in pack."""
     return pack(common.read(spark, sf_dir, "documents"))
