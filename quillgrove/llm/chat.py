@@ -44,6 +44,15 @@ STYLES = (
     ("<system> ", "<client> ", "<agent> "),
     ("System: ", "Maria: ", "Jonas: "),
 )
+#: Styles that no model is fitted on; op10_chat judges it by them, too.
+UNSEEN = (
+    ("SYS: ", "Customer: ", "Support: "),
+    ("# Context:\n", "**Human:** ", "**Agent:** "),
+    ("System: ", "Zoe: ", "Karl: "),
+    ("(system) ", "(me) ", "(bot) "),
+    ("> Instructions: ", "> Question: ", "> Answer: "),
+    ("|sys| ", "|client| ", "|model| "),
+)
 TURNS = "conv_id long, turn long, role string, text string, rendered string"
 
 
@@ -158,14 +167,14 @@ def render(role: str, text: str) -> str:
     return f"<|{role}|>\n{text}\n<|end|>"
 
 
-def transcripts(convs: DataFrame) -> DataFrame:
-    """(conv_id, transcript) of conversations (conv_id, turn, role, text), in a style by hash of the id.
+def transcripts(convs: DataFrame, styles: tuple[tuple[str, str, str], ...] = STYLES) -> DataFrame:
+    """(conv_id, transcript) of conversations (conv_id, turn, role, text), in one of the styles by hash of the id.
 
     Rows without conv_id are left out, null texts are empty, turns go by number, then role and text;
     null and unknown roles count as user.
     """
-    style = F.pmod(F.xxhash64("conv_id"), F.lit(len(STYLES))).cast("int")
-    table = F.array(*[F.create_map(*[x for r, m in zip(ROLES, s) for x in (F.lit(r), F.lit(m))]) for s in STYLES])
+    style = F.pmod(F.xxhash64("conv_id"), F.lit(len(styles))).cast("int")
+    table = F.array(*[F.create_map(*[x for r, m in zip(ROLES, s) for x in (F.lit(r), F.lit(m))]) for s in styles])
     role = F.when(F.col("role").isin(*ROLES), F.col("role")).otherwise("user")
     turn = F.struct(F.col("turn").alias("turn"), role.alias("role"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     one = convs.where(F.col("conv_id").isNotNull()).groupBy(F.col("conv_id").cast("long").alias("conv_id")).agg(F.sort_array(F.collect_list(turn)).alias("turns"))
@@ -199,8 +208,14 @@ def parsed(texts: DataFrame, model: Model) -> DataFrame:
 
 
 def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The turns of all conversations, recovered from transcripts in STYLES and UNSEEN.
+
+    The model is fitted on conversations of one half by hash of their id, in STYLES only; the other
+    half, and the transcripts in UNSEEN, are held out. Odd rows as in transcripts and parsed.
+    """
     convs = common.read(spark, sf_dir, "conversations")
-    return parsed(transcripts(convs), fit(convs))
+    half = F.pmod(F.xxhash64(F.lit("split"), "conv_id"), F.lit(2)) == 0
+    return parsed(transcripts(convs, STYLES + UNSEEN), fit(convs.where(half)))
 
 
 #: The round trip gives the table back.

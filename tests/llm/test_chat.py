@@ -1,13 +1,18 @@
 import itertools
 
+import duckdb
 import numpy as np
 from compare import same
 
 from quillgrove.llm import chat, common
 
 
-def test_round_trip(spark, duck, data):
-    same(chat.op10_chat(spark, data), duck, chat.ORACLE)
+def test_round_trip(spark):
+    """All turns of the table, half of whose conversations and six of whose fourteen styles no model was fitted on."""
+    d = "/root/testdata/sf0.01"
+    duck = duckdb.connect()
+    duck.sql(f"CREATE VIEW conversations AS SELECT * FROM '{d}/conversations.parquet'")
+    same(chat.op10_chat(spark, d), duck, chat.ORACLE)
 
 
 def test_viterbi_by_brute_force():
@@ -23,15 +28,14 @@ def test_held_out_styles(spark):
     convs = common.read(spark, "/root/testdata/sf0.01", "conversations")
     m = chat.fit(convs.where("conv_id % 2 = 0"))
     rows = convs.where("conv_id % 2 = 1").orderBy("conv_id", "turn").collect()
-    style = ("SYS: ", "Customer: ", "Support: "), ("# Context:\n", "**Human:** ", "**Agent:** "), ("System: ", "Zoe: ", "Karl: ")
     right = n = 0
     for conv, g in itertools.groupby(rows, key=lambda r: r["conv_id"]):
         g = list(g)
-        for s in style:
+        for s in chat.UNSEEN:
             text = "\n".join(s[chat.ROLES.index(r["role"])] + r["text"] for r in g)
             right += [(r["role"], r["text"]) for r in g] == chat.parse(m, text)
             n += 1
-    assert right / n > 0.9
+    assert right / n > 0.98
 
 
 def test_odd_rows(spark):
