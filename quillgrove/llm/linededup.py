@@ -281,6 +281,20 @@ def insert(docs: DataFrame, index: Index | None = None) -> tuple[DataFrame, Inde
     return out, _changed(index, counts, keys.join(known, ["k0", "k1"], "left_anti").withColumn("d", F.lit(1)))
 
 
+def halves(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """docs up to the median doc_id, and beyond it; null ids belong to the first."""
+    middle = docs.agg(F.percentile_approx("doc_id", 0.5)).first()[0]
+    upper = F.coalesce(F.col("doc_id") > F.lit(middle).cast("long"), F.lit(False))
+    return docs.where(~upper), docs.where(upper)
+
+
+def dedup(docs: DataFrame) -> DataFrame:
+    """docs without the lines that stand earlier, as insert gives them; the second half by doc_id goes through an index of the first."""
+    low, high = halves(docs)
+    first, index = insert(low)
+    return first.unionByName(insert(high, index)[0])
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents through an index, the lower half by doc_id and then the upper; the upper half is deleted and inserted again.
 
@@ -289,9 +303,7 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     upper's. Null ids belong to the lower half.
     """
     docs = common.read(spark, sf_dir, "documents")
-    middle = docs.agg(F.percentile_approx("doc_id", 0.5)).first()[0]
-    upper = F.col("doc_id").isNotNull() & (F.col("doc_id") > F.lit(middle).cast("long"))
-    low, high = docs.where(~F.coalesce(upper, F.lit(False))), docs.where(upper)
+    low, high = halves(docs)
     first, index = insert(low)
     _, index = insert(high, index)
     _, index = delete(high, index)
