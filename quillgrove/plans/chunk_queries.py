@@ -64,7 +64,20 @@ def c3_topic_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
 OFFSETS = {"aims": r"The\s+", "background": r"And\s+", "methods": r"\bIn\b[:]?\s*", "results": r"\bLe\b\s*"}
 
 
-@query()
+def offsets_sql() -> str:
+    """CTE m(doc_id, i, section, start, body) of the matches of OFFSETS: the text is cut in front of each, and what stands before is counted.
+
+    Letters beyond ASCII become an x first, as the ends of words are judged by all letters.
+    """
+    one = [rf"SELECT doc_id, {i} AS i, '{n}' AS section, string_split(regexp_replace(a, '(?i)({p})', chr(1) || '\1', 'g'), chr(1)) AS sg, '(?i)^(?:{p})' AS p FROM ax" for i, (n, p) in enumerate(OFFSETS.items())]
+    body = " ".join(f"WHEN {i} THEN length(regexp_extract(sg[k], '(?i)^(?:{p})'))" for i, p in enumerate(OFFSETS.values()))
+    return rf"""ax AS (SELECT doc_id, regexp_replace(text, '[^\P{{L}}a-zA-Z]', 'x', 'g') AS a FROM documents WHERE text <> ''), pm AS ({" UNION ALL ".join(one)}),
+m AS (SELECT doc_id, i, section, CAST(list_sum(list_transform(sg[1:k - 1], lambda s: length(s))) AS INTEGER) AS start, CAST(list_sum(list_transform(sg[1:k - 1], lambda s: length(s))) + CASE i {body} END AS INTEGER) AS body FROM pm, unnest(range(2, len(sg) + 1)) AS t(k))"""
+
+
+@query(rf"""WITH {offsets_sql()}, o AS (SELECT *, lead(start) OVER (PARTITION BY doc_id ORDER BY start, i) AS nxt FROM m),
+s AS (SELECT doc_id, section, start, CAST(coalesce(nxt, length(d.text)) AS INTEGER) AS stop, d.text AS whole FROM o JOIN documents d USING (doc_id)),
+c AS (SELECT doc_id, section, start, stop, regexp_replace(substr(whole, start + 1, stop - start), '^\s+|\s+$', '', 'g') AS text FROM s) SELECT doc_id, section, start, stop, {N_WORDS} FROM c WHERE len({words_sql('text')}) >= 20""")
 def c4_offset_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _digest(C.offset_sections(_docs(spark, sf_dir), OFFSETS), "section", "start", "stop")
 
@@ -84,14 +97,18 @@ def c5_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _digest(C.packed(_docs(spark, sf_dir), 250, "\n"), "chunk_index")
 
 
-@query(f"""WITH RECURSIVE w AS (SELECT doc_id, text, len({words_sql()}) AS n FROM documents), sg AS (SELECT doc_id, CASE WHEN n <= 400 THEN [trim(text)] ELSE {SENTENCES_SQL} END AS ss FROM w WHERE n >= 20),
+def overlap_sql(source: str = "documents") -> str:
+    """CTE o(doc_id, chunk_index, total_chunks, text) of overlapping chunks."""
+    return f"""w AS (SELECT doc_id, text, len({words_sql()}) AS n FROM {source}), sg AS (SELECT doc_id, CASE WHEN n <= 400 THEN [trim(text)] ELSE {SENTENCES_SQL} END AS ss FROM w WHERE n >= 20),
 p AS (SELECT doc_id, CAST(i AS INTEGER) AS i, ss, CAST(len({words_sql("ss[i]")}) AS BIGINT) AS n, list_transform(ss, lambda s: CAST(len({words_sql("s")}) AS BIGINT)) AS ws FROM sg, unnest(range(1, len(ss) + 1)) AS t(i)),
 f AS (SELECT doc_id, i, n, 1 AS a, 0 AS c FROM p WHERE i = 1 UNION ALL
   SELECT p.doc_id, p.i, CASE WHEN f.n + p.n > 400 THEN CAST(list_sum(p.ws[greatest(f.a, p.i - 2):p.i]) AS BIGINT) ELSE f.n + p.n END, CASE WHEN f.n + p.n > 400 THEN greatest(f.a, p.i - 2) ELSE f.a END, f.c + CASE WHEN f.n + p.n > 400 THEN 1 ELSE 0 END
   FROM f JOIN p ON p.doc_id = f.doc_id AND p.i = f.i + 1),
 b AS (SELECT doc_id, c AS chunk_index, min(a) AS a, max(i) AS b FROM f GROUP BY ALL),
-o AS (SELECT b.doc_id, chunk_index, CAST(count(*) OVER (PARTITION BY b.doc_id) AS INTEGER) AS total_chunks, array_to_string(ss[a:b], ' ') AS text FROM b JOIN sg ON sg.doc_id = b.doc_id)
-SELECT doc_id, chunk_index, total_chunks, {N_WORDS} FROM o""")
+o AS (SELECT b.doc_id, chunk_index, CAST(count(*) OVER (PARTITION BY b.doc_id) AS INTEGER) AS total_chunks, array_to_string(ss[a:b], ' ') AS text FROM b JOIN sg ON sg.doc_id = b.doc_id)"""
+
+
+@query(f"WITH RECURSIVE {overlap_sql()} SELECT doc_id, chunk_index, total_chunks, {N_WORDS} FROM o")
 def c6_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _digest(C.overlapped(_docs(spark, sf_dir)), "chunk_index", "total_chunks")
 
@@ -119,7 +136,14 @@ def c9_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _digest(C.marker_topics(_docs(spark, sf_dir), MARKERS), "chunk_index")
 
 
-@query()
+@query(rf"""WITH RECURSIVE {offsets_sql()}, o AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY start, i) AS n FROM m),
+f AS (SELECT doc_id, n, start AS last, true AS keep FROM o WHERE n = 1 UNION ALL SELECT o.doc_id, o.n, CASE WHEN o.start - f.last > 50 THEN o.start ELSE f.last END, o.start - f.last > 50 FROM f JOIN o ON o.doc_id = f.doc_id AND o.n = f.n + 1),
+k AS (SELECT o.*, row_number() OVER (PARTITION BY o.doc_id ORDER BY o.n) - 1 AS place, lead(o.start) OVER (PARTITION BY o.doc_id ORDER BY o.n) AS nxt FROM o JOIN f ON f.doc_id = o.doc_id AND f.n = o.n AND f.keep),
+b AS (SELECT doc_id, place, section, regexp_replace(substr(d.text, body + 1, greatest(coalesce(nxt, length(d.text)) - body, 0)), '^\s+|\s+$', '', 'g') AS text FROM k JOIN documents d USING (doc_id)),
+g AS (SELECT *, row_number() OVER (PARTITION BY doc_id, section ORDER BY place) AS nth FROM b WHERE len({words_sql('text')}) >= 10),
+h AS (SELECT doc_id, regexp_replace(substr(d.text, 1, k.start), '^\s+|\s+$', '', 'g') AS text FROM k JOIN documents d USING (doc_id) WHERE place = 0 AND k.start > 100),
+a AS (SELECT doc_id, CASE WHEN nth = 1 THEN section ELSE section || '_' || place END AS section, text FROM g UNION ALL SELECT doc_id, 'preamble', text FROM h WHERE text <> '' UNION ALL SELECT doc_id, 'full_text', coalesce(text, '') FROM documents)
+SELECT doc_id, section, {N_WORDS} FROM a""")
 def c10_parsed_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _digest(C.parsed_sections(_docs(spark, sf_dir), OFFSETS), "section")
 

@@ -13,10 +13,11 @@ from quillgrove.operators import dataset as D
 from quillgrove.operators import graph as G
 from quillgrove.operators import metrics as M
 from quillgrove.operators import retrieval as R
+from quillgrove.plans.chunk_queries import _PARAS, overlap_sql, packed_sql
 from quillgrove.plans.dataset_queries import TRUTH, _truth
 from quillgrove.plans.graph_queries import CONCEPTS, CORPUS, HUBS, LEXICONS, WANTED_SQL, corpus, wanted
 from quillgrove.plans.retrieval_queries import bm25_sql, fuse_sql, hybrid, item_bm25
-from quillgrove.plans.text_queries import FIXTURE_TYPES
+from quillgrove.plans.text_queries import _BUCKET_SQL, ASKING_SQL, CHUNK_TYPE_SQL, FIXTURE_TYPES, SECTION_SQL, WEIGHTED_SQL, _labelled, asking, clean_page_sql, requirements_sql, words_sql
 from quillgrove.registry import query, table
 
 
@@ -67,16 +68,22 @@ def e1_structured(spark: SparkSession, sf_dir: str) -> DataFrame:
     return k.select("query_id", "item_id", "score", F.when(F.col("list_ord") == 0, "graph").otherwise("keyword").alias("source"))
 
 
-@query()
+_ASKED = f"SELECT item_id * {PARTS} + i - 1 AS query_id, r[i] AS text FROM (SELECT item_id, {requirements_sql('text')} AS r FROM {ASKING_SQL}), unnest(range(1, len(r) + 1)) AS t(i)"
+
+
+@query(f"""{packed_sql(250, _PARAS)}, ch AS (SELECT doc_id * {PARTS} + chunk_index AS item_id, text FROM a), kc AS (SELECT *, {CHUNK_TYPE_SQL} AS kind FROM (SELECT *, lower(text) AS t FROM ch)), {bm25_sql(5, _ASKED, "SELECT * FROM ch")},
+x AS (SELECT query_id, {_BUCKET_SQL} AS bucket, {SECTION_SQL} AS section FROM br JOIN kc USING (item_id))
+SELECT query_id, bucket, count(*) AS n_matches, coalesce(string_agg(DISTINCT section, ', ' ORDER BY section), '') AS sections FROM x GROUP BY ALL""")
 def e2_requirements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Requirements of every benchmark text against the chunks of all documents: best chunks, their parts of a proposal."""
-    r = table(spark, sf_dir, "benchmark").select("item_id", F.posexplode(T.requirements(F.col("text"))).alias("pos", "text")).select((F.col("item_id") * PARTS + F.col("pos")).alias("query_id"), "text")
+    """Requirements of every item against the chunks of all documents: best chunks, their parts of a proposal."""
+    r = asking(spark, sf_dir).select("item_id", F.posexplode(T.requirements(F.col("text"))).alias("pos", "text")).select((F.col("item_id") * PARTS + F.col("pos")).alias("query_id"), "text")
     c = C.packed(table(spark, sf_dir, "documents"), 250, "\n").select((F.col("doc_id") * PARTS + F.col("chunk_index")).alias("item_id"), "text", S.ladder(F.col("text"), FIXTURE_TYPES, "general").alias("kind"))
     best = R.bm25(r, c.select("item_id", "text"), 5).join(c, "item_id")
-    return best.groupBy("query_id", S.bucket(F.col("kind"), F.col("text")).alias("bucket")).agg(F.count("*").alias("n_matches"), F.sort_array(F.collect_set(S.suggested_section(F.col("kind"), F.col("text")))).alias("sections"))
+    return best.groupBy("query_id", S.bucket(F.col("kind"), F.col("text")).alias("bucket")).agg(F.count("*").alias("n_matches"), F.array_join(F.sort_array(F.collect_set(S.suggested_section(F.col("kind"), F.col("text")))), ", ").alias("sections"))
 
 
-@query()
+@query(f"""WITH RECURSIVE cl AS (SELECT doc_id, {clean_page_sql('text')} AS text FROM documents), hq AS (SELECT doc_id, text, lower(text) AS t FROM cl WHERE length(text) >= 300), {overlap_sql('hq')}
+SELECT o.doc_id, chunk_index, total_chunks, CAST(len({words_sql('o.text')}) AS BIGINT) AS n_words, CASE WHEN length(hq.text) >= 800 THEN 'high' ELSE 'medium' END AS quality, {_labelled([(k, L.any_sql(w)) for k, w in L.CONDITIONS.entries], 'general')} AS condition, round({WEIGHTED_SQL}, 3) AS score FROM o JOIN hq ON hq.doc_id = o.doc_id""")
 def e4_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents cleaned, sectioned, tagged and chunked with overlap, those of high or medium quality."""
     d = table(spark, sf_dir, "documents").withColumn("text", T.clean_page(F.col("text")))

@@ -70,10 +70,10 @@ ir AS (SELECT query_id, item_id, sim, CAST(row_number() OVER (PARTITION BY query
 TERMS_SQL = r"list_filter(regexp_split_to_array(lower(text), '[^\pL\pN]+'), lambda t: t <> '')"
 
 
-def bm25_sql(k: int) -> str:
-    """CTE br(query_id, item_id, score, rank) of item_bm25."""
-    return f"""bq AS (SELECT item_id AS query_id, unnest(list_distinct({TERMS_SQL})) AS term FROM benchmark),
-bd AS (SELECT doc_id AS item_id, {TERMS_SQL} AS t FROM documents), bs AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM bd),
+def bm25_sql(k: int, queries: str = "SELECT item_id AS query_id, text FROM benchmark", items: str = "SELECT doc_id AS item_id, text FROM documents") -> str:
+    """CTE br(query_id, item_id, score, rank) of item_bm25, or of other queries (query_id, text) and items (item_id, text)."""
+    return f"""bq AS (SELECT query_id, unnest(list_distinct({TERMS_SQL})) AS term FROM ({queries})),
+bd AS (SELECT item_id, {TERMS_SQL} AS t FROM ({items})), bs AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM bd),
 bt AS (SELECT item_id, len(t) AS dl, unnest(t) AS term FROM bd), tf AS (SELECT term, item_id, dl, count(*) AS tf FROM bt WHERE term IN (SELECT term FROM bq) GROUP BY ALL),
 df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
 bw AS (SELECT bq.query_id, tf.item_id, round(sum(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl))), 6) AS score
@@ -153,7 +153,12 @@ def v9_graded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.boosted(s, F.col("weight") > 0.1, 1 + 0.5 * F.col("weight"), 10).select("query_id", "item_id", "rank", "score", "new_rank")
 
 
-@query()
+@query(f"""WITH RECURSIVE {item_sql(50)}, {_REL_SQL}, c AS (SELECT query_id, item_id, sim * CASE WHEN relevance > 0.5 THEN 1.3::DOUBLE ELSE 1.0::DOUBLE END AS rel, CAST(embedding AS DOUBLE[]) AS e FROM ir JOIN re USING (item_id) JOIN embeddings ON vec_id = item_id),
+m AS (SELECT query_id, 1 AS pick, list(item_id ORDER BY round(0.7::DOUBLE * rel, 9) DESC, item_id)[1:1] AS ids FROM c GROUP BY query_id
+  UNION ALL SELECT m.query_id, any_value(m.pick) + 1, list_append(any_value(m.ids), list(x.item_id ORDER BY x.score DESC, x.item_id)[1]) FROM m JOIN (
+    SELECT m.query_id, a.item_id, round(0.7::DOUBLE * any_value(a.rel) - 0.3::DOUBLE * max(list_cosine_similarity(a.e, b.e)), 9) AS score FROM m JOIN c a ON a.query_id = m.query_id AND NOT list_contains(m.ids, a.item_id) JOIN c b ON b.query_id = m.query_id AND list_contains(m.ids, b.item_id) GROUP BY m.query_id, a.item_id) x ON x.query_id = m.query_id
+  WHERE m.pick < 5 GROUP BY m.query_id)
+SELECT query_id, ids[pick] AS item_id, CAST(pick AS INTEGER) AS pick FROM m""")
 def v10_mmr(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = item_vector_ranks(spark, sf_dir, 50).join(_relevance(spark, sf_dir), "item_id").join(_i(_vectors(spark, sf_dir)), "item_id")
     q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"))

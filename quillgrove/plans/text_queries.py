@@ -55,7 +55,22 @@ def p3_page_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", F.size("k").cast("long").alias("n_lines"), F.md5(F.array_join("k", "\n")).alias("digest"))
 
 
-@query()
+_SP = "[[:space:]]"
+_FORMS = [rf"PHS{_SP}+[0-9]{{3,}}{_SP}*[(]Rev[.]{_SP}*[0-9/]+[)]", rf"OMB{_SP}+No[.]{_SP}*[0-9-]+", rf"Continuation{_SP}+Format{_SP}+Page", rf"Page{_SP}+[0-9]+{_SP}+of{_SP}+[0-9]+"]
+
+
+def clean_page_sql(text: str) -> str:
+    """The cleaned page; a line behind one that ends with a hyphen is joined to it."""
+    lines = rf"list_filter(string_split(coalesce({text}, ''), chr(10)), lambda x: NOT regexp_matches(trim(x), '^\d+$') AND (length(trim(x)) >= 3 OR trim(x) IN ('.', '-', '–')))"
+    joined = f"coalesce(list_reduce({lines}, lambda a, x: CASE WHEN right(a, 1) = '-' THEN a[:-2] || trim(x) ELSE a || chr(10) || x END, NULL), '')"
+    joined = joined.replace(", NULL), '')", "), '')").replace(f"list_reduce({lines}", f"list_reduce(CASE WHEN len({lines}) = 0 THEN [''] ELSE {lines} END")
+    t = rf"replace(regexp_replace(regexp_replace({joined}, '\n\n\n+', chr(10) || chr(10), 'g'), '[ \t][ \t]+', ' ', 'g'), chr(12), chr(10) || chr(10))"
+    for f in _FORMS:
+        t = f"regexp_replace({t}, '(?i){f}', '', 'g')"
+    return f"trim({t})"
+
+
+@query(digest_sql(clean_page_sql("text")))
 def p3_clean_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _digest(_docs(spark, sf_dir), T.clean_page(F.col("text")))
 
@@ -201,14 +216,47 @@ def p19_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.join(lab, "doc_id").select("doc_id", "source", "quality")
 
 
-@query()
+def _asked(text: str, start: str, stops: str) -> str:
+    """What stands behind each start, up to a stop: the text is cut in front of each stop, of which the start is one."""
+    cut = f"string_split(regexp_replace({text}, '(?i)({stops})', chr(1) || '\\1', 'g'), chr(1))"
+    return f"list_transform(list_filter({cut}, lambda s: regexp_matches(s, '(?is)^{start}')), lambda s: trim(regexp_replace(s, '(?is)^{start}{_SP}*', '')))"
+
+
+def requirements_sql(text: str) -> str:
+    found = [_asked(text, "Requirements?:?", "Requirements?|Qualifications|Deliverables")]
+    found += [_asked(text, f"{p}", f"[.]|{p}") for p in ("Applicants? must", "Proposals? should", "Projects? will")]
+    found += [_asked(text, f"Key{_SP}+(?:Elements|Components):?", "Key")]
+    every = f"list_filter(flatten([{', '.join(found)}]), lambda x: length(x) > 10)"
+    sentences = SENTENCES_SQL.replace("(text,", f"({text},")
+    plain = f"list_filter({sentences}, lambda s: len({words_sql('s')}) > 5)"
+    return f"(CASE WHEN len({every}) > 0 THEN {every} ELSE {plain} END)[1:10]"
+
+
+#: Items with the words that the patterns look for, and some without.
+ASKING_SQL = "(SELECT item_id, CASE item_id % 4 WHEN 0 THEN text WHEN 1 THEN replace(text, ' and ', ' Requirements: ') WHEN 2 THEN replace(text, ' the ', ' Applicants must ') ELSE replace(text, ' of ', ' Key elements: ') END AS text FROM benchmark)"
+
+
+def asking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind, t = F.col("item_id") % 4, F.col("text")
+    put = lambda a, b: F.replace(t, F.lit(a), F.lit(b))
+    text = F.when(kind == 0, t).when(kind == 1, put(" and ", " Requirements: ")).when(kind == 2, put(" the ", " Applicants must ")).otherwise(put(" of ", " Key elements: "))
+    return table(spark, sf_dir, "benchmark").select("item_id", text.alias("text"))
+
+
+@query(f"SELECT item_id, CAST(i - 1 AS INTEGER) AS pos, r[i] AS requirement FROM (SELECT item_id, {requirements_sql('text')} AS r FROM {ASKING_SQL}), unnest(range(1, len(r) + 1)) AS t(i)")
 def p20_requirements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "benchmark").select("item_id", F.posexplode(T.requirements(F.col("text"))).alias("pos", "requirement"))
+    return asking(spark, sf_dir).select("item_id", F.posexplode(T.requirements(F.col("text"))).alias("pos", "requirement"))
+
+
+def _section_sql(start: str) -> str:
+    return f"nullif(trim(rtrim(regexp_extract(t, '(?is)({start}.*?)(?:DELIVERABLES|QUALIFICATIONS|SUBMISSION|$)', 1), chr(10))), '')"
 
 
-@query()
+@query(f"SELECT doc_id, coalesce({', '.join(map(_section_sql, ('REQUIREMENTS?', 'SCOPE OF WORK', 'STATEMENT OF WORK')))}) AS section FROM (SELECT doc_id, 'Scope of work: ' || CASE doc_id % 3 WHEN 0 THEN text WHEN 1 THEN replace(text, ' and ', ' submission ') ELSE replace(text, ' the ', ' requirements ') END AS t FROM documents)")
 def p21_requirements_section(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _docs(spark, sf_dir).select("doc_id", T.requirements_section(F.concat(F.lit("Scope of work: "), F.col("text"))).alias("section"))
+    put = lambda a, b: F.replace("text", F.lit(a), F.lit(b))
+    t = F.when(F.col("doc_id") % 3 == 0, F.col("text")).when(F.col("doc_id") % 3 == 1, put(" and ", " submission ")).otherwise(put(" the ", " requirements "))
+    return _docs(spark, sf_dir).select("doc_id", T.requirements_section(F.concat(F.lit("Scope of work: "), t)).alias("section"))
 
 
 CHOICES = {"condition": ["aim", "heat", "data"], "population": ["ness", "tone"]}
@@ -346,6 +394,7 @@ def l15_key_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return key_terms(_docs(spark, sf_dir))
 
 
+SECTION_SQL = "CASE WHEN kind IN ('methods', 'approach') THEN 'Methods and Approach' WHEN kind = 'background' THEN 'Background and Significance' WHEN kind = 'innovation' THEN 'Innovation' WHEN kind = 'results' THEN 'Evaluation and Outcomes' WHEN contains(t, 'implementation') THEN 'Implementation Plan' WHEN contains(t, 'budget') THEN 'Budget Justification' END"
 _BUCKET_SQL = f"CASE WHEN kind = 'methods' OR {L.any_sql(['approach', 'method'])} THEN 'methods_approach' WHEN kind = 'background' THEN 'background_significance' WHEN kind = 'innovation' OR contains(t, 'innovative') THEN 'innovation' WHEN kind = 'results' OR {L.any_sql(['outcome', 'result'])} THEN 'evaluation_outcomes' WHEN {L.any_sql(['implement', 'plan', 'schedule', 'timeline'])} THEN 'implementation_plan' WHEN {L.any_sql(['cost', 'resource', 'budget', 'funding'])} THEN 'budget_justification' ELSE 'methods_approach' END"
 _KIND_SQL = f"(SELECT *, {CHUNK_TYPE_SQL} AS kind FROM {_T})"
 
