@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillgrove.functions import text as T
@@ -102,6 +102,12 @@ def parse_vector(text: Column) -> Column:
     return F.when(F.size(v) > 0, v)
 
 
+def from_templates(spark: SparkSession, templates: Mapping[str, str], conditions: Sequence[str], each: int, values: Mapping[str, Sequence[str]]) -> DataFrame:
+    """(id, condition, a column a template): ``each`` documents of every condition, their other placeholders filled by hash of the id."""
+    ids = spark.range(each * len(conditions)).withColumn("condition", F.get(F.array(*[F.lit(c) for c in conditions]), F.expr(f"int(id div {each})")))
+    return ids.select("id", "condition", *[T.filled_template(F.replace(F.lit(t), F.lit("{condition}"), F.col("condition")), values, F.col("id")).alias(n) for n, t in templates.items()])
+
+
 def enrich(results: DataFrame, index: DataFrame, key: str, columns: Sequence[str], flag: str | None = None) -> DataFrame:
     """results with what they lack (null or '') filled from the first row of the index of the same key; flag is true if either says so."""
     first = keep(index, key, [F.col(c) for c in columns]).select(F.col(key).alias("_key"), *[F.col(c).alias(f"_{c}") for c in columns], *([F.col(flag).alias("_flag")] if flag else []))

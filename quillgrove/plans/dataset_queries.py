@@ -7,13 +7,19 @@ from pyspark.sql import functions as F
 
 from quillgrove.functions import lexicon as L
 from quillgrove.functions import text as T
+from quillgrove.operators import chunk as C
 from quillgrove.operators import dataset as D
 from quillgrove.operators import metrics as M
+from quillgrove.operators import retrieval as R
+from quillgrove.plans.chunk_queries import _SLIDING
 from quillgrove.plans.retrieval_queries import bm25_sql, fuse_sql, hybrid, item_bm25, item_sql, item_vector_ranks, ranks_sql, vector_ranks
 from quillgrove.plans.text_queries import COVERED_SQL, covered, labels_sql, words_sql
 from quillgrove.registry import query, table
 from quillgrove.sources.files import written
 
+#: More than a text has parts of any kind, as none is longer than 2 GB and a part has a hundred characters or more on average.
+PARTS = 1 << 24
+
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
@@ -68,6 +74,23 @@ def s18_synthetic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.range(100).select("id", F.concat(F.lit("chunk "), i % 5).alias("title"), (2020 + i % 5).cast("int").alias("year"), (i % 3 == 0).alias("is_focused"), F.round(i % 10 / 10.0, 1).alias("score"))
 
 
+TITLE = "Work on {condition} with {population} at {place}"
+BODY = "This {design} looks at {condition} among {population} at {place}. It counts {outcome} over {months} months."
+FILL = {"population": ["hero", "stone", "ness"], "place": ["near", "east"], "design": ["trial", "survey", "pilot"], "outcome": ["heat", "rest", "data"], "months": ["6", "12", "24"]}
+
+
+def _filled_sql(template: str) -> str:
+    out = f"replace('{template}', '{{condition}}', condition)"
+    for i, (name, choices) in enumerate(FILL.items()):
+        out = f"replace({out}, '{{{name}}}', ({choices})[1 + CAST(('0x' || substr(md5(CAST(id AS VARCHAR) || '-{i}'), 1, 8))::BIGINT % {len(choices)} AS INTEGER)])"
+    return out
+
+
+@query(f"SELECT id, condition, {_filled_sql(TITLE)} AS title, {_filled_sql(BODY)} AS abstract, CAST(2022 + id % 3 AS INTEGER) AS year, true AS is_focused FROM (SELECT CAST(i AS BIGINT) AS id, (['aim', 'heat', 'data'])[1 + CAST(i // 50 AS INTEGER)] AS condition FROM range(150) AS t(i))")
+def s18_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.from_templates(spark, {"title": TITLE, "abstract": BODY}, ["aim", "heat", "data"], 50, FILL).select("id", "condition", "title", "abstract", (2022 + F.col("id") % 3).cast("int").alias("year"), F.lit(True).alias("is_focused"))
+
+
 # Joins
 
 
@@ -323,6 +346,15 @@ def m12_alpha(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("best", F.col("map") == F.max("map").over(Window.partitionBy(F.lit(0))))
 
 
+@query(f"WITH {_SLIDING}, {bm25_sql(5, items=f'SELECT doc_id * {PARTS} + chunk_index AS item_id, text FROM c')}, {TRUTH} SELECT br.query_id, round(count(tr.item_id) / 5, 6) AS precision_5 FROM br LEFT JOIN tr ON tr.query_id = br.query_id AND tr.item_id = br.item_id // {PARTS} GROUP BY br.query_id")
+def m8_grant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Precision at five of documents over a ranking of chunks: a document counts as often as its chunks are ranked."""
+    c = C.sliding(_docs(spark, sf_dir)).select((F.col("doc_id") * PARTS + F.col("chunk_index")).alias("item_id"), "text")
+    q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    ranked = R.bm25(q, c, 5).withColumn("item_id", F.expr(f"item_id div {PARTS}"))
+    return _rounded(M.hits(ranked, _truth(spark, sf_dir)).groupBy("query_id").agg(M.precision(5).alias("precision_5")))
+
+
 @query(f"WITH {TRUTH}, c AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY item_id) AS r, count(*) OVER (PARTITION BY query_id) AS relevant_count FROM tr) SELECT query_id, item_id, relevant_count FROM c WHERE r <= 50 AND relevant_count >= 2")
 def m13_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = Window.partitionBy("query_id")

@@ -14,17 +14,13 @@ from quillgrove.operators import graph as G
 from quillgrove.operators import metrics as M
 from quillgrove.operators import retrieval as R
 from quillgrove.plans.chunk_queries import _PARAS, overlap_sql, packed_sql
-from quillgrove.plans.dataset_queries import TRUTH, _truth
+from quillgrove.plans.dataset_queries import PARTS, TRUTH, _truth
 from quillgrove.plans.graph_queries import CONCEPTS, CORPUS, HUBS, LEXICONS, WANTED_SQL, corpus, wanted
 from quillgrove.plans.retrieval_queries import bm25_sql, fuse_sql, hybrid, item_bm25
 from quillgrove.plans.text_queries import _BUCKET_SQL, ASKING_SQL, CHUNK_TYPE_SQL, FIXTURE_TYPES, SECTION_SQL, WEIGHTED_SQL, _labelled, asking, clean_page_sql, requirements_sql, words_sql
 from quillgrove.registry import query, table
 
 
-#: More than a text has parts of any kind, as none is longer than 2 GB and a part has a hundred characters or more on average.
-PARTS = 1 << 24
-
-
 def search_and_expand(results: DataFrame, concept_edges: DataFrame, documents: DataFrame, k: int = 10, seeds: int = 3, focused: DataFrame | None = None) -> DataFrame:
     """Ranked results (query_id, item_id, score, rank) with the documents that share concepts with the first of them.
 

@@ -53,12 +53,14 @@ def s8_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.listing(spark, path, "*.txt").where("size > 0").select(F.regexp_extract("path", "lang=([^/]*)", 1).alias("lang")).distinct()
 
 
-@query()
+@query("SELECT lang, CASE WHEN lang = 'de' THEN 'fallback' ELSE 'primary' END AS extraction_method, CAST(sum(length(text) + CASE WHEN lang = 'de' THEN 2 ELSE 1 END) AS BIGINT) AS n_characters FROM documents GROUP BY lang")
 def s6_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The files of one language are marked, beyond the first extractor and left to the second."""
     path = S.scratch(spark, "texts")
-    _docs(spark, sf_dir).select("text", "lang").write.partitionBy("lang").text(path)
-    d = S.read_documents(spark, path, lambda content: content.decode().split("\f"), pattern="*.txt")
-    return d.select("extraction_method", "page_count", F.length("text").cast("long").alias("n_characters"))
+    marked = F.when(F.col("lang") == "de", F.concat(F.lit("%"), "text")).otherwise(F.col("text"))
+    _docs(spark, sf_dir).select(marked.alias("text"), "lang").write.partitionBy("lang").text(path)
+    d = S.read_documents(spark, path, lambda content: [] if content.startswith(b"%") else [content.decode()], lambda content: [content.decode()], pattern="*.txt")
+    return d.groupBy(F.regexp_extract("path", "lang=([^/]*)", 1).alias("lang"), "extraction_method").agg(F.sum(F.length("text")).cast("long").alias("n_characters"))
 
 
 @query("SELECT doc_id, n_chars FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id, n_chars FROM documents WHERE doc_id % 2 = 1")
@@ -78,6 +80,16 @@ def s10_reload(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.load_chunks(spark, path).select("doc_id", "chunk_index", F.md5("text").alias("digest"))
 
 
+@query("SELECT 'backup' AS version, lang, count(*) AS n FROM documents GROUP BY lang UNION ALL SELECT 'now', lang, count(*) FROM documents WHERE doc_id % 2 = 0 GROUP BY lang")
+def s17_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table replaced by some of its own rows, and its backup."""
+    path = S.scratch(spark, "dataset")
+    S.replace(_docs(spark, sf_dir).select("doc_id", "lang"), path)
+    backup = S.replace(spark.read.parquet(path).where("doc_id % 2 = 0"), path)
+    count = lambda at, name: spark.read.parquet(at).groupBy("lang").agg(F.count("*").alias("n")).select(F.lit(name).alias("version"), "lang", "n")
+    return count(backup, "backup").unionByName(count(path, "now"))
+
+
 @query("SELECT 'before' AS stage, 0::BIGINT AS n UNION ALL SELECT 'created', count(*) FROM labels UNION ALL SELECT 'kept', count(*) FROM labels UNION ALL SELECT 'appended', 2 * count(*) FROM labels UNION ALL SELECT 'dropped', 0")
 def s13_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     store, lab = S.Store(spark, S.scratch(spark, "store")), table(spark, sf_dir, "labels")

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import importlib.util
 import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from datetime import datetime
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -92,6 +94,59 @@ def read_documents(spark: SparkSession, path: str, extract: Extractor, fallback:
     return files.select("path", "content").mapInPandas(scan, "path string, text string, page_count int, extraction_method string, warning string")
 
 
+def pdf_extractors() -> tuple[Extractor, Extractor | None]:
+    """Functions for ``read_documents`` from the PDF libraries that are installed: one that keeps the layout first, then others.
+
+    None of them is part of this package; without any this is an error.
+    """
+
+    def plumber(content: bytes) -> list[str]:
+        import io
+
+        import pdfplumber
+
+        with pdfplumber.open(io.BytesIO(content)) as pdf:
+            return [page.extract_text(layout=True) or "" for page in pdf.pages]
+
+    def mupdf(content: bytes) -> list[str]:
+        import fitz
+
+        with fitz.open(stream=content, filetype="pdf") as pdf:
+            return [page.get_text() for page in pdf]
+
+    def pure(content: bytes) -> list[str]:
+        import io
+
+        import pypdf
+
+        return [page.extract_text() or "" for page in pypdf.PdfReader(io.BytesIO(content)).pages]
+
+    there = [f for name, f in (("pdfplumber", plumber), ("fitz", mupdf), ("pypdf", pure)) if importlib.util.find_spec(name)]
+    if not there:
+        raise ModuleNotFoundError("install pdfplumber, pymupdf or pypdf on the workers, or pass an extractor of your own")
+    return there[0], there[1] if len(there) > 1 else None
+
+
+def replace(df: DataFrame, path: str, at: str | None = None) -> str | None:
+    """df as the table at path; what stood there is kept beside it, and the name of that backup returned.
+
+    The new rows are written first, so that they may come from the table itself and a failure leaves
+    it as it is; then two renames swap them. ``at`` names the backup, the time by default.
+    """
+    spark = df.sparkSession
+    path = path.rstrip("/")
+    new, backup = f"{path}-new-{uuid.uuid4().hex}", f"{path}-backup-{at or datetime.now().strftime('%Y%m%d_%H%M%S_%f')}"
+    df.write.parquet(new)
+    old_, new_, backup_ = (spark._jvm.org.apache.hadoop.fs.Path(x) for x in (path, new, backup))
+    fs = old_.getFileSystem(spark._jsc.hadoopConfiguration())
+    there = fs.exists(old_)
+    if there and (fs.exists(backup_) or not fs.rename(old_, backup_)):
+        raise FileExistsError(backup)
+    if not fs.rename(new_, old_):
+        raise OSError(f"{new} can't be moved to {path}")
+    return backup if there else None
+
+
 def save_chunks(chunks: DataFrame, path: str) -> None:
     """Chunks with their vectors, once."""
     chunks.write.mode("overwrite").parquet(path)

@@ -4,18 +4,21 @@ import math
 import re
 
 import numpy as np
+import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from quillgrove.functions import lexicon as L
 from quillgrove.functions import score as S
 from quillgrove.functions import text as T
+from quillgrove.functions.embed import Hashed, encoded
 from quillgrove.operators import chunk as C
 from quillgrove.operators import dataset as D
 from quillgrove.operators import graph as G
 from quillgrove.operators import metrics as M
 from quillgrove.operators import retrieval as R
 from quillgrove.sources import files as files_
+from quillgrove.sources.projects import search_projects
 
 
 def one(spark, column, **values):
@@ -175,6 +178,99 @@ def test_related_by_brute_force(spark):
         assert got == want
 
 
+def test_encoder_of_ones_own(spark):
+    def broken():
+        raise OSError("no model here")
+
+    class Marked:
+        def encode(self, texts):
+            return np.array([[len(t), 1.0, 1.0] for t in texts])
+
+    d = spark.createDataFrame([(1, "abc"), (2, None), (3, ""), (4, "x" * 50_000)], "id long, text string").repartition(2)
+    rows = {r["id"]: r["v"] for r in d.select("id", encoded(F.col("text"), broken, lambda: Hashed(8)).alias("v")).collect()}
+    assert rows[2] is None and list(rows[3]) == [0.0] * 8 and abs(sum(x * x for x in rows[1]) - 1) < 1e-6 and len(rows[4]) == 8
+    rows = {r["id"]: r["v"] for r in d.select("id", encoded(F.col("text"), Marked, batch=1).alias("v")).collect()}
+    assert abs(rows[1][0] - 3 / 11**0.5) < 1e-6
+    with pytest.raises(Exception, match="no model here"):
+        d.select(encoded(F.col("text"), broken)).collect()
+
+
+def test_replace_keeps_a_backup(spark, tmp_path):
+    at = f"{tmp_path}/table"
+    assert files_.replace(spark.range(3), at) is None
+    backup = files_.replace(spark.read.parquet(at).where("id > 0"), at)
+    assert spark.read.parquet(at).count() == 2 and spark.read.parquet(backup).count() == 3
+    files_.replace(spark.range(1), at, "one")
+    with pytest.raises(FileExistsError):
+        files_.replace(spark.range(9), at, "one")
+    assert spark.read.parquet(at).count() == 1
+
+
+def test_project_search(spark):
+    import http.server
+    import json
+    import threading
+
+    class Service(http.server.BaseHTTPRequestHandler):
+        def do_POST(self):
+            asked = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            name, year = asked["criteria"]["org_names"][0], asked["criteria"]["fiscal_years"][0]
+            self.send_response({"busy": 429, "broken": 500}.get(name, 200))
+            self.end_headers()
+            self.wfile.write(json.dumps({"results": [{"id": f"{name}-{year}-{i}"} for i in range(asked["limit"])]}).encode() if name != "odd" else b"no json")
+
+        def log_message(self, *args):
+            pass
+
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Service)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        url = f"http://127.0.0.1:{server.server_port}/"
+        d = search_projects(spark, url, ["one", "two", "busy", "broken", "odd"], [2023, 2024], limit=3, pause="0")
+        rows = sorted((r["organisation"], r["year"], json.loads(r["project"])["id"]) for r in d.collect())
+    finally:
+        server.shutdown()
+    assert rows == [(o, y, f"{o}-{y}-{i}") for o in ("one", "two") for y in (2023, 2024) for i in range(3)]
+    assert search_projects(spark, url, ["one"], [2023], timeout="1").count() == 0
+
+
+def test_no_pdf_library_is_said(monkeypatch):
+    monkeypatch.setattr(files_.importlib.util, "find_spec", lambda name: None)
+    with pytest.raises(ModuleNotFoundError):
+        files_.pdf_extractors()
+
+
+def test_clusters_need_a_shared_folder():
+    class Context:
+        master = "spark://somewhere:7077"
+
+        class _jsc:
+            @staticmethod
+            def sc():
+                class Inner:
+                    @staticmethod
+                    def getCheckpointDir():
+                        class None_:
+                            @staticmethod
+                            def isDefined():
+                                return False
+
+                        return None_
+
+                return Inner
+
+    class Session:
+        sparkContext = Context
+
+        class conf:
+            @staticmethod
+            def get(name, default):
+                return default
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        files_.scratch(Session, "x")
+
+
 def test_update_and_quota(spark):
     old = spark.createDataFrame([(1, "x"), (2, "y")], "id long, a string")
     new = spark.createDataFrame([(2, "z", 5)], "id long, a string, b int")
