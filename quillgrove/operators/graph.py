@@ -111,9 +111,17 @@ def by_concept(nodes: DataFrame, edges: DataFrame, wanted: DataFrame, first_only
     return m.join(both_ways(edges).select(F.col("src").alias("hub"), F.col("dst").alias("id")), "hub").where(F.col("id").startswith("DOC_")).select("item", "id").distinct()
 
 
+def first_beside(edges: DataFrame, n: int) -> DataFrame:
+    """Concept edges (doc, hub) of the first n documents by id of each hub; more can't be among the first n of any ranking by hub and id."""
+    first = F.row_number().over(Window.partitionBy("hub").orderBy("doc"))
+    return edges.select("doc", "hub").distinct().withColumn("nth", first).where(F.col("nth") <= n).drop("nth")
+
+
 def two_hop(edges: DataFrame, seeds: DataFrame, decay: float = 0.8, k: int = 5) -> DataFrame:
     """(query_id, id, score, hub, rank): documents that share a concept with a seed (query_id, seed, rank).
 
+    A hub that every document has costs no more than a rare one.
+
     The score is the weight of the seed's edge times decay, the most over all paths; the hub is that
     of the best path of the best-ranked seed. Seeds are left out.
     """
@@ -121,7 +129,9 @@ def two_hop(edges: DataFrame, seeds: DataFrame, decay: float = 0.8, k: int = 5)
     paths = seeds.join(e, F.col("seed") == F.col("doc")).select("query_id", F.col("rank").alias("seed_rank"), "hub", "weight")
     # seeds of a query share hubs: one path a hub is enough
     paths = paths.groupBy("query_id", "hub").agg(F.max("weight").alias("weight"), F.min("seed_rank").alias("seed_rank"))
-    found = paths.join(e.select("hub", F.col("doc").alias("id")), "hub").join(seeds.select("query_id", F.col("seed").alias("id")), ["query_id", "id"], "left_anti")
+    # all documents of a hub have the same score, so only the first by id can be among the k, behind the seeds at most
+    most = seeds.groupBy("query_id").count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0]
+    found = paths.join(first_beside(e, k + most).select("hub", F.col("doc").alias("id")), "hub").join(seeds.select("query_id", F.col("seed").alias("id")), ["query_id", "id"], "left_anti")
     best = found.groupBy("query_id", "id").agg(F.round(F.max("weight") * decay, 3).alias("score"), F.min_by("hub", F.struct(-F.col("weight"), F.col("seed_rank"), F.col("hub"))).alias("hub"))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

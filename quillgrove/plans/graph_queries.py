@@ -155,7 +155,7 @@ def g12_evaluation_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
     near = sd.join(G.both_ways(edges), F.col("seed") == F.col("src")).where(F.col("dst").startswith("DOC_")).select("query_id", F.col("dst").alias("id"), F.lit(1).alias("lvl"), "ord")
     ce = edges.where(F.col("type").isin("treats", "uses", "targets"))
     hubs = sd.join(ce.select(F.col("src").alias("seed"), F.col("dst").alias("hub")), "seed").groupBy("query_id", "hub").agg(F.min("ord").alias("ord"))
-    far = hubs.join(ce.select(F.col("dst").alias("hub"), F.col("src").alias("id")), "hub").select("query_id", "id", F.lit(2).alias("lvl"), "ord")
+    far = hubs.join(G.first_beside(ce.select(F.col("src").alias("doc"), F.col("dst").alias("hub")), 20).select("hub", F.col("doc").alias("id")), "hub").select("query_id", "id", F.lit(2).alias("lvl"), "ord")
     first = base.unionByName(near).unionByName(far).groupBy("query_id", "id").agg(F.min(F.struct("lvl", "ord")).alias("o"))
     w = F.row_number().over(G.Window.partitionBy("query_id").orderBy("o", "id"))
     return first.withColumn("rank", w).where("rank <= 20").select("query_id", "id", "rank")

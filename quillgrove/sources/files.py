@@ -25,7 +25,23 @@ def scratch(spark: SparkSession, name: str) -> str:
         if not named and not re.fullmatch(r"local(\[.*\])?", sc.master):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="quillgrove-"))
-    return f"{sc._jsc.sc().getCheckpointDir().get().rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{sc._jsc.sc().getCheckpointDir().get().rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    sc._quillgrove_scratch = [*getattr(sc, "_quillgrove_scratch", []), path]
+    return path
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def clean(spark: SparkSession) -> int:
+    """Deletes what this session wrote between steps, and says how many; for when the results were consumed."""
+    sc = spark.sparkContext
+    paths, sc._quillgrove_scratch = getattr(sc, "_quillgrove_scratch", []), []
+    for path in paths:
+        remove(spark, path)
+    return len(paths)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

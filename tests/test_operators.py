@@ -154,6 +154,27 @@ def test_numbered_over_spans(spark):
     assert D.numbered(d.where("false"), "g", "id").count() == 0
 
 
+def test_two_hop_by_brute_force(spark):
+    rng = np.random.default_rng(9)
+    weights = {"treats": 1.2, "uses": 1.1, "targets": 1.1}
+    hubs = [(f"H{i}", t) for i, t in enumerate([*weights] * 2)]
+    edges = [(f"DOC_{d}", h, t, weights[t]) for d in range(50) for h, t in hubs if rng.random() < 0.4]
+    seeds = [(q, f"DOC_{int(d)}", r) for q in range(4) for r, d in enumerate(rng.choice(50, 3, replace=False), 1)]
+    want = set()
+    for q in range(4):
+        own = {s: r for x, s, r in seeds if x == q}
+        best = {}
+        for s, r in own.items():
+            for d, h, _, w in edges:
+                if d == s:
+                    for x, y, _, _ in edges:
+                        if y == h and x not in own:
+                            best[x] = min(best.get(x, (0, 9, "z")), (-w, r, h))
+        want |= {(q, d, b[2], i) for i, (d, b) in enumerate(sorted(best.items(), key=lambda t: (-round(-t[1][0] * 0.8, 3), t[0]))[:5], 1)}
+    e, s = spark.createDataFrame(edges, "src string, dst string, type string, weight double"), spark.createDataFrame(seeds, "query_id long, seed string, rank int")
+    assert {(r["query_id"], r["id"], r["hub"], r["rank"]) for r in G.two_hop(e, s).collect()} == want
+
+
 def test_related_by_brute_force(spark):
     rng = np.random.default_rng(8)
     docs, hubs = [f"DOC_{i}" for i in range(60)], ["COND_a", "COND_b", "YEAR_1", "HUB"]
