@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillgrove import registry
+from quillgrove.sources import files
 
 SPACE = "[ \\t\\n\\r\\f]+"
 
@@ -19,21 +16,6 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return registry.table(spark, sf_dir, table)
 
 
-def shared(spark: SparkSession) -> str:
-    """The folder for what is written between steps: that of spark.checkpoint.dir, or of setCheckpointDir.
-
-    Only on a local master without either a temporary folder is taken: on a cluster each machine
-    would write to its own, so there it is an error.
-    """
-    sc = spark.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        if not named and not re.fullmatch(r"local(\[.*\])?", sc.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="quillgrove-"))
-    return sc._jsc.sc().getCheckpointDir().get()
-
-
 def lowered(text: str) -> str:
     """text in lower case, each character at its place: of the few whose lower case is longer, the first of it."""
     low = text.lower()
@@ -55,7 +37,7 @@ WORD_COUNT_SQL = "CAST(len(list_filter(regexp_split_to_array(coalesce(text, ''),
 
 def written(df: DataFrame, name: str, after: tuple[DataFrame, ...] = ()) -> DataFrame:
     """df, written as Parquet in the shared folder and read again; ``after`` are written ones that nothing needs any more."""
-    path = f"{shared(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = files.scratch(df.sparkSession, name)
     df.write.parquet(path)
     out = df.sparkSession.read.parquet(path)
     out._written = path
@@ -67,8 +49,7 @@ def written(df: DataFrame, name: str, after: tuple[DataFrame, ...] = ()) -> Data
 def drop(df: DataFrame) -> None:
     """Deletes what ``written`` wrote for df, if it did."""
     if path := getattr(df, "_written", None):
-        p = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
+        files.remove(df.sparkSession, path)
 
 
 def components(edges: DataFrame) -> DataFrame:
