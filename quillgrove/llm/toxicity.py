@@ -4,7 +4,7 @@ Three steps:
 
 1. fit: log-odds of words and word beginnings between toxic and clean labelled documents, each
    smoothed by a Dirichlet (for two classes: Beta) prior whose mean is the next shorter beginning.
-   It takes at most ``fit_rows`` labelled documents of either class, chosen by hash; near copies
+   It takes a bounded number of labelled documents of either class, chosen by hash; near copies
    among them (a shared min-hash) count once, so that a much copied document makes no vocabulary.
 2. calibrate: over the clean ones of these, Karlin and Altschul's lambda (the root of
    sum p(s) exp(lambda s) = 1) and K (its maximum-likelihood value from the best segment of each
@@ -27,7 +27,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillgrove.llm import common
@@ -233,11 +233,11 @@ def _lambda(values: Counter) -> float:
     return low
 
 
-def fit(docs: DataFrame, labels: DataFrame, fit_rows_per_class: int = 4000) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, fit_rows_per_class: int = 4000, fit_bytes_per_class: int = 48_000_000) -> Model:
     """Model from a bounded sample of labelled documents.
 
-    ``fit_rows_per_class`` bounds the rows of either class; they are those of the lowest hash of
-    doc_id. Labels that are null are left out; of repeated labels of a document the largest counts.
+    ``fit_rows_per_class`` and ``fit_bytes_per_class`` bound the rows and the bytes of text of either
+    class; they are those of the lowest hash of doc_id, whole texts, up to the first that would exceed the bytes. Labels that are null are left out; of repeated labels of a document the largest counts.
     Without labels of both classes the model knows no word, and nothing is toxic.
     """
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("_id")).agg(F.max("toxic").alias("_toxic"))
@@ -246,7 +246,9 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows_per_class: int = 4000) -> M
         part = known.where(F.least(F.col("_toxic"), F.lit(1)) == toxic).orderBy(F.xxhash64("_id"), "_id").limit(fit_rows_per_class)
         chosen = part if chosen is None else chosen.unionByName(part)
     texts = docs.select(F.col("doc_id").alias("_id"), "text", "lang").where(F.col("text").isNotNull())
-    rows = texts.join(F.broadcast(chosen), "_id").select("_id", "text", "lang", F.least(F.col("_toxic"), F.lit(1)).alias("toxic")).toPandas()
+    rows = texts.join(F.broadcast(chosen), "_id").select("_id", "text", "lang", F.least(F.col("_toxic"), F.lit(1)).alias("toxic"))
+    upto = F.sum(F.octet_length("text")).over(Window.partitionBy("toxic").orderBy(F.xxhash64("_id"), "_id", "text").rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumn("upto", upto).where(F.col("upto") <= fit_bytes_per_class).select("_id", "text", "lang", "toxic").toPandas()
     return fit_rows(rows.sort_values(["_id", "text"], kind="stable"))
 
 

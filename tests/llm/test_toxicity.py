@@ -84,6 +84,13 @@ def test_positions_are_those_of_the_text(spark):
     assert text[r["start_char"] : r["end_char"]] == "Gamma"
 
 
+def test_the_fit_is_bounded_in_rows_and_bytes(spark, data):
+    docs, labels = (common.read(spark, data, t) for t in ("documents", "labels"))
+    assert toxicity.fit(docs, labels).known
+    assert not toxicity.fit(docs, labels, fit_bytes_per_class=0).known
+    assert not toxicity.fit(docs, labels, fit_rows_per_class=0).known
+
+
 def test_held_out_accuracy(spark):
     d = "/root/testdata/sf0.1"
     rows = common.read(spark, d, "documents").join(common.read(spark, d, "labels"), "doc_id").select("doc_id", "text", "lang", "toxic").toPandas().sort_values("doc_id")
