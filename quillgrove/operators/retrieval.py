@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from quillgrove.sources.files import written
 
 BLOCK = 4096
-QUERIES, ITEMS = 512, 4096
+QUERIES, ITEMS = 512, 1024
 PAIRS = "query_id long, item_id long, sim double"
 
 
@@ -116,7 +116,7 @@ def top_k(scored: DataFrame, k: int, score: str = "score", by: Sequence[str] = (
 
 def terms(text: Column) -> Column:
     """Array of the lower-cased runs of letters and digits."""
-    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda t: t != "")
+    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), "")
 
 
 def bm25(queries: DataFrame, items: DataFrame, k: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
@@ -127,21 +127,22 @@ def bm25(queries: DataFrame, items: DataFrame, k: int, k1: float = 1.2, b: float
     items, and each block keeps the k best of a query: the pairs that share a term are many more than
     either side, and never leave their task.
     """
-    q = queries.select("query_id", F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
+    # terms go by their hash from here on, and that of "" stands for the text itself
+    q = queries.select("query_id", F.explode(F.array_distinct(terms(F.col("text")))).alias("term")).select("query_id", F.xxhash64("term").alias("term"))
     t = items.select("item_id", terms(F.col("text")).alias("t"))
-    t = t.select("item_id", F.size("t").alias("dl"), F.explode(F.concat(F.array(F.lit("")), "t")).alias("term"))
-    # "" stands for the text itself
-    wanted = q.select("term").unionByName(q.sparkSession.createDataFrame([("",)], "term string")).distinct()
+    t = t.select("item_id", F.size("t").alias("dl"), F.explode(F.concat(F.array(F.lit("")), "t")).alias("term")).select("item_id", "dl", F.xxhash64("term").alias("term"))
+    text_itself = F.xxhash64(F.lit(""))
+    wanted = q.select("term").unionByName(q.sparkSession.range(1).select(text_itself.alias("term"))).distinct()
     tf = written(t.join(wanted, "term", "left_semi").groupBy("term", "item_id").agg(F.count("*").alias("tf"), F.first("dl").alias("dl")), "postings")
-    n, length = tf.where("term = ''").agg(F.sum("tf"), F.sum(F.col("tf") * F.col("dl"))).first()
+    n, length = tf.where(F.col("term") == text_itself).agg(F.sum("tf"), F.sum(F.col("tf") * F.col("dl"))).first()
     n, mean = n or 0, (length or 0) / (n or 1)
-    tf = tf.where("term <> ''")
+    tf = tf.where(F.col("term") != text_itself)
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     idf = df.select("term", F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
     weight = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(mean)))
     nq, ni = max(1, math.ceil(queries.count() / QUERIES)), max(1, math.ceil(n / ITEMS))
-    postings = tf.join(idf, "term").select("item_id", F.xxhash64("term").alias("term"), weight.alias("w"), F.pmod(F.xxhash64("item_id"), F.lit(ni)).cast("int").alias("ib"), F.explode(F.sequence(F.lit(0), F.lit(nq - 1))).alias("qb"))
-    asked = q.select("query_id", F.xxhash64("term").alias("term"), F.pmod(F.xxhash64("query_id"), F.lit(nq)).cast("int").alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(ni - 1))).alias("ib"))
+    postings = tf.join(idf, "term").select("item_id", "term", weight.alias("w"), F.pmod(F.xxhash64("item_id"), F.lit(ni)).cast("int").alias("ib"), F.explode(F.sequence(F.lit(0), F.lit(nq - 1))).alias("qb"))
+    asked = q.select("query_id", "term", F.pmod(F.xxhash64("query_id"), F.lit(nq)).cast("int").alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(ni - 1))).alias("ib"))
 
     def score(a: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
         out = {"query_id": [], "item_id": [], "score": []}
