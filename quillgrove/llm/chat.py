@@ -171,7 +171,8 @@ def transcripts(convs: DataFrame, styles: tuple[tuple[str, str, str], ...] = STY
     """(conv_id, transcript) of conversations (conv_id, turn, role, text), in one of the styles by hash of the id.
 
     Rows without conv_id are left out, null texts are empty, turns go by number, then role and text;
-    null and unknown roles count as user.
+    null and unknown roles count as user. Repeated rows are turns of their own, and texts of any length
+    are taken whole. Extra columns are ignored, whatever their names; an empty table gives an empty result.
     """
     style = F.pmod(F.xxhash64("conv_id"), F.lit(len(styles))).cast("int")
     table = F.array(*[F.create_map(*[x for r, m in zip(ROLES, s) for x in (F.lit(r), F.lit(m))]) for s in styles])
@@ -183,7 +184,11 @@ def transcripts(convs: DataFrame, styles: tuple[tuple[str, str, str], ...] = STY
 
 
 def fit(convs: DataFrame, fit_conversations: int = 1000) -> Model:
-    """A model of at most ``fit_conversations`` labelled conversations, those of the lowest hash of conv_id."""
+    """A model of at most ``fit_conversations`` labelled conversations, those of the lowest hash of conv_id.
+
+    Rows with a null conv_id or text, or without a known role, are left out; repeated rows count as
+    often as they come, extra columns are ignored. Without any row the model still parses, by its smoothing alone.
+    """
     good = convs.where(F.col("conv_id").isNotNull() & F.col("role").isin(*ROLES) & F.col("text").isNotNull()).select("conv_id", "turn", "role", "text")
     ids = good.select("conv_id").distinct().orderBy(F.xxhash64("conv_id"), "conv_id").limit(fit_conversations)
     rows = good.join(F.broadcast(ids), "conv_id").toPandas().sort_values(["conv_id", "turn", "role", "text"], kind="stable")
@@ -194,7 +199,8 @@ def parsed(texts: DataFrame, model: Model) -> DataFrame:
     """(conv_id, turn, role, text, rendered) of transcripts (conv_id, transcript).
 
     Null transcripts have no turns, an empty one has a single empty turn. Repeated rows come out as
-    often as they went in; extra columns are ignored; an empty table gives an empty result.
+    often as they went in, transcripts of any length are parsed whole, and of equally likely states the
+    first counts. Extra columns are ignored, whatever their names; an empty table gives an empty result.
     """
     sent = texts.sparkSession.sparkContext.broadcast(model)
 

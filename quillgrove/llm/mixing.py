@@ -100,7 +100,8 @@ def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, budget_shar
     budget in tokens (words between white space) is ``budget``, or ``budget_share`` of all tokens;
     the mix ends before the first document that would exceed it. Null sources are the source "".
     Documents without tokens cost nothing and stand where their hash puts them. Ties go by source,
-    hash, doc_id and text; repeated rows are documents of their own. An empty table gives an empty mix.
+    hash, doc_id and text; repeated rows are documents of their own. Texts of any length are counted
+    and kept whole, and columns may have any name. An empty table gives an empty mix.
     """
     m = Mix(docs, weights, budget_share, budget, seed)
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
