@@ -259,7 +259,7 @@ def _deep(distinct: DataFrame, k: int, tables: int, limit: int, most: int = 44)
         deep = deep | again
 
 
-def groups(docs: DataFrame, words: int = 24, pairs: int = 32, total: int = 52, cap: int = 1000, signatures_per_task: int = 40_000, limit: int = 200_000, before: DataFrame | None = None) -> DataFrame:
+def groups(docs: DataFrame, words: int = 24, pairs: int = 32, total: int = 52, cap: int = 1000, signatures_per_shard: int = 20_000, rows_per_task: int = 80_000, limit: int = 200_000, before: DataFrame | None = None) -> DataFrame:
     """(doc_id, group_id) of every document that has a near copy; group_id is the group's least doc_id.
 
     ``before`` are the same documents as they were, by doc_id: two are near, too, if the texts were
@@ -277,7 +277,7 @@ def groups(docs: DataFrame, words: int = 24, pairs: int = 32, total: int = 52, c
     distinct = common.written(all_.groupBy("s0", "s1", "s2", "s3").agg(F.min("doc_id").alias("id")), "distinct")
     n = distinct.count()
     k, tables = plan(n)
-    shards = max(1, math.ceil(n * tables / signatures_per_task))
+    shards = max(1, math.ceil(n * tables / signatures_per_shard))
 
     # a bucket that many tasks' rows would fall into; there are at most n * tables / limit
     deep = _deep(distinct, k, tables, limit) if n > limit else {}
@@ -295,7 +295,9 @@ def groups(docs: DataFrame, words: int = 24, pairs: int = 32, total: int = 52, c
         a, b = forest(part["id"].to_numpy()[rows], sig[rows], bucket, words, pairs, total)
         return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
-    edges = distinct.mapInPandas(sample, f"{SIGNATURE}, id long, shard int, bucket long").groupBy("shard").applyInPandas(compare, "a long, b long")
+    edges = distinct.mapInPandas(sample, f"{SIGNATURE}, id long, shard int, bucket long")
+    # tasks of one size, however many there are
+    edges = edges.repartition(max(1, math.ceil(n * tables / rows_per_task)), "shard").groupBy("shard").applyInPandas(compare, "a long, b long")
     same = all_.join(distinct, ["s0", "s1", "s2", "s3"]).where(F.col("doc_id") != F.col("id")).select(F.col("id").alias("a"), F.col("doc_id").alias("b"))
     return common.components(edges.unionByName(same))
 
