@@ -105,18 +105,31 @@ def signatures(texts: list[str], words: Words | None = None) -> tuple[np.ndarray
     return np.hstack([_majority(ones), _majority(pairs)]), np.array([len(x) > 0 for x in ones], dtype=bool)
 
 
-def signed(docs: DataFrame) -> DataFrame:
-    """doc_id and signature of each document with an id and any word."""
+def parts(texts: list[str], most: int = 200, chars: int = 2_000_000) -> Iterator[slice]:
+    """Runs of at most ``most`` texts and ``chars`` characters; a longer text is a run of its own."""
+    at = held = 0
+    for i, text in enumerate(texts):
+        if i > at and (i - at == most or held + len(text) > chars):
+            yield slice(at, i)
+            at, held = i, 0
+        held += len(text)
+    if texts:
+        yield slice(at, len(texts))
+
+
+def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """doc_id and signature of rows (_id, _text) with any word; the hashes of one of ``parts`` are held at a time."""
+    words = Words()
+    for batch in batches:
+        ids, texts = batch["_id"].to_numpy(), batch["_text"].tolist()
+        for part in parts(texts):
+            sig, some = signatures(texts[part], words)
+            s = sig[some].view(np.int64)
+            yield pd.DataFrame({"doc_id": ids[part][some]} | {f"s{i}": s[:, i] for i in range(4)})
 
-    def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words = Words()
-        for batch in batches:
-            for at in range(0, len(batch), 200):
-                part = batch.iloc[at : at + 200]
-                sig, some = signatures(part["_text"].tolist(), words)
-                s = sig[some].view(np.int64)
-                yield pd.DataFrame({"doc_id": part["_id"].to_numpy()[some]} | {f"s{i}": s[:, i] for i in range(4)})
 
+def signed(docs: DataFrame) -> DataFrame:
+    """doc_id and signature of each document with an id and any word."""
     some = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").alias("_text")).where(F.col("_id").isNotNull() & F.col("_text").isNotNull())
     return some.mapInPandas(sign, f"doc_id long, {SIGNATURE}")
 

@@ -1,4 +1,7 @@
+import tracemalloc
+
 import numpy as np
+import pandas as pd
 
 from quillgrove.llm import common, simhash
 
@@ -31,6 +34,20 @@ def test_groups_by_brute_force(spark):
     assert len(got) >= 0.98 * len(want)
 
 
+def test_long_texts_are_signed_within_bounded_memory():
+    texts = [" ".join(f"w{j}" for j in np.random.default_rng(i).integers(0, 9973, 30_000).tolist()) for i in range(60)] + ["", "a few words", "--"]
+    ids = np.arange(len(texts))
+    tracemalloc.start()
+    got = pd.concat(simhash.sign(iter([pd.DataFrame({"_id": ids, "_text": texts})])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    sig, some = simhash.signatures(texts)
+    assert (got.doc_id.to_numpy() == ids[some]).all()
+    assert (got[["s0", "s1", "s2", "s3"]].to_numpy().view(np.uint64) == sig[some]).all()
+    # all at once hold some 80 MB
+    assert peak < 40e6
+
+
 def test_majority_of_long_runs():
     h = simhash._mix(np.arange(200_000, dtype=np.uint64))
     got = simhash._majority([h, h[:5], h[:0]])
