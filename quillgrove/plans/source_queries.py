@@ -27,8 +27,8 @@ def _same(d: DataFrame) -> DataFrame:
 @query(_SAME)
 def s1_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = S.scratch(spark, "csv")
-    S.write_csv(_docs(spark, sf_dir), path)
-    return _same(S.read_csv(spark, path, "doc_id long, text string, lang string, source string, n_chars long"))
+    S.write_csv(_docs(spark, sf_dir), path, S.NULL)
+    return _same(S.read_csv(spark, path, "doc_id long, text string, lang string, source string, n_chars long", S.NULL))
 
 
 @query(_SAME)

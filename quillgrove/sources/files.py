@@ -51,13 +51,21 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-def read_csv(spark: SparkSession, path: str, schema: str | StructType = ABSTRACTS) -> DataFrame:
-    """CSV with a header, quotes doubled and lines inside quotes; columns by the schema, never inferred."""
-    return spark.read.schema(schema).csv(path, header=True, multiLine=True, quote='"', escape='"')
+#: Two noncharacters, as null in CSV that must keep empty texts apart from it.
+NULL = "\ufdd0\ufdd1"
 
 
-def write_csv(df: DataFrame, path: str) -> None:
-    df.write.csv(path, header=True, quote='"', escape='"', quoteAll=True)
+def read_csv(spark: SparkSession, path: str, schema: str | StructType = ABSTRACTS, null: str = "") -> DataFrame:
+    """CSV with a header, quotes doubled and lines inside quotes; columns by the schema, never inferred.
+
+    Fields without anything are null, and those that are ``null``; by default so are empty quotes.
+    """
+    return spark.read.schema(schema).csv(path, header=True, multiLine=True, quote='"', escape='"', nullValue=null)
+
+
+def write_csv(df: DataFrame, path: str, null: str = "") -> None:
+    """CSV as ``read_csv`` takes it, white space at either end of a text kept; null is written as ``null``."""
+    df.write.csv(path, header=True, quote='"', escape='"', quoteAll=True, nullValue=null, emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
 def read_json(spark: SparkSession, path: str, schema: str | StructType, one_document: bool = False) -> DataFrame:

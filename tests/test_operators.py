@@ -1,5 +1,6 @@
 """What SQL can't hold: brute force, known values and edge cases of the reference's operators."""
 
+import hashlib
 import math
 import re
 
@@ -8,6 +9,7 @@ import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
+from quillgrove import plans  # noqa: F401
 from quillgrove.functions import lexicon as L
 from quillgrove.functions import score as S
 from quillgrove.functions import text as T
@@ -17,6 +19,7 @@ from quillgrove.operators import dataset as D
 from quillgrove.operators import graph as G
 from quillgrove.operators import metrics as M
 from quillgrove.operators import retrieval as R
+from quillgrove.registry import QUERIES
 from quillgrove.sources import files as files_
 from quillgrove.sources.projects import search_projects
 
@@ -292,6 +295,14 @@ def test_clusters_need_a_shared_folder():
         files_.scratch(Session, "x")
 
 
+def test_csv_keeps_white_space_and_empty_texts(spark, tmp_path):
+    rows = list(enumerate([None, "", "  ", " lead", "trail\n", "\ttab\t", "a\r\nb\r", "\x00", '"\n', 'a "b", c', "end"]))
+    d = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"lang": F.col("text"), "source": F.col("text"), "n_chars": F.length("text").cast("long")})
+    d.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {tuple(r) for r in QUERIES["s1_csv"](spark, str(tmp_path)).collect()}
+    assert got == {(i, t if t is None else hashlib.md5(t.encode()).hexdigest(), t) for i, t in rows}
+
+
 def test_update_and_quota(spark):
     old = spark.createDataFrame([(1, "x"), (2, "y")], "id long, a string")
     new = spark.createDataFrame([(2, "z", 5)], "id long, a string, b int")
