@@ -111,6 +111,34 @@ def test_similar_in_blocks_equals_one_block(spark):
     assert one_ == many and len(one_) == 61 * 5
 
 
+def test_nearest_by_brute_force():
+    rng = np.random.default_rng(4)
+    v = rng.standard_normal((3000, 16))
+    v[::3], v[1::50], v[2] = v[0], np.round(v[1::50]), 0.0
+    v[7::9] = v[7] + 1e-9 * rng.standard_normal((len(v[7::9]), 16))
+    v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
+    q, but = np.concatenate([v[:600], -v[:100]]), np.concatenate([np.arange(600), np.full(100, -1)])
+    s = np.round(q @ v.T, 6) + 0.0
+    s[np.arange(600), np.arange(600)] = -np.inf
+    for k in (1, 10, 700):
+        for width in (128, 4096):
+            x, y, e = R._nearest(q, v, k, but, 256, width)
+            want = [(i, int(j)) for i in range(len(q)) for j in np.lexsort((np.arange(len(v)), -s[i]))[:k]]
+            assert list(zip(x.tolist(), y.tolist())) == want and np.array_equal(e, s[x, y])
+
+
+def test_vectors_meet_in_few_large_blocks(spark):
+    # each side is copied so many times
+    assert R._blocks(10, 64) == 1 and R._blocks(615_000, 64) < 20 and R._blocks(615_000, 768) < 230
+    rng = np.random.default_rng(6)
+    v = rng.standard_normal((70, 4))
+    d = spark.createDataFrame([(i, [float(y) for y in x]) for i, x in enumerate(v)], "id long, v array<double>")
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    for block in (None, 16):
+        got = {(r["query_id"], r["item_id"]): r["sim"] for r in R.similar(d.toDF("query_id", "qv"), d.toDF("item_id", "v"), block=block).collect()}
+        assert len(got) == 4900 and all(abs(x - v[i] @ v[j]) < 1e-6 for (i, j), x in got.items())
+
+
 def test_metrics_of_a_known_ranking(spark):
     ranked = spark.createDataFrame([(1, i, r) for r, i in enumerate([10, 11, 12, 13], 1)] + [(2, 10, 1)], "query_id long, item_id long, rank int")
     rel = spark.createDataFrame([(1, 10), (1, 12), (1, 99)], "query_id long, item_id long")
