@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import heapq
+import re
+from collections import Counter
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +15,7 @@ from quillgrove.functions import lexicon as L
 from quillgrove.functions import score as S
 from quillgrove.functions import text as T
 from quillgrove.registry import query, table
+from quillgrove.sources.files import written
 
 SENTENCES_SQL = r"list_filter(list_transform(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda s: trim(s)), lambda s: s <> '')"
 WORDS_SQL = r"list_filter(regexp_split_to_array({}, '\s+'), lambda w: w <> '')"
@@ -376,12 +383,35 @@ def l14_pronouns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _docs(spark, sf_dir).select("doc_id", F.round(S.pronoun_coherence(F.col("text"), FIXTURE_PRONOUNS), 6).alias("coherence"))
 
 
+_WORD = re.compile("[^ \t\n\x0b\f\r]+")
+
+
 def key_terms(docs: DataFrame, k: int = 5, stop: tuple[str, ...] = S.STOPWORDS, id_column: str = "doc_id") -> DataFrame:
-    """The k most frequent words over 3 characters that aren't stopwords; ties go to the one seen first."""
-    w = docs.select(id_column, F.posexplode(T.words(F.lower("text"))).alias("pos", "term")).where((F.length("term") > 3) & ~F.col("term").isin(*stop))
+    """The k most frequent words over 3 characters that aren't stopwords; ties go to the one seen first.
+
+    A row is counted where it is, if no other has its id; of rows that share one the words are shuffled.
+    """
+    left_out = set(stop)
+
+    def counted(text: str | None) -> list[dict]:
+        # counts keep the order of the first place, and so does the sort
+        n = Counter(w for w in _WORD.findall(text or "") if len(w) > 3 and w not in left_out)
+        return [{"rank": i, "term": w, "n": c} for i, (w, c) in enumerate(heapq.nsmallest(k, n.items(), key=lambda x: -x[1]), 1)]
+
+    @F.pandas_udf("array<struct<rank:int,term:string,n:long>>")
+    def best(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for t in texts:
+            yield t.map(counted)
+
+    again = written(docs.groupBy(F.col(id_column).alias("_id")).count().where("count > 1").select("_id"), "again")
+    if not again.limit(1).count():
+        return docs.select(id_column, F.inline(best(F.lower("text"))))
+    shared = F.col(id_column).eqNullSafe(F.col("_id"))
+    alone = docs.join(again, shared, "left_anti").select(id_column, F.inline(best(F.lower("text"))))
+    w = docs.join(again, shared, "left_semi").select(id_column, F.posexplode(T.words(F.lower("text"))).alias("pos", "term")).where((F.length("term") > 3) & ~F.col("term").isin(*stop))
     c = w.groupBy(id_column, "term").agg(F.count("*").alias("n"), F.min("pos").alias("first"))
     rank = F.row_number().over(Window.partitionBy(id_column).orderBy(F.desc("n"), "first"))
-    return c.withColumn("rank", rank).where(F.col("rank") <= k).select(id_column, "rank", "term", "n")
+    return alone.unionByName(c.withColumn("rank", rank).where(F.col("rank") <= k).select(id_column, "rank", "term", "n"))
 
 
 KEY_TERMS_SQL = f"""WITH w AS (SELECT doc_id, unnest(w) AS term, generate_subscripts(w, 1) AS pos FROM (SELECT doc_id, {words_sql("lower(text)")} AS w FROM documents)),
