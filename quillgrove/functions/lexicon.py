@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping
+from collections.abc import Callable, Iterable, Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -70,9 +70,14 @@ def count_of(low: Column, words: Iterable[str]) -> Column:
     return out
 
 
+def once(value: Column, of: Callable[[Column], Column]) -> Column:
+    """of(value), where value is computed once a row however often it's named; a lower case would be made anew for each keyword."""
+    return F.get(F.transform(F.array(value), of), F.lit(0))
+
+
 def labels_of(low: Column, lexicon: Lexicon) -> Column:
     """Array of the labels with a hit, in lexicon order."""
-    return F.filter(F.array(*[F.when(any_of(low, ws), F.lit(k)) for k, ws in lexicon.entries]), lambda x: x.isNotNull())
+    return once(low, lambda t: F.filter(F.array(*[F.when(any_of(t, ws), F.lit(k)) for k, ws in lexicon.entries]), lambda x: x.isNotNull()))
 
 
 def first_label(low: Column, lexicon: Lexicon, default: str = "general") -> Column:

@@ -58,14 +58,15 @@ def _edge(prefix: str, type_: str, weight: float) -> Callable[[Column], Column]:
 
 def concept_edges(corpus: DataFrame, lexicons: dict[str, L.Lexicon]) -> DataFrame:
     """Documents to the concepts of each lexicon (COND, INT, POP) that they name."""
-    low = L.lowered(F.col("text"))
-    found = F.flatten(F.array(*[F.transform(L.labels_of(low, lexicons[p]), _edge(p, t, w)) for p, _, t, w in CONCEPTS if p in lexicons]))
+    found = L.once(L.lowered(F.col("text")), lambda low: F.flatten(F.array(*[F.transform(L.labels_of(low, lexicons[p]), _edge(p, t, w)) for p, _, t, w in CONCEPTS if p in lexicons])))
     return corpus.select(_doc().alias("src"), F.explode(found).alias("e")).select("src", "e.*").distinct()
 
 
 def hub_edges(corpus: DataFrame, hub: tuple[str, ...]) -> DataFrame:
-    n = L.count_of(L.lowered(F.col("text")), hub)
-    return keep_last(corpus).select(_doc().alias("src"), F.lit("HUB").alias("dst"), F.lit("is_fqhc").alias("type"), F.least(n / 5.0, F.lit(1.0)).alias("weight")).where("weight > 0")
+    # counted before the last row of an id is looked for, so that no text is shuffled
+    n = L.once(L.lowered(F.col("text")), lambda low: L.count_of(low, hub))
+    last = keep_last(corpus.select("doc_id", "pos", n.alias("n"))).where("n > 0")
+    return last.select(_doc().alias("src"), F.lit("HUB").alias("dst"), F.lit("is_fqhc").alias("type"), F.least(F.col("n") / 5.0, F.lit(1.0)).alias("weight"))
 
 
 def similarity_edges(corpus: DataFrame, lexicon: L.Lexicon, ahead: int = 5, weight: float = 0.7) -> DataFrame:
@@ -125,7 +126,8 @@ def two_hop(edges: DataFrame, seeds: DataFrame, decay: float = 0.8, k: int = 5)
     The score is the weight of the seed's edge times decay, the most over all paths; the hub is that
     of the best path of the best-ranked seed. Seeds are left out.
     """
-    e = edges.where(F.col("type").isin("treats", "uses", "targets")).select(F.col("src").alias("doc"), F.col("dst").alias("hub"), "weight")
+    e = written(edges.where(F.col("type").isin("treats", "uses", "targets")).select(F.col("src").alias("doc"), F.col("dst").alias("hub"), "weight"), "concepts")
+    seeds = written(seeds, "seeds")
     paths = seeds.join(e, F.col("seed") == F.col("doc")).select("query_id", F.col("rank").alias("seed_rank"), "hub", "weight")
     # seeds of a query share hubs: one path a hub is enough
     paths = paths.groupBy("query_id", "hub").agg(F.max("weight").alias("weight"), F.min("seed_rank").alias("seed_rank"))
@@ -159,9 +161,19 @@ def related(edges: DataFrame, seeds: DataFrame, k: int = 10) -> DataFrame:
 
 
 def match(edges: DataFrame, wanted: DataFrame, hub_only: bool = False) -> DataFrame:
-    """(query_id, id, score): weights of the concepts (query_id, concept, weight) that a document has, summed."""
-    s = wanted.join(edges.select(F.col("dst").alias("concept"), F.col("src").alias("id")), "concept").groupBy("query_id", "id").agg(F.round(F.sum("weight"), 2).alias("score"))
-    return s.join(edges.where("dst = 'HUB'").select(F.col("src").alias("id")), "id", "left_semi") if hub_only else s
+    """(query_id, id, score): weights of the concepts (query_id, concept, weight) that a document has, summed.
+
+    The sums are made for each set of concepts that any document has; its documents then take them.
+    """
+    edges = edges.join(wanted.select(F.col("concept").alias("dst")).unionByName(wanted.sparkSession.range(1).select(F.lit("HUB").alias("dst"))).distinct(), "dst", "left_semi")
+    # a row a document; a hub that all of them have is no group of its own
+    docs = edges.groupBy(F.col("src").alias("id")).agg(F.sort_array(F.collect_list("dst")).alias("has"))
+    if hub_only:
+        docs = docs.where(F.array_contains("has", "HUB"))
+    docs = written(docs, "concepts")
+    sets = docs.select("has").distinct()
+    score = sets.select("has", F.explode("has").alias("concept")).join(wanted, "concept").groupBy("query_id", "has").agg(F.round(F.sum("weight"), 2).alias("score"))
+    return score.join(docs, "has").select("query_id", "id", "score")
 
 
 def statistics(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -216,7 +216,7 @@ h AS (SELECT fo.condition, fo.intervention, fo.population, count(*) AS n_found,
 t AS (SELECT condition, intervention, population, least(n, 5) AS n_true FROM k GROUP BY ALL)
 SELECT condition, intervention, population, round(n_hit / n_found, 6) AS precision, round(n_hit / n_true, 6) AS recall, round(2 * n_hit / (n_found + n_true), 6) AS f1 FROM h JOIN t USING (condition, intervention, population)""")
 def g18_combo_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ce = G.concept_edges(corpus(spark, sf_dir), LEXICONS)
+    ce = written(G.concept_edges(corpus(spark, sf_dir), LEXICONS), "concepts")
     key = ["condition", "intervention", "population"]
     w = G.Window.partitionBy(*key)
     k = combos(ce).withColumns({"r": F.row_number().over(w.orderBy("id")), "n": F.count("*").over(w)}).where("n >= 2")
