@@ -10,6 +10,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillgrove.sources.files import written
+
 
 def hits(ranked: DataFrame, relevant: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Ranked rows, with the columns ``by`` if several systems are ranked, with ``hit`` and the number of relevant items of the query, ``n_relevant`` (0 for none)."""
@@ -28,6 +30,21 @@ def hits_by_label(ranked: DataFrame, labels: DataFrame) -> DataFrame:
     return h.select("query_id", "item_id", "rank", hit.alias("hit"), F.coalesce("n_relevant", F.lit(0)).alias("n_relevant"))
 
 
+def hits_by_topics(ranked: DataFrame, queries: DataFrame, items: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """As hits, where the items (item_id, topics) that share a topic with a query (query_id, topics) are relevant; no pair of them is made.
+
+    Relevant items are counted by the sets of topics that there are. Rows of one id are one, with the topics of all.
+    """
+    one = lambda d, key: d.groupBy(key).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("topics")))).alias("topics"))
+    q, i = written(one(queries, "query_id"), "queries"), written(one(items, "item_id"), "items")
+    sets = i.groupBy("topics").agg(F.count("*").alias("n"))
+    met = q.select("query_id", F.explode("topics").alias("topic")).join(sets.select("topics", "n", F.explode("topics").alias("topic")), "topic").select("query_id", "topics", "n").distinct()
+    n = met.groupBy("query_id").agg(F.sum("n").alias("n_relevant"))
+    h = ranked.select(*by, "query_id", "item_id", "rank").join(q.withColumnRenamed("topics", "_q"), "query_id", "left").join(i.withColumnRenamed("topics", "_i"), "item_id", "left").join(n, "query_id", "left")
+    hit = F.coalesce(F.arrays_overlap("_q", "_i"), F.lit(False)).cast("int")
+    return h.select(*by, "query_id", "item_id", "rank", hit.alias("hit"), F.coalesce("n_relevant", F.lit(0)).alias("n_relevant"))
+
+
 def precision(k: int, mode: str = "always") -> Column:
     """Hits in the first k over k. mode "full": 0 unless k rows were ranked."""
     p = F.sum(F.when((F.col("rank") <= k) & (F.col("hit") == 1), 1).otherwise(0)) / F.lit(k)

@@ -14,11 +14,12 @@ from quillgrove.operators import graph as G
 from quillgrove.operators import metrics as M
 from quillgrove.operators import retrieval as R
 from quillgrove.plans.chunk_queries import _PARAS, overlap_sql, packed_sql
-from quillgrove.plans.dataset_queries import PARTS, TRUTH, _truth
+from quillgrove.plans.dataset_queries import PARTS, TRUTH, _topical
 from quillgrove.plans.graph_queries import CONCEPTS, CORPUS, HUBS, LEXICONS, WANTED_SQL, corpus, wanted
 from quillgrove.plans.retrieval_queries import bm25_sql, fuse_sql, hybrid, item_bm25
 from quillgrove.plans.text_queries import _BUCKET_SQL, ASKING_SQL, CHUNK_TYPE_SQL, FIXTURE_TYPES, SECTION_SQL, WEIGHTED_SQL, _labelled, asking, clean_page_sql, requirements_sql, words_sql
 from quillgrove.registry import query, table
+from quillgrove.sources.files import written
 
 
 def search_and_expand(results: DataFrame, concept_edges: DataFrame, documents: DataFrame, k: int = 10, seeds: int = 3, focused: DataFrame | None = None) -> DataFrame:
@@ -27,6 +28,7 @@ def search_and_expand(results: DataFrame, concept_edges: DataFrame, documents: D
     Results come first; a document counts where it comes first. Only ``focused`` (item_id) ones stay
     if given; what is left is filled in from the documents (item_id, institution).
     """
+    results = written(results, "results")
     s = results.where(F.col("rank") <= seeds).select("query_id", F.concat(F.lit("DOC_"), "item_id").alias("seed"), "rank")
     more = G.two_hop(concept_edges, s).select("query_id", F.substring_index("id", "_", -1).cast("long").alias("item_id"), "score", "rank")
     both = D.keep_first([results.select("query_id", "item_id", "score", "rank"), more], ["query_id", "item_id"], "rank")
@@ -93,7 +95,7 @@ z AS (SELECT *, sum(hit) OVER (PARTITION BY query_id, alpha ORDER BY rank) AS c
 SELECT CASE alpha WHEN 0 THEN 'keyword' WHEN 1 THEN 'dense' ELSE 'hybrid' END AS system, round(avg(ap), 6) AS map, round(avg(rr), 6) AS mrr, round(avg(p5), 6) AS precision_5 FROM a GROUP BY alpha""")
 def e5_evaluate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The three systems are one grid of alphas over the same two rankings."""
-    p = M.per_query(M.hits(hybrid(spark, sf_dir, [0.0, 0.25, 1.0], 10), _truth(spark, sf_dir), ["alpha"]), (5,), ["alpha"])
+    p = M.per_query(M.hits_by_topics(hybrid(spark, sf_dir, [0.0, 0.25, 1.0], 10), *_topical(spark, sf_dir), ["alpha"]), (5,), ["alpha"])
     system = F.when(F.col("alpha") == 0, "keyword").when(F.col("alpha") == 1, "dense").otherwise("hybrid").alias("system")
     return p.groupBy("alpha").agg(*[F.round(F.avg(c), 6).alias(n) for c, n in (("ap", "map"), ("rr", "mrr"), ("precision_5", "precision_5"))]).select(system, "map", "mrr", "precision_5")
 

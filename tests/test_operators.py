@@ -5,6 +5,7 @@ import math
 import re
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
@@ -19,6 +20,7 @@ from quillgrove.operators import dataset as D
 from quillgrove.operators import graph as G
 from quillgrove.operators import metrics as M
 from quillgrove.operators import retrieval as R
+from quillgrove.plans.text_queries import key_terms
 from quillgrove.registry import QUERIES
 from quillgrove.sources import files as files_
 from quillgrove.sources.projects import search_projects
@@ -139,6 +141,61 @@ def test_vectors_meet_in_few_large_blocks(spark):
         assert len(got) == 4900 and all(abs(x - v[i] @ v[j]) < 1e-6 for (i, j), x in got.items())
 
 
+def test_weights_of_shared_terms(spark):
+    rng = np.random.default_rng(2)
+    side = lambda rows, each: pd.DataFrame({"row": np.repeat(np.arange(rows), each), "term": (40 * rng.random(rows * each) ** 3).astype(np.int64)}).drop_duplicates()
+    a, p = side(30, 6), side(50, 9)
+    p["w"] = rng.random(len(p))
+    want = np.zeros((30, 50))
+    for r, t in a.itertuples(index=False):
+        for x, y, w in p.itertuples(index=False):
+            want[r, x] += w if t == y else 0
+    for at_once in (1, 64, 1 << 21):
+        assert np.allclose(R._sums((30, 50), a.sample(frac=1, random_state=1), p.sample(frac=1, random_state=2), at_once), want)
+    assert not R._sums((2, 3), a[:0], p[:0]).any()
+
+
+def test_topics_without_pairs(spark):
+    q = spark.createDataFrame([(1, ["x", "y"]), (2, []), (3, ["z"]), (1, ["w"])], "query_id long, topics array<string>")
+    i = spark.createDataFrame([(10, ["x"]), (10, ["y"]), (11, ["x", "y"]), (12, []), (13, ["w"]), (14, ["v"])], "item_id long, topics array<string>")
+    ranked = spark.createDataFrame([(k, j, r) for k in (1, 2, 3, 4) for r, j in enumerate((10, 12, 13, 99), 1)], "query_id long, item_id long, rank int")
+    explode = lambda d, key: d.select(key, F.explode("topics").alias("t"))
+    pairs = explode(q, "query_id").join(explode(i, "item_id"), "t").select("query_id", "item_id")
+    assert sorted(map(tuple, M.hits_by_topics(ranked, q, i).collect())) == sorted(map(tuple, M.hits(ranked, pairs).collect()))
+
+
+def test_matches_are_summed_by_sets_of_concepts(spark):
+    e = spark.createDataFrame([(f"DOC_{d}", c) for d in range(200) for c in ("A", "B", "HUB") if d % 2 or c == "A"], "src string, dst string")
+    w = spark.createDataFrame([(q, c, v) for q in range(5) for c, v in (("A", 1.5), ("B", 1.0), ("C", 9.0))], "query_id long, concept string, weight double")
+    for only in (False, True):
+        got = G.match(e, w, only)
+        assert {tuple(r) for r in got.collect()} == {(q, f"DOC_{d}", 2.5 if d % 2 else 1.5) for q in range(5) for d in range(200) if d % 2 or not only}
+        # no aggregate over the pairs is left
+        assert "id" not in got._jdf.queryExecution().optimizedPlan().toString().split("Aggregate [query_id")[1].split("]")[0].replace("query_id", "")
+
+
+def test_lower_case_is_made_once(spark):
+    d = spark.createDataFrame([("Aim, HAND",)], "text string").select(L.labels_of(L.lowered(F.col("text")), L.TOPICS).alias("x"))
+    assert d.first()["x"] == ["aim", "hand"]
+    assert d._jdf.queryExecution().optimizedPlan().toString().count("lower(") <= 1
+
+
+def test_key_terms_of_repeated_ids(spark):
+    rows = [(1, "alpha beta beta"), (1, "gamma alpha with alpha"), (2, "Delta delta epsi\x0bepsi zeta"), (3, None), (None, "once more"), (None, "more")]
+    for d, want in ((rows, {(1, 1, "alpha", 3), (1, 2, "beta", 2), (1, 3, "gamma", 1), (None, 1, "more", 2), (None, 2, "once", 1)}), (rows[2:5], {(None, 1, "once", 1), (None, 2, "more", 1)})):
+        got = key_terms(spark.createDataFrame(d, "doc_id long, text string"))
+        assert {tuple(r) for r in got.collect()} == want | {(2, 1, "delta", 2), (2, 2, "epsi", 2), (2, 3, "zeta", 1)}
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_sections_are_cut_in_one_pass(spark):
+    t = "  lead " * 20 + "AIMS\n" + "é " * 12 + "x" * 60 + " AIMS\n" + "b " * 9
+    d = texts(spark, t, None, "", "AIMS\n" + "c " * 10)
+    got = C.parsed_sections(d, {"aims": r"AIMS\n"})
+    assert {(r["doc_id"], r["section"]): r["text"] for r in got.collect()} == {(0, "preamble"): ("  lead " * 20).strip(), (0, "aims"): ("é " * 12 + "x" * 60).strip(), (0, "full_text"): t, (1, "full_text"): "", (2, "full_text"): "", (3, "aims"): ("c " * 10).strip(), (3, "full_text"): "AIMS\n" + "c " * 10}
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
+
+
 def test_metrics_of_a_known_ranking(spark):
     ranked = spark.createDataFrame([(1, i, r) for r, i in enumerate([10, 11, 12, 13], 1)] + [(2, 10, 1)], "query_id long, item_id long, rank int")
     rel = spark.createDataFrame([(1, 10), (1, 12), (1, 99)], "query_id long, item_id long")
